@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.numeric import round_to
 from ..operators import lexicon as L
 from . import derived as D
 from . import sqlfrag as S
@@ -25,7 +26,7 @@ def register(name: str, sql: str | None = None):
 
 
 def r6(c):
-    return F.round(c, 6)
+    return round_to(c, 6)
 
 
 # ---- cleaning --------------------------------------------------------------
