@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import q_prep, q_text
+from . import q_io, q_prep, q_text
 
-_MODULES = (q_text, q_prep)
+_MODULES = (q_text, q_prep, q_io)
 
 
 def all_queries() -> dict:
