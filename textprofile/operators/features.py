@@ -62,20 +62,21 @@ def zscore(df: DataFrame, cols: Sequence[str], key: str | Sequence[str], compat:
     Missing values are left out of mean/std and become 0; a constant column
     becomes 0.  ``compat=True`` turns a whole column to 0 when any value in it
     is missing (the NaN-propagating behaviour).  The statistics are one
-    aggregate (a single row, safe to broadcast) - no unpartitioned window."""
+    partially aggregated pass returning three scalars per column, inlined
+    as literals - no unpartitioned window, no join."""
     keys = [key] if isinstance(key, str) else list(key)
-    stats = df.agg(*[F.avg(c).alias(f"_m_{c}") for c in cols],
-                   *[F.stddev_pop(c).alias(f"_s_{c}") for c in cols],
-                   *[F.max(F.col(c).isNull().cast("int")).alias(f"_n_{c}") for c in cols])
-    joined = df.crossJoin(F.broadcast(stats))
+    st = df.agg(*[F.avg(c).alias(f"m_{c}") for c in cols],
+                *[F.stddev_pop(c).alias(f"s_{c}") for c in cols],
+                *[F.max(F.col(c).isNull().cast("int")).alias(f"n_{c}") for c in cols]).first()
     out = []
     for c in cols:
-        z = F.try_divide(F.col(c) - F.col(f"_m_{c}"), F.col(f"_s_{c}"))
-        z = F.when(F.col(f"_s_{c}") == 0, F.lit(0.0)).otherwise(z)
-        if compat:
-            z = F.when(F.col(f"_n_{c}") == 1, F.lit(0.0)).otherwise(z)
-        out.append(nan_to_zero(z).alias(c))
-    return joined.select(*keys, *out)
+        m, s, has_null = st[f"m_{c}"], st[f"s_{c}"], st[f"n_{c}"]
+        if m is None or s is None or s == 0 or (compat and has_null == 1):
+            z = F.lit(0.0)
+        else:
+            z = nan_to_zero((F.col(c) - F.lit(float(m))) / F.lit(float(s)))
+        out.append(z.alias(c))
+    return df.select(*keys, *out)
 
 
 def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataFrame:

@@ -88,9 +88,11 @@ def fold_counts(folded: DataFrame, label: str, k: int, by: Sequence[str] = (), f
     by = list(by)
     per = folded.groupBy(*by, fold_col).agg(F.count(F.lit(1)).alias("n_test"),
                                             F.sum(F.col(label).cast("bigint")).alias("pos_test"))
-    tot = folded.groupBy(*by).agg(F.count(F.lit(1)).alias("_tot")) if by else \
-        folded.agg(F.count(F.lit(1)).alias("_tot"))
-    joined = per.join(F.broadcast(tot), by) if by else per.crossJoin(F.broadcast(tot))
+    if by:
+        tot = folded.groupBy(*by).agg(F.count(F.lit(1)).alias("_tot"))
+        joined = per.join(bounded_broadcast(tot), by)
+    else:
+        joined = per.withColumn("_tot", F.lit(folded.count()))
     return joined.select(*by, fold_col, (F.col("_tot") - F.col("n_test")).alias("n_train"), "n_test", "pos_test")
 
 

@@ -137,25 +137,27 @@ def token_hash(token: Column) -> Column:
     return F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("bigint")
 
 
-def hashing_embed(token_rows: DataFrame, doc: str = "doc_id", token: str = "word",
+def hashing_embed(token_rows: DataFrame, doc: str | Sequence[str] = "doc_id", token: str = "word",
                   dim: int = 64) -> DataFrame:
     """Signed feature hashing, L2-normalised: ``(doc, bucket, value)`` for the
     buckets a document hits.  ``sum`` per (doc, bucket) is partially
     aggregated map-side; the norm is a window per document over at most ``dim``
     rows."""
+    keys = [doc] if isinstance(doc, str) else list(doc)
     h = token_hash(F.col(token))
-    signed = token_rows.select(doc, (h % dim).cast("int").alias("bucket"),
+    signed = token_rows.select(*keys, (h % dim).cast("int").alias("bucket"),
                                F.when(F.shiftright(h, 6) % 2 == 0, 1).otherwise(-1).alias("_s"))
-    sums = signed.groupBy(doc, "bucket").agg(F.sum("_s").cast("double").alias("_v"))
-    norm = F.sqrt(F.sum(F.col("_v") * F.col("_v")).over(Window.partitionBy(doc)))
-    return sums.select(doc, "bucket", F.when(norm > 0, F.col("_v") / norm).otherwise(F.lit(0.0)).alias("value"))
+    sums = signed.groupBy(*keys, "bucket").agg(F.sum("_s").cast("double").alias("_v"))
+    norm = F.sqrt(F.sum(F.col("_v") * F.col("_v")).over(Window.partitionBy(*keys)))
+    return sums.select(*keys, "bucket", F.when(norm > 0, F.col("_v") / norm).otherwise(F.lit(0.0)).alias("value"))
 
 
-def hashing_embed_dense(token_rows: DataFrame, doc: str = "doc_id", token: str = "word",
+def hashing_embed_dense(token_rows: DataFrame, doc: str | Sequence[str] = "doc_id", token: str = "word",
                         dim: int = 64) -> DataFrame:
     """``(doc, vec array<double>[dim])`` form of ``hashing_embed``."""
-    sparse = hashing_embed(token_rows, doc, token, dim)
-    return sparse.groupBy(doc).agg(dense_from_entries("bucket", "value", dim).alias("vec"))
+    keys = [doc] if isinstance(doc, str) else list(doc)
+    sparse = hashing_embed(token_rows, keys, token, dim)
+    return sparse.groupBy(*keys).agg(dense_from_entries("bucket", "value", dim).alias("vec"))
 
 
 # ---- plug-in encoders (Arrow batches through mapInPandas) ---------------------------------

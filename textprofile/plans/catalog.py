@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import q_io, q_prep, q_text, q_vec
+from . import q_io, q_model, q_prep, q_text, q_vec
 
-_MODULES = (q_text, q_prep, q_io, q_vec)
+_MODULES = (q_text, q_prep, q_io, q_vec, q_model)
 
 
 def all_queries() -> dict:
