@@ -22,7 +22,7 @@ NON_WS = WS.replace("[", "[^", 1)
 # smileys, numbers), applied in this order by clean_social.
 SOCIAL_PATTERNS = {
     "urls": r"(?:https?://|www\.)" + NON_WS + "+",
-    "mentions": r"@[A-Za-z0-9_]+",
+    "mentions": r"@[A-Za-z0-9_]+:?",
     "hashtags": r"#[A-Za-z0-9_]+",
     "reserved": "(?:^|" + WS + r")(?:RT|FAV):?(?:" + WS + "|$)",
     "emoji": (r"[\x{1F000}-\x{1F2FF}\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}"

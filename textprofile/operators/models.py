@@ -141,7 +141,7 @@ def best_epoch(history: DataFrame, keys: Sequence[str] = ("trait", "fold"), epoc
 
 def cross_validate(df: DataFrame, traits: Sequence[str], make_estimator: Callable[[int, str], object],
                    fold_col: str = "fold", features: str = "features", k: int | None = None,
-                   parallelism: int = 4, keep_models: bool = False):
+                   parallelism: int = 8, keep_models: bool = False):
     """For every trait and fold: fit on the other folds, score the fold, log
     the accuracy.  ``df`` holds ``features``, one 0/1 column per trait and
     ``fold_<trait>`` (or a shared ``fold_col``).  Returns a DataFrame
@@ -206,32 +206,44 @@ def load_models(root: str, kind: str, traits: Sequence[str]) -> dict[str, Pipeli
     return out
 
 
-def positive_probability(pred: DataFrame) -> Column:
-    """Probability of class 1: the ``probability`` vector when the model has
-    one, else a logistic of the SVM margin (``rawPrediction``)."""
-    if "probability" in pred.columns:
-        return vector_to_array("probability")[1]
-    raw = vector_to_array("rawPrediction")
-    return softmax(F.array(raw[0], raw[1]))[1]
+def positive_probability(pred: DataFrame, prob: str = "probability", raw: str = "rawPrediction") -> Column:
+    """Probability of class 1: the probability vector when the model has one,
+    else a softmax of the SVM margins (``rawPrediction``)."""
+    if prob in pred.columns:
+        return vector_to_array(prob)[1]
+    r = vector_to_array(raw)
+    return softmax(F.array(r[0], r[1]))[1]
+
+
+def _renamed_outputs(model: PipelineModel, trait: str) -> PipelineModel:
+    """Copy of the model whose last stage writes trait-specific output columns."""
+    m = model.copy()
+    last = m.stages[-1]
+    for param, col in (("predictionCol", f"_pred_{trait}"), ("probabilityCol", f"_prob_{trait}"),
+                       ("rawPredictionCol", f"_raw_{trait}")):
+        if last.hasParam(param):
+            last._set(**{param: col})
+    return m
 
 
 def score(df: DataFrame, models: dict[str, PipelineModel], key: str = "doc_id",
           features: str = "features") -> DataFrame:
     """``(key, trait, probability, decision)``; decision ``Yes`` only when the
-    probability is strictly above 0.5.  Rows without features get NULLs."""
-    parts = []
+    probability is strictly above 0.5.  All trait models are chained over one
+    pass of the input (trait-specific output columns), then unpivoted; rows
+    without features get NULL probability and decision."""
     has = df.filter(F.col(features).isNotNull())
-    none = df.filter(F.col(features).isNull()).select(key)
+    out = has
+    probs = {}
     for trait, m in models.items():
-        pred = m.transform(has)
-        p = positive_probability(pred)
-        parts.append(pred.select(key, F.lit(trait).alias("trait"), p.alias("probability")))
-        parts.append(none.select(key, F.lit(trait).alias("trait"), F.lit(None).cast("double").alias("probability")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumn("decision", F.when(F.col("probability") > 0.5, "Yes")
-                          .when(F.col("probability").isNotNull(), "No"))
+        out = _renamed_outputs(m, trait).transform(out)
+        probs[trait] = positive_probability(out, f"_prob_{trait}", f"_raw_{trait}")
+    wide = out.select(key, *[p.alias(t) for t, p in probs.items()])
+    none = df.filter(F.col(features).isNull()).select(
+        key, *[F.lit(None).cast("double").alias(t) for t in models])
+    long = wide.unionByName(none).unpivot([key], list(models), "trait", "probability")
+    return long.withColumn("decision", F.when(F.col("probability") > 0.5, "Yes")
+                           .when(F.col("probability").isNotNull(), "No"))
 
 
 def assemble_vector(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataFrame:

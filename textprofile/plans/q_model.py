@@ -306,7 +306,8 @@ def window_features(docs, key: str = "doc_id", text: str = "text"):
 def _train_models(spark, sf, root):
     docs = load(spark, sf, "documents").select("doc_id", "text")
     feats = window_features(docs).filter(F.col("features").isNotNull())
-    lab = feats.join(load(spark, sf, "labels"), "doc_id")
+    # featurised once, lineage cut on the shared checkpoint folder, then one fit per trait
+    lab = feats.join(load(spark, sf, "labels"), "doc_id").checkpoint()
     n = lab.count()
     for t in ("quality", "toxic"):
         m = M.lr_l2(n).fit(lab.withColumn("label", F.col(t).cast("double")))
