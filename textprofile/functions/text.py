@@ -12,11 +12,31 @@ from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------------------
 # Fixed values.
-# WS: every code point Python's str.split() treats as whitespace, spelled as
-# one explicit class so Java regex and RE2 agree.
-WS = (r"[\t-\r\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
-      r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
-NON_WS = WS.replace("[", "[^", 1)
+# Whitespace: every code point Python's str.split() treats as whitespace.
+WHITESPACE_RANGES = ((0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680),
+                     (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F),
+                     (0x3000, 0x3000))
+
+
+def _complement_class(ranges, top=0x10FFFF) -> str:
+    """Ranges not in ``ranges``, the printable-ASCII and Latin/Greek/Cyrillic
+    spans first: a regex engine tests a union of ranges left to right, so the
+    usual non-space character is decided by the first test."""
+    out, lo = [], 0
+    for a, b in sorted(ranges):
+        if a > lo:
+            out.append((lo, a - 1))
+        lo = b + 1
+    if lo <= top:
+        out.append((lo, top))
+    out.sort(key=lambda r: (not (r[0] <= 0x41 <= r[1]), not (r[0] <= 0xE9 <= r[1]), r[0]))
+    return "".join(f"\\x{{{a:X}}}" + (f"-\\x{{{b:X}}}" if b > a else "") for a, b in out)
+
+
+# WS / NON_WS as one explicit class (identical in Java regex and RE2); WS is
+# written as the negated complement because that is the fast form in Java.
+NON_WS = "[" + _complement_class(WHITESPACE_RANGES) + "]"
+WS = "[^" + _complement_class(WHITESPACE_RANGES) + "]"
 
 # Social-text patterns (links, mentions, hashtags, reserved words, emoji,
 # smileys, numbers), applied in this order by clean_social.
