@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import bounded_broadcast
-from .rank import global_position
 
 
 def linear_attribution(df: DataFrame, key: str, features: Sequence[str], weights: Sequence[float],
@@ -61,10 +60,14 @@ def sampled_attribution(model, rows: DataFrame, background: DataFrame, key: str,
     ``x-`` is the same with j from z.  ``phi_j`` is the mean of
     ``f(x+) - f(x-)`` over the samples.  Work is rows x features x samples
     rows, all scored by one distributed ``transform``; the background is a
-    seeded sample of ``background_rows`` rows (size-checked broadcast)."""
+    seeded sample of at most ``background_rows`` rows (a top-k, broadcast)."""
     bg = background.select(vector_to_array(vec).alias("_z"))
-    bg = global_position(bg.withColumn("_h", F.xxhash64(F.col("_z").cast("string"), F.lit(seed))),
-                         ["_h", "_z"], name="_b").filter(F.col("_b") < background_rows).select("_b", "_z")
+    # seeded sample of at most background_rows rows: a distributed top-k on a
+    # hash (no full sort), then numbered within that bounded set
+    bg = bg.withColumn("_h", F.xxhash64(F.col("_z").cast("string"), F.lit(seed))) \
+        .orderBy("_h", F.col("_z").cast("string")).limit(background_rows)
+    bg = bg.withColumn("_b", F.row_number().over(Window.orderBy("_h", F.col("_z").cast("string"))) - 1) \
+        .select("_b", "_z")
     n_bg = bg.count()
     base = rows.select(key, vector_to_array(vec).alias("_x"))
     grid = base.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(n_features - 1)))) \

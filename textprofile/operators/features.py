@@ -88,3 +88,23 @@ def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataF
 def vector_long(df: DataFrame, key: str, vec: str = "features") -> DataFrame:
     """``(key, idx, value)`` rows of a vector column."""
     return df.select(key, F.posexplode(vector_to_array(F.col(vec))).alias("idx", "value"))
+
+
+def assemble_inputs(kind: str, embeddings: DataFrame | None = None, psycho: DataFrame | None = None,
+                    key: str = "author_id", vec: str = "vec", out: str = "features") -> DataFrame:
+    """The three model inputs: ``embedding`` (vector only), ``psycho``
+    (psycholinguistic columns, missing -> 0) or ``combined`` (both, joined on
+    the author key).  The width is whatever the inputs hold."""
+    from pyspark.ml.functions import array_to_vector
+    if kind not in ("embedding", "psycho", "combined"):
+        raise ValueError(f"unknown input kind {kind!r}")
+    parts, cols = [], []
+    if kind in ("embedding", "combined"):
+        parts.append(embeddings.select(key, array_to_vector(F.col(vec)).alias("_emb")))
+        cols.append("_emb")
+    if kind in ("psycho", "combined"):
+        pcols = [c for c in psycho.columns if c != key]
+        parts.append(psycho)
+        cols += pcols
+    joined = reduce(lambda a, b: a.join(b, key), parts)
+    return assemble(joined, cols, out).drop(*[c for c in cols if c == "_emb"])

@@ -14,7 +14,7 @@ from ..session import scratch_path
 from ..sources import readers as RD
 from ..sources import writers as WR
 from . import derived as D
-from . import q_prep
+from . import q_prep, q_text
 from . import sqlfrag as S
 from .tables import load
 
@@ -379,14 +379,48 @@ def q_assemble_features(spark, sf):
         F.col("author_id").alias("doc_id"), F.col("idx").cast("bigint").alias("idx"), r6("value").alias("value"))
 
 
+@register("src_posts_csv",
+          "WITH r AS (SELECT user_id, ts, event_id, event_type, row_number() OVER "
+          "(PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) "
+          "SELECT user_id::VARCHAR AS author, string_agg(event_type, ' ||| ' ORDER BY ts, event_id) AS text, "
+          "count(*)::BIGINT AS n_posts FROM r WHERE rn <= 20 GROUP BY user_id")
+def q_src_posts_csv(spark, sf):
+    """Post log written as CSV (author, body, created_utc in microseconds, id)
+    and read back, then the 20 most recent posts per author."""
+    from ..operators.posts import recent_posts
+    ev = load(spark, sf, "events")
+    path = scratch_path(spark, "posts_csv")
+    WR.write_csv(ev.select(F.col("user_id").cast("string").alias("author"), F.col("event_type").alias("body"),
+                           F.unix_micros(F.col("ts").cast("timestamp")).alias("created_utc"),
+                           F.col("event_id").alias("id")), path)
+    posts = RD.read_posts(spark, path, keep=[F.col("id").cast("bigint").alias("id")])
+    return recent_posts(posts, n=20, tiebreak="id")
+
+
+@register("src_concept_vectors_csv", q_text.ORACLE["lexicon_concept_vectors"])
+def q_src_concept_vectors_csv(spark, sf):
+    """Concept-vector lexicon written as a headerless CSV, read back (column 0
+    is the concept), then count-weighted mean vectors per document."""
+    lex = D.concept_vector_lexicon(spark, sf)
+    path = scratch_path(spark, "concept_vec_csv")
+    WR.write_csv(lex.select("concept", *[F.col("vec")[i].alias(f"d{i}") for i in range(D.CONCEPT_DIMS)]),
+                 path, header=False)
+    out = LX.concept_vector_features(q_text.doc_bags(spark, sf), RD.read_concept_vectors(spark, path))
+    return out.select("doc_id", F.col("dim").cast("bigint").alias("dim"), r6("value").alias("value"))
+
+
 @register("author_order_join",
           f"WITH dl AS ({q_prep._SQL_DL}) SELECT (row_number() OVER (ORDER BY n_tokens, doc_id) - 1)::BIGINT AS ord, "
           "doc_id, quality, toxic FROM dl")
 def q_author_order_join(spark, sf):
-    """Position -> author side table joined back to the labels by key."""
+    """Author order after the length sort written as a side file
+    (``order,user``), read back and joined to the labels by key."""
     order = global_position(q_prep.doc_lengths(spark, sf).select("doc_id", "n_tokens"), ["n_tokens", "doc_id"], name="ord")
-    side = order.select("ord", "doc_id")
-    return side.join(load(spark, sf, "labels"), "doc_id").select("ord", "doc_id", "quality", "toxic")
+    path = scratch_path(spark, "author_order")
+    WR.write_csv(order.select(F.col("ord").alias("order"), F.col("doc_id").alias("user")), path)
+    side = spark.read.csv(path, header=True, schema="order bigint, user bigint")
+    return side.join(load(spark, sf, "labels"), side["user"] == F.col("doc_id")) \
+        .select(F.col("order").alias("ord"), "doc_id", "quality", "toxic")
 
 
 @register("union_corpora",

@@ -285,6 +285,29 @@ def q_cv_results(spark, sf):
     return M.cross_validate(_emb_folds(spark, sf), ["odd", "low"], lambda n, t: M.lr_l2(n), k=10)
 
 
+@register("cv_combined")
+def q_cv_combined(spark, sf):
+    """Cross-validated L2 logistic models on the combined input (hashing
+    embedding of each labelled document + emotion and VAD lexicon scores),
+    stratified folds per trait: ``(trait, fold, acc)``."""
+    from ..operators import features as FE
+    from ..operators import lexicon as LX
+    docs = load(spark, sf, "documents").select("doc_id", "text")
+    rows = docs.select("doc_id", F.explode(T.tokenize(F.lower(F.col("text")))).alias("word"))
+    emb = V.hashing_embed_dense(rows, "doc_id", dim=DIM).withColumnRenamed("doc_id", "author_id")
+    emo = LX.lexicon_features(docs, D.emotion_lexicon(spark, sf), D.EMOTIONS)
+    vad = LX.lexicon_features(docs, D.vad_lexicon(spark, sf), D.VAD)
+    psycho = emo.join(vad, "doc_id").withColumnRenamed("doc_id", "author_id")
+    x = FE.assemble_inputs("combined", emb, psycho)
+    lab = load(spark, sf, "labels").withColumnRenamed("doc_id", "author_id")
+    df = x.join(lab, "author_id")
+    for t in ("quality", "toxic"):
+        f = FO.stratified_folds(df.select("author_id", t), t, "author_id", k=10) \
+            .select("author_id", F.col("fold").alias(f"fold_{t}"))
+        df = df.join(f, "author_id")
+    return M.cross_validate(df.checkpoint(), ["quality", "toxic"], lambda n, t: M.lr_l2(n), k=10)
+
+
 # ---- scoring unseen text ------------------------------------------------------------------
 
 WIN, OVERLAP, DIM = 64, 16, 64

@@ -229,6 +229,21 @@ def q_readability_usage(spark, sf):
     return _readability(spark, sf).select("doc_id", *RD.USAGE_COLUMNS, *RD.BEGIN_COLUMNS)
 
 
+_COMPAT = {"tobeverb": "use_tobeverb", "auxverb": "use_auxverb", "nominalization": "use_nominalization",
+           "pronoun": "begin_pronoun", "interrogative": "begin_interrogative", "article": "begin_article",
+           "subordination": "begin_subordination", "conjunction": "begin_conjunction",
+           "preposition": "begin_preposition"}
+
+
+@register("readability_compat", f"WITH en AS ({_SQL_EN}) SELECT doc_id, "
+          + ", ".join(f"{S.rd_usage('text')[v]} AS {k}" for k, v in _COMPAT.items()) + " FROM en")
+def q_readability_compat(spark, sf):
+    """Flattened-the-old-way names: the usage counts of pronoun, conjunction
+    and preposition are overwritten by the sentence-beginning counts."""
+    docs = load(spark, sf, "documents").filter(F.col("lang") == "en").select("doc_id", "text")
+    return R.readability(docs, easy_words(spark, sf), compat=True).select("doc_id", *_COMPAT)
+
+
 # ---- length ordering -------------------------------------------------------------------
 
 _SQL_DL = (f"SELECT d.doc_id, len({S.tokens('d.text')})::BIGINT AS n_tokens, l.quality, l.toxic "

@@ -13,6 +13,7 @@ from ..operators import lexicon as LX
 from ..operators import vectors as V
 from ..operators.rank import global_position
 from ..session import scratch_path
+from ..sources import readers as RD
 from ..sources import writers as WR
 from . import derived as D
 from . import sqlfrag as S
@@ -109,13 +110,22 @@ _RUN_IDX = "CASE p % 10 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 3 THEN 2 ELSE 3 END"
       "ON mem.vec_id = el.vec_id GROUP BY mem.run, el.pos")
 def q_chunk_mean_by_counts(spark, sf):
     """Flat vector list (vec_id order) consumed in runs of lengths 1, 2, 3, 4,
-    1, 2, ... (the run-length table is derived from the vector positions)."""
+    1, 2, ... (the run-length list is derived from the vector positions,
+    written as a count-list text file and read back)."""
     emb = _emb(spark, sf)
     pos = global_position(emb.select("vec_id"), ["vec_id"], name="p")
     m = F.col("p") % 10
     idx = F.when(m == 0, 0).when(m == 1, 1).when(m == 3, 2).otherwise(3)
     counts = pos.filter(m.isin(0, 1, 3, 6)).select(
         ((F.col("p") / 10).cast("long") * 4 + idx).alias("doc_pos"), (idx + 1).alias("n_chunks"))
+    # the count list travels as a text file: lines "<first doc_pos>\t[c, c, ...]"
+    path = scratch_path(spark, "count_list")
+    lines = counts.groupBy((F.col("doc_pos") / 8).cast("long").alias("_g")).agg(
+        F.array_sort(F.collect_list(F.struct("doc_pos", "n_chunks"))).alias("_l"))
+    lines.select(F.concat(F.element_at("_l", 1)["doc_pos"].cast("string"), F.lit("\t"),
+                          F.to_json(F.transform("_l", lambda s: s["n_chunks"]))).alias("value")) \
+        .write.mode("overwrite").text(path)
+    counts = RD.read_count_list(spark, path)
     out = V.chunk_mean_by_counts(emb, counts, "vec_id", "embedding")
     return long_vec(out.withColumnRenamed("doc_pos", "run"), "run")
 

@@ -43,10 +43,11 @@ def read_type_corpus(spark: SparkSession, path: str) -> DataFrame:
                      *[code_letter_flag("type", pos, letter).alias(letter) for letter, pos in CODE_LETTERS])
 
 
-def read_posts(spark: SparkSession, path: str, ts_type: str = "bigint") -> DataFrame:
-    """Post log CSV: ``author, body, created_utc`` (other columns ignored)."""
+def read_posts(spark: SparkSession, path: str, ts_type: str = "bigint", keep: Sequence[str] = ()) -> DataFrame:
+    """Post log CSV with a header: ``author, body, created_utc`` (+ ``keep``
+    columns, e.g. a post id for tie-breaking; other columns ignored)."""
     df = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True)
-    return df.select("author", "body", F.col("created_utc").cast(ts_type).alias("created_utc"))
+    return df.select("author", "body", F.col("created_utc").cast(ts_type).alias("created_utc"), *keep)
 
 
 def read_lexicon(spark: SparkSession, path: str, fmt: str = "csv", key: str | None = None,
@@ -157,3 +158,23 @@ def read_feature_group(spark: SparkSession, root: str, group: str, key: str = "a
 def load_feature_groups(spark: SparkSession, root: str, groups: Sequence[str], key: str = "author_id",
                         fmt: str = "csv") -> dict[str, DataFrame]:
     return {g: read_feature_group(spark, root, g, key, fmt) for g in groups}
+
+
+# ---- sub-document count lists ----------------------------------------------------
+
+def read_count_list(spark: SparkSession, path: str, fmt: str = "lines") -> DataFrame:
+    """Sub-document counts per document -> ``(doc_pos, n_chunks)``.
+
+    ``lines``: text lines ``<first_doc_pos>\\t[c0, c1, ...]`` (a long list
+    split over many lines/files with explicit offsets, read in parallel).
+    ``single``: one bracketed list in one file (small corpora only: the whole
+    list is one row)."""
+    if fmt == "single":
+        raw = spark.read.option("wholetext", "true").text(path)
+        return raw.select(F.posexplode(F.from_json(F.trim("value"), "array<bigint>")).alias("doc_pos", "n_chunks")) \
+            .select(F.col("doc_pos").cast("bigint"), "n_chunks")
+    raw = spark.read.text(path).filter(F.trim("value") != "")
+    parts = F.split("value", "\t")
+    rows = raw.select(parts[0].cast("bigint").alias("_off"), F.from_json(parts[1], "array<bigint>").alias("_c"))
+    return rows.select(F.col("_off"), F.posexplode("_c").alias("_i", "n_chunks")) \
+        .select((F.col("_off") + F.col("_i")).alias("doc_pos"), "n_chunks")
