@@ -12,10 +12,11 @@ def _c(col) -> Column:
 
 def round_to(col, digits: int = 6) -> Column:
     """Round half away from zero on the scaled binary value,
-    ``round(x * 10^d) / 10^d``: the same double as SQL engines that scale
-    before rounding, so printed results agree digit for digit."""
+    ``sign(x) * round(|x| * 10^d) / 10^d``: the same double (sign of zero
+    included) as SQL engines that scale before rounding."""
     scale = float(10 ** digits)
-    return F.round(_c(col) * F.lit(scale), 0) / F.lit(scale)
+    x = _c(col)
+    return F.signum(x) * F.round(F.abs(x) * F.lit(scale), 0) / F.lit(scale)
 
 
 def nan_to_zero(col) -> Column:

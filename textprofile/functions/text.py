@@ -39,7 +39,7 @@ NON_WS = "[" + _complement_class(WHITESPACE_RANGES) + "]"
 WS = "[^" + _complement_class(WHITESPACE_RANGES) + "]"
 
 # Social-text patterns (links, mentions, hashtags, reserved words, emoji,
-# smileys, numbers), applied in this order by clean_social.
+# smileys, numbers), tried in this order by clean_social.
 SOCIAL_PATTERNS = {
     "urls": r"(?:https?://|www\.)" + NON_WS + "+",
     "mentions": r"@[A-Za-z0-9_]+:?",
@@ -53,7 +53,7 @@ SOCIAL_PATTERNS = {
 SOCIAL_ORDER = ("urls", "mentions", "hashtags", "reserved", "emoji", "smileys", "numbers")
 LINK = "http" + NON_WS + "+"
 POST_SEPARATOR = r"\|\|\|"
-STRICT_KEEP = r"[^a-zA-Z.?!,]"
+STRICT_KEEP = r"[^a-zA-Z.?!,]+"  # a run -> one space: the later steps treat any whitespace run alike
 ISOLATED_LETTER = WS + "+[a-zA-HJ-Z]" + WS + "+"
 SENTENCE_END = r"([.?!])"
 TRUE_WORDS = ("true", "t", "1", "yes", "y")
@@ -69,17 +69,26 @@ def collapse_ws(col) -> Column:
     return F.regexp_replace(_c(col), WS + "+", " ")
 
 
-def clean_social(col, urls=True, mentions=True, hashtags=True, reserved=True,
-                 emoji=True, smileys=True, numbers=True) -> Column:
-    """Remove social-media artefacts; result is whitespace-collapsed and trimmed."""
+def social_pattern(urls=True, mentions=True, hashtags=True, reserved=True, emoji=True,
+                   smileys=True, numbers=True) -> str:
+    """One alternation of the enabled social patterns, in ``SOCIAL_ORDER``
+    (leftmost match wins; at one position the earlier pattern wins)."""
     flags = dict(urls=urls, mentions=mentions, hashtags=hashtags, reserved=reserved,
                  emoji=emoji, smileys=smileys, numbers=numbers)
+    return "|".join(f"(?:{SOCIAL_PATTERNS[n]})" for n in SOCIAL_ORDER if flags[n])
+
+
+def clean_social(col, urls=True, mentions=True, hashtags=True, reserved=True,
+                 emoji=True, smileys=True, numbers=True) -> Column:
+    """Remove social-media artefacts; result is whitespace-collapsed and trimmed.
+
+    The enabled patterns form one alternation applied in two passes (the
+    second catches hits that shared a separator with a first-pass hit, such
+    as adjacent numbers), instead of one pass per pattern."""
+    pat = social_pattern(urls, mentions, hashtags, reserved, emoji, smileys, numbers)
     out = _c(col)
-    for name in SOCIAL_ORDER:
-        if flags[name]:
-            out = F.regexp_replace(out, SOCIAL_PATTERNS[name], " ")
-            if name in ("reserved", "numbers"):  # adjacent hits share a separator
-                out = F.regexp_replace(out, SOCIAL_PATTERNS[name], " ")
+    if pat:
+        out = F.regexp_replace(F.regexp_replace(out, pat, " "), pat, " ")
     return F.trim(collapse_ws(out))
 
 

@@ -160,6 +160,39 @@ def hashing_embed_dense(token_rows: DataFrame, doc: str | Sequence[str] = "doc_i
     return sparse.groupBy(*keys).agg(dense_from_entries("bucket", "value", dim).alias("vec"))
 
 
+def hashing_embed_docs(docs: DataFrame, key: str, tokens: str, dim: int = 64,
+                       num_partitions: int | None = None) -> DataFrame:
+    """``(key, vec)`` for documents holding a token array.
+
+    The document rows are hash-partitioned by ``key`` once; the explode, the
+    per-(document, bucket) sums, the per-document norm and the densification
+    then all run inside that partitioning (no further exchange), so only the
+    document rows cross the network, never the token rows."""
+    parts = num_partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(key, tokens).repartition(parts, key).select(key, F.explode(tokens).alias("_t"))
+    return hashing_embed_dense(rows, key, "_t", dim)
+
+
+def hashing_window_mean(docs: DataFrame, key: str, tokens: str, size: int, overlap: int,
+                        dim: int = 64, num_partitions: int | None = None) -> DataFrame:
+    """Mean over a document's overlapping windows of the windows' hashing
+    vectors -> ``(key, vec)`` (documents without tokens are absent).
+
+    Same co-location as ``hashing_embed_docs``: one exchange of the document
+    rows by ``key``; window vectors stay sparse and are summed per (document,
+    bucket) and divided by the window count, so only one dense vector per
+    document is built."""
+    from .chunk import chunk_overlap, overlap_window_count
+    parts = num_partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = docs.select(key, tokens).repartition(parts, key) \
+        .withColumn("_nw", overlap_window_count(F.size(tokens), size, overlap))
+    wins = chunk_overlap(d, tokens, size=size, overlap=overlap, keep=(key, "_nw"))
+    rows = wins.select(key, "_nw", "chunk_no", F.explode("chunk").alias("_t"))
+    sparse = hashing_embed(rows, [key, "_nw", "chunk_no"], "_t", dim)
+    summed = sparse.groupBy(key, "_nw", "bucket").agg((F.sum("value") / F.first("_nw")).alias("_v"))
+    return summed.groupBy(key).agg(dense_from_entries("bucket", "_v", dim).alias("vec"))
+
+
 # ---- plug-in encoders (Arrow batches through mapInPandas) ---------------------------------
 
 EncoderFactory = Callable[[], Callable[[list[list[str]]], np.ndarray]]

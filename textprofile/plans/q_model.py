@@ -293,8 +293,8 @@ def q_cv_combined(spark, sf):
     from ..operators import features as FE
     from ..operators import lexicon as LX
     docs = load(spark, sf, "documents").select("doc_id", "text")
-    rows = docs.select("doc_id", F.explode(T.tokenize(F.lower(F.col("text")))).alias("word"))
-    emb = V.hashing_embed_dense(rows, "doc_id", dim=DIM).withColumnRenamed("doc_id", "author_id")
+    toks = docs.select("doc_id", T.tokenize(F.lower(F.col("text"))).alias("toks"))
+    emb = V.hashing_embed_docs(toks, "doc_id", "toks", dim=DIM).withColumnRenamed("doc_id", "author_id")
     emo = LX.lexicon_features(docs, D.emotion_lexicon(spark, sf), D.EMOTIONS)
     vad = LX.lexicon_features(docs, D.vad_lexicon(spark, sf), D.VAD)
     psycho = emo.join(vad, "doc_id").withColumnRenamed("doc_id", "author_id")
@@ -316,21 +316,20 @@ WIN, OVERLAP, DIM = 64, 16, 64
 def window_features(docs, key: str = "doc_id", text: str = "text"):
     """clean -> lower-case tokens -> overlapping windows -> hashing vector per
     window -> mean over the document's windows: ``(key, features)``; a
-    document without tokens gets NULL features."""
+    document without tokens gets NULL features.  The windows of a document
+    are built and averaged after one exchange of the document rows."""
     toks = docs.select(key, T.tokenize(F.lower(T.clean_text(F.col(text)))).alias("toks"))
-    wins = C.chunk_overlap(toks, "toks", size=WIN, overlap=OVERLAP, keep=(key,))
-    rows = wins.select(key, "chunk_no", F.explode("chunk").alias("word"))
-    vecs = V.hashing_embed_dense(rows, [key, "chunk_no"], dim=DIM)
-    pooled = V.mean_vectors(vecs, [key], "vec")
+    pooled = V.hashing_window_mean(toks, key, "toks", WIN, OVERLAP, dim=DIM)
     return docs.select(key).join(pooled, key, "left").select(
         key, F.when(F.col("vec").isNotNull(), array_to_vector("vec")).alias("features"))
 
 
-def _train_models(spark, sf, root):
-    docs = load(spark, sf, "documents").select("doc_id", "text")
-    feats = window_features(docs).filter(F.col("features").isNotNull())
-    # featurised once, lineage cut on the shared checkpoint folder, then one fit per trait
-    lab = feats.join(load(spark, sf, "labels"), "doc_id").checkpoint()
+def _train_models(spark, sf, root, feats=None):
+    """One L2 logistic model per trait on the labelled documents' features,
+    saved under ``root`` and loaded back (the registry round trip)."""
+    if feats is None:
+        feats = window_features(load(spark, sf, "documents").select("doc_id", "text"))
+    lab = feats.filter(F.col("features").isNotNull()).join(load(spark, sf, "labels"), "doc_id").checkpoint()
     n = lab.count()
     for t in ("quality", "toxic"):
         m = M.lr_l2(n).fit(lab.withColumn("label", F.col(t).cast("double")))
@@ -343,9 +342,12 @@ def q_score_unseen(spark, sf):
     """Per-trait models trained on windowed hashing vectors of labelled
     documents, saved, reloaded, and applied to every document:
     ``(doc_id, trait, probability, decision)``."""
-    models = _train_models(spark, sf, scratch_path(spark, "models"))
     docs = load(spark, sf, "documents").select("doc_id", "text")
-    out = M.score(window_features(docs), models)
+    # featurised once (lineage cut on the shared checkpoint folder), used for
+    # training on the labelled documents and for scoring every document
+    feats = window_features(docs).checkpoint()
+    models = _train_models(spark, sf, scratch_path(spark, "models"), feats)
+    out = M.score(feats, models)
     return out.select("doc_id", "trait", r6("probability").alias("probability"), "decision")
 
 

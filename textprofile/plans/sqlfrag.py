@@ -22,12 +22,8 @@ def collapse_ws(x: str) -> str:
 
 
 def clean_social(x: str) -> str:
-    out = x
-    for name in T.SOCIAL_ORDER:
-        out = rr(out, T.SOCIAL_PATTERNS[name])
-        if name in ("reserved", "numbers"):
-            out = rr(out, T.SOCIAL_PATTERNS[name])
-    return f"trim({collapse_ws(out)})"
+    pat = T.social_pattern()
+    return f"trim({collapse_ws(rr(rr(x, pat), pat))})"
 
 
 def clean_text(x: str) -> str:
