@@ -97,18 +97,42 @@ def _count(arr: Column, pred) -> Column:
     return F.size(F.filter(arr, pred)).cast("bigint")
 
 
-PREPARED = ("_ws", "_lw", "_syl", "_sl")
+PREPARED = ("_ws", "_lw", "_syl", "_sl", "_np")
+
+
+def syllables_of_lower(lw: Column) -> Column:
+    """``syllables`` for an already lower-cased letters-only word: the vowel
+    groups are extracted once and reused through a struct."""
+    g = F.size(F.regexp_extract_all(lw, F.lit(VOWEL_GROUP), 0))
+    return g - F.when(lw.endswith("e") & ~lw.endswith("le") & (g > 1), 1).otherwise(0)
 
 
 def prepare(text) -> dict[str, Column]:
-    """Per-document arrays computed once: words, their lower-case letters,
-    their syllables, and the sentences."""
-    ws = words(text)
-    return {"_ws": ws, "_sl": sentence_list(text)}
+    """Stage 1, per document: the sentence-split text, computed once."""
+    return {"_st": split_sentences_text(text)}
+
+
+def prepare_split(st: Column) -> dict[str, Column]:
+    """Stage 2: words, sentences and the paragraph count from the split text."""
+    blocks = F.split(st, PARAGRAPH_BREAK)
+    return {
+        "_ws": F.filter(tokenize(st), lambda t: F.regexp_like(t, F.lit(WORD_CHAR))),
+        "_sl": F.filter(F.split(st, "\n"), lambda x: F.regexp_like(x, F.lit(NON_WS))),
+        "_np": F.greatest(F.lit(1), F.size(F.filter(blocks, lambda x: F.regexp_like(x, F.lit(NON_WS))))),
+    }
 
 
 def prepare_words(ws: Column) -> dict[str, Column]:
-    return {"_lw": F.transform(ws, letters_lower), "_syl": F.transform(ws, syllables)}
+    """Stage 3: letters-only lower-case form of every word."""
+    return {"_lw": F.transform(ws, letters_lower)}
+
+
+def prepare_syllables(lw: Column) -> dict[str, Column]:
+    """Stage 4: syllables per word (one vowel-group extraction per word)."""
+    per = F.transform(lw, lambda x: F.struct(x.alias("l"), F.size(F.regexp_extract_all(
+        x, F.lit(VOWEL_GROUP), 0)).alias("g")))
+    return {"_syl": F.transform(per, lambda s: F.greatest(F.lit(1), s["g"] - F.when(
+        s["l"].endswith("e") & ~s["l"].endswith("le") & (s["g"] > 1), 1).otherwise(0)))}
 
 
 def counts_from(p: dict[str, Column], text) -> dict[str, Column]:
@@ -121,7 +145,7 @@ def counts_from(p: dict[str, Column], text) -> dict[str, Column]:
         "words": F.size(ws).cast("bigint"),
         "wordtypes": F.size(F.array_distinct(F.transform(ws, F.lower))).cast("bigint"),
         "sentences": F.size(p["_sl"]).cast("bigint"),
-        "paragraphs": paragraphs(text).cast("bigint"),
+        "paragraphs": (p["_np"] if "_np" in p else paragraphs(text)).cast("bigint"),
         "long_words": _count(lw, lambda x: F.length(x) >= LONG_WORD),
         "complex_words": _count(pairs, lambda z: (z["s"] >= COMPLEX_SYLLABLES)
                                 & (F.substring(z["w"], 1, 1) == F.lower(F.substring(z["w"], 1, 1)))),
@@ -130,8 +154,10 @@ def counts_from(p: dict[str, Column], text) -> dict[str, Column]:
 
 def counts(text) -> dict[str, Column]:
     """Count columns of one document (all bigint), unprepared form."""
-    p = prepare(text)
+    st = split_sentences_text(text)
+    p = prepare_split(st)
     p.update(prepare_words(p["_ws"]))
+    p.update(prepare_syllables(p["_lw"]))
     return counts_from(p, text)
 
 

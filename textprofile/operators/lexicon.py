@@ -59,6 +59,30 @@ def lexicon_features(docs: DataFrame, lexicon: DataFrame, scores: Sequence[str],
         *[F.try_divide(F.sum(s).cast("double"), hits).alias(s) for s in scores])
 
 
+def lexicon_features_multi(docs: DataFrame, lexicons: dict, doc_key: str = "doc_id",
+                           text_col: str = "text", key: str = "word") -> DataFrame:
+    """Several word lexicons in one pass: ``lexicons`` maps a name to
+    ``(lexicon DataFrame, score columns)``.  The lexicons are merged by word
+    (a full outer join of the small lexicon tables, one hit flag per lexicon),
+    then one explode, one join and one aggregate give every lexicon's weighted
+    means with that lexicon's own matched-token denominator - the same values
+    as one ``lexicon_features`` call per lexicon."""
+    merged = None
+    for name, (lex, scores) in lexicons.items():
+        part = lex.select(F.col(key).alias("_k"), *scores).withColumn(f"_hit_{name}", F.lit(1))
+        if merged is None:
+            merged = part
+        else:
+            merged = merged.join(part, "_k", "full_outer")
+    tok = token_rows(docs, doc_key, text_col, word_col="_k", keep_empty=True)
+    joined = tok.join(bounded_broadcast(merged), "_k", "left")
+    aggs = []
+    for name, (_, scores) in lexicons.items():
+        hits = F.sum(f"_hit_{name}")
+        aggs += [F.try_divide(F.sum(s).cast("double"), hits).alias(s) for s in scores]
+    return joined.groupBy(doc_key).agg(*aggs)
+
+
 def concept_bag(df: DataFrame, doc_key: str = "doc_id", text_col: str = "text",
                 tokens_col: str | None = None) -> DataFrame:
     """``(doc_key, concept_count array<struct<concept, count>>)`` built from the

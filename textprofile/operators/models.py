@@ -153,14 +153,16 @@ def cross_validate(df: DataFrame, traits: Sequence[str], make_estimator: Callabl
     jobs = []
     for t in traits:
         fc = f"fold_{t}" if f"fold_{t}" in df.columns else fold_col
-        folds = k or cached.agg(F.max(fc)).first()[0] + 1
-        jobs += [(t, fc, f) for f in range(folds)]
+        # one aggregate gives every fold's size (traits x folds numbers)
+        sizes = {r[0]: r[1] for r in cached.groupBy(fc).count().collect()}
+        total = sum(sizes.values())
+        folds = k or (max(sizes) + 1)
+        jobs += [(t, fc, f, total - sizes.get(f, 0)) for f in range(folds)]
 
     def run(job):
-        t, fc, f = job
+        t, fc, f, n_train = job
         train = cached.filter(F.col(fc) != f).withColumn("label", F.col(t).cast("double"))
         test = cached.filter(F.col(fc) == f).withColumn("label", F.col(t).cast("double"))
-        n_train = train.count()
         model = make_estimator(n_train, t).fit(train)
         acc = accuracy(model.transform(test)).first()["acc"]
         return t, f + 1, float(acc) if acc is not None else None, model

@@ -29,10 +29,14 @@ def readability(docs: DataFrame, easy_words: DataFrame, doc_key: str = "doc_id",
     to one row per document.  The aggregate is partial + final, so the shuffle
     carries one row per document and map task."""
     text = F.col(text_col)
-    first = docs.select(doc_key, text_col, *[v.alias(k) for k, v in R.prepare(text).items()])
-    prepared = first.select("*", *[v.alias(k) for k, v in R.prepare_words(F.col("_ws")).items()])
+    # staged projections: each per-document / per-word regex runs once
+    # (Catalyst keeps repeated non-trivial aliases in separate projections)
+    st = docs.select(doc_key, *[v.alias(k) for k, v in R.prepare(text).items()])
+    sp = st.select(doc_key, *[v.alias(k) for k, v in R.prepare_split(F.col("_st")).items()])
+    lw = sp.select("*", *[v.alias(k) for k, v in R.prepare_words(F.col("_ws")).items()])
+    prepared = lw.select("*", *[v.alias(k) for k, v in R.prepare_syllables(F.col("_lw")).items()])
     p = {k: F.col(k) for k in R.PREPARED}
-    c = R.counts_from(p, text)
+    c = R.counts_from(p, None)
     use = R.usage_from(F.col("_lw"), F.col("_sl"))
     per_doc = prepared.select(doc_key, "_lw", *[v.alias(k) for k, v in c.items()],
                               *[v.alias(k) for k, v in use.items()])

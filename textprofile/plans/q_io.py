@@ -274,8 +274,11 @@ def q_feature_sink_roundtrip(spark, sf):
 
 def _groups(spark, sf):
     docs = load(spark, sf, "documents")
-    emo = LX.lexicon_features(docs, D.emotion_lexicon(spark, sf), D.EMOTIONS).withColumnRenamed("doc_id", "author_id")
-    vad = LX.lexicon_features(docs, D.vad_lexicon(spark, sf), D.VAD).withColumnRenamed("doc_id", "author_id")
+    both = LX.lexicon_features_multi(docs, {"emotion": (D.emotion_lexicon(spark, sf), D.EMOTIONS),
+                                            "vad": (D.vad_lexicon(spark, sf), D.VAD)}) \
+        .withColumnRenamed("doc_id", "author_id")
+    emo = both.select("author_id", *D.EMOTIONS)
+    vad = both.select("author_id", *D.VAD)
     rd = q_prep.easy_words(spark, sf)
     from ..operators import readability as R
     from ..functions import readability as RF

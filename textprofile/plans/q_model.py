@@ -3,6 +3,7 @@ attribution, streaming."""
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
@@ -248,16 +249,24 @@ def q_train_mlp(spark, sf):
 
 @register("train_mlp_deep")
 def q_train_mlp_deep(spark, sf):
-    """Network 64-128-50-2; the iteration budget is chosen on the validation
-    tail of the training rows (best-only), then the test rows are scored."""
+    """Network 64-128-50-2; the iteration budget (10, 25, 50; each stage
+    continues from the previous weights) is chosen on the validation tail of
+    the training rows (best-only), then the test rows are scored."""
     df = FO.holdout_split(_emb_train(spark, sf).withColumnRenamed("low", "label"), "vec_id", seed=0)
     train, val, test = (df.filter(F.col("split") == s) for s in ("train", "val", "test"))
-    best = None
+    train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    best, weights, done = None, None, 0
     for iters in (10, 25, 50):
-        m = M.mlp(64, (128, 50), max_iter=iters, seed=0).fit(train)
+        # continue from the previous budget's weights instead of restarting
+        est = M.mlp(64, (128, 50), max_iter=iters - done, seed=0)
+        if weights is not None:
+            est.setInitialWeights(weights)
+        m = est.fit(train)
+        weights, done = m.weights, iters
         acc = M.accuracy(m.transform(val)).first()["acc"]
         if best is None or acc > best[0]:
             best = (acc, iters, m)
+    train.unpersist()
     return _pred_out(best[2], test).withColumn("max_iter", F.lit(best[1]))
 
 
@@ -295,9 +304,9 @@ def q_cv_combined(spark, sf):
     docs = load(spark, sf, "documents").select("doc_id", "text")
     toks = docs.select("doc_id", T.tokenize(F.lower(F.col("text"))).alias("toks"))
     emb = V.hashing_embed_docs(toks, "doc_id", "toks", dim=DIM).withColumnRenamed("doc_id", "author_id")
-    emo = LX.lexicon_features(docs, D.emotion_lexicon(spark, sf), D.EMOTIONS)
-    vad = LX.lexicon_features(docs, D.vad_lexicon(spark, sf), D.VAD)
-    psycho = emo.join(vad, "doc_id").withColumnRenamed("doc_id", "author_id")
+    psycho = LX.lexicon_features_multi(docs, {"emotion": (D.emotion_lexicon(spark, sf), D.EMOTIONS),
+                                              "vad": (D.vad_lexicon(spark, sf), D.VAD)}) \
+        .withColumnRenamed("doc_id", "author_id")
     x = FE.assemble_inputs("combined", emb, psycho)
     lab = load(spark, sf, "labels").withColumnRenamed("doc_id", "author_id")
     df = x.join(lab, "author_id")
