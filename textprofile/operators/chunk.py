@@ -22,6 +22,13 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def _let(expr: Column, body) -> Column:
+    """Evaluate ``expr`` once and pass it to ``body`` (a one-element
+    ``transform``): an argument used several times in ``body`` is not
+    recomputed per use when it is itself an expression such as a tokenizer."""
+    return F.transform(F.array(expr), body)[0]
+
+
 def truncate_head(tokens, length: int, markers: int = 2) -> Column:
     """First ``length - markers`` tokens."""
     return F.slice(_c(tokens), 1, length - markers)
@@ -30,23 +37,20 @@ def truncate_head(tokens, length: int, markers: int = 2) -> Column:
 def truncate_tail(tokens, length: int, markers: int = 2) -> Column:
     """Last ``length - markers`` tokens (whole array when shorter)."""
     k = length - markers
-    t = _c(tokens)
-    return F.when(F.size(t) > k, F.slice(t, -k, k)).otherwise(t)
+    return _let(_c(tokens), lambda t: F.when(F.size(t) > k, F.slice(t, -k, k)).otherwise(t))
 
 
 def truncate_head_tail(tokens, head_n: int, tail_n: int) -> Column:
     """First ``head_n`` and last ``tail_n`` tokens; a document no longer than
     ``head_n + tail_n`` is kept whole (no token is repeated)."""
-    t = _c(tokens)
-    return F.when(F.size(t) <= head_n + tail_n, t).otherwise(
-        F.concat(F.slice(t, 1, head_n), F.slice(t, -tail_n, tail_n)))
+    return _let(_c(tokens), lambda t: F.when(F.size(t) <= head_n + tail_n, t).otherwise(
+        F.concat(F.slice(t, 1, head_n), F.slice(t, -tail_n, tail_n))))
 
 
 def pad_ids(ids, length: int, pad: int = PAD_ID) -> Column:
     """Right-pad an id array with ``pad`` up to ``length`` (cut when longer)."""
-    i = _c(ids)
-    return F.slice(F.concat(i, F.array_repeat(F.lit(pad), F.greatest(F.lit(length) - F.size(i), F.lit(0)))),
-                   1, length)
+    return _let(_c(ids), lambda i: F.slice(
+        F.concat(i, F.array_repeat(F.lit(pad), F.greatest(F.lit(length) - F.size(i), F.lit(0)))), 1, length))
 
 
 def _starts(n: Column, count: Column, step: int) -> Column:

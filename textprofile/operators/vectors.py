@@ -144,9 +144,10 @@ def hashing_embed(token_rows: DataFrame, doc: str | Sequence[str] = "doc_id", to
     aggregated map-side; the norm is a window per document over at most ``dim``
     rows."""
     keys = [doc] if isinstance(doc, str) else list(doc)
-    h = token_hash(F.col(token))
-    signed = token_rows.select(*keys, (h % dim).cast("int").alias("bucket"),
-                               F.when(F.shiftright(h, 6) % 2 == 0, 1).otherwise(-1).alias("_s"))
+    hashed = token_rows.select(*keys, token_hash(F.col(token)).alias("_h"))  # one md5 per token
+    h = F.col("_h")
+    signed = hashed.select(*keys, (h % dim).cast("int").alias("bucket"),
+                           F.when(F.shiftright(h, 6) % 2 == 0, 1).otherwise(-1).alias("_s"))
     sums = signed.groupBy(*keys, "bucket").agg(F.sum("_s").cast("double").alias("_v"))
     norm = F.sqrt(F.sum(F.col("_v") * F.col("_v")).over(Window.partitionBy(*keys)))
     return sums.select(*keys, "bucket", F.when(norm > 0, F.col("_v") / norm).otherwise(F.lit(0.0)).alias("value"))
