@@ -23,6 +23,20 @@ def seeded_order(key: str | Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(str(seed)), F.lit(":"), k.cast("string")))
 
 
+MAX_STRATA = 100_000
+
+
+def _fold_ends(n: int, offset: int, k: int) -> list[int]:
+    """Cumulative fold sizes of one class: fold ``f`` gets
+    ``max(0, ceil((n - s) / k))`` rows, ``s = (f - offset) mod k``."""
+    ends, acc = [], 0
+    for f in range(k):
+        s = (f - offset) % k
+        acc += max(0, -(-(n - s) // k))
+        ends.append(acc)
+    return ends
+
+
 def stratified_folds(df: DataFrame, label: str, order: str, k: int = 10, by: Sequence[str] = (),
                      fold_col: str = "fold") -> DataFrame:
     """Unshuffled stratified k-fold in row order (``order`` must be unique).
@@ -31,26 +45,43 @@ def stratified_folds(df: DataFrame, label: str, order: str, k: int = 10, by: Seq
     (offset ``O`` = rows of earlier classes, ``n`` rows), fold ``f`` receives
     ``max(0, ceil((n - s) / k))`` rows of the class, ``s = (f - O) mod k``,
     handed out as contiguous runs in row order.  ``by`` runs one independent
-    assignment per group (e.g. per trait)."""
+    assignment per group (e.g. per trait).
+
+    Plan: one aggregate gives (group, class) -> first key and size - a table
+    bounded by the number of strata (checked), turned into literal lookups on
+    the driver; then a single distributed position pass orders the rows by
+    (group, class rank, key), and each row's rank inside its class selects the
+    fold from that class's cumulative fold sizes."""
     by = list(by)
-    classes = df.groupBy(*by, label).agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*by).orderBy("_first").rowsBetween(Window.unboundedPreceding, -1) if by \
-        else Window.orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per (group, class): tiny, so this window is harmless
-    classes = classes.withColumn("_O", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    alloc = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda f: F.greatest(
-        F.lit(0), F.ceil((F.col("_n") - F.pmod(f - F.col("_O"), F.lit(k))) / F.lit(k)).cast("bigint")))
-    ends = F.transform(F.sequence(F.lit(1), F.lit(k)),
-                       lambda j: F.aggregate(F.slice(alloc, 1, j), F.lit(0).cast("bigint"), lambda a, x: a + x))
-    classes = classes.select(*by, label, "_first", "_O", ends.alias("_ends"))
-    # class start in the global (group, first appearance, order) sequence
-    starts = df.join(bounded_broadcast(classes), by + [label])
-    ranked = global_position(starts, by + ["_first", order], name="_p")
-    gstart = ranked.groupBy(*by, label).agg(F.min("_p").alias("_cs"))
-    r = F.col("_p") - F.col("_cs")
-    out = ranked.join(bounded_broadcast(gstart), by + [label]).withColumn(
-        fold_col, F.size(F.filter("_ends", lambda e: e <= r)))
-    return out.drop("_first", "_O", "_ends", "_p", "_cs")
+    # the lookup key is built by Spark on both sides (same string form)
+    skey = F.concat_ws("\u0001", *[F.col(c).cast("string") for c in by + [label]])
+    stats = (df.groupBy(*by, label).agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_n"),
+                                        F.first(skey).alias("_key"))
+             .limit(MAX_STRATA + 1).collect())
+    if len(stats) > MAX_STRATA:
+        raise ValueError(f"more than {MAX_STRATA} strata; stratified folds need few classes")
+    groups: dict = {}
+    for r in stats:
+        groups.setdefault(tuple(r[c] for c in by), []).append(r)
+    start, seq, entries = 0, 0, []
+    for g in sorted(groups, key=lambda t: tuple((x is None, x) for x in t)):
+        offset = 0
+        for r in sorted(groups[g], key=lambda r: r["_first"]):
+            entries.append((r["_key"], seq, start, _fold_ends(r["_n"], offset, k)))
+            offset += r["_n"]
+            start += r["_n"]
+            seq += 1
+
+    def lookup(i):
+        pairs = []
+        for name, sq, st, ends in entries:
+            pairs += [F.lit(name), F.lit([sq, st][i]) if i < 2 else F.array(*[F.lit(e) for e in ends])]
+        return F.create_map(*pairs)[skey]
+
+    keyed = df.withColumn("_seq", lookup(0))
+    ranked = global_position(keyed, ["_seq", order], name="_p")
+    r = F.col("_p") - lookup(1)
+    return ranked.withColumn(fold_col, F.size(F.filter(lookup(2), lambda e: e <= r))).drop("_seq", "_p")
 
 
 def kfold_positions(p: Column, n: int, k: int) -> Column:

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import softmax
+from .rank import right_size
 
 # ---------------------------------------------------------------------------
 # estimators
@@ -149,7 +150,7 @@ def cross_validate(df: DataFrame, traits: Sequence[str], make_estimator: Callabl
     when ``keep_models``.  The input is cached once; fits run in a bounded
     thread pool, each a distributed Spark ML job."""
     spark = df.sparkSession
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    cached = right_size(df).persist(StorageLevel.MEMORY_AND_DISK)
     jobs = []
     for t in traits:
         fc = f"fold_{t}" if f"fold_{t}" in df.columns else fold_col

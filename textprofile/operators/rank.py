@@ -79,3 +79,13 @@ def prefix_sum(df: DataFrame, order: Sequence[str | Column], value: str,
     local = r.withColumn("_inpart", F.coalesce(F.sum("_w").over(w), F.lit(0)))
     out = local.join(F.broadcast(_offsets(r)), "_pid").withColumn(name, F.col("_off") + F.col("_inpart"))
     return out.drop("_pid", "_local", "_off", "_w", "_inpart")
+
+
+def right_size(df: DataFrame, rows_per_partition: int = 250_000) -> DataFrame:
+    """Narrow (``coalesce``, no shuffle) a small input to about
+    ``rows / rows_per_partition`` partitions.  Iterative optimisers run one
+    job per iteration; on a small training set spread over many partitions
+    the per-task overhead dominates.  Large inputs keep their partitioning."""
+    n = df.count()
+    target = max(1, -(-n // rows_per_partition))
+    return df.coalesce(target) if target < df.rdd.getNumPartitions() else df

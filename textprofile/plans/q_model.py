@@ -14,6 +14,7 @@ from ..operators import explain as X
 from ..operators import folds as FO
 from ..operators import models as M
 from ..operators import vectors as V
+from ..operators.rank import right_size
 from ..session import scratch_path
 from ..sources import writers as WR
 from ..streaming import score as ST
@@ -215,7 +216,7 @@ def q_importance_strongest(spark, sf):
 # ---- training (rows-only checks) ------------------------------------------------------
 
 def _emb_train(spark, sf):
-    emb = load(spark, sf, "embeddings")
+    emb = right_size(load(spark, sf, "embeddings"))
     return emb.select("vec_id", array_to_vector("embedding").alias("features"),
                       (F.col("label") % 2).cast("double").alias("odd"),
                       (F.col("label") < 5).cast("double").alias("low"))
@@ -338,7 +339,8 @@ def _train_models(spark, sf, root, feats=None):
     saved under ``root`` and loaded back (the registry round trip)."""
     if feats is None:
         feats = window_features(load(spark, sf, "documents").select("doc_id", "text"))
-    lab = feats.filter(F.col("features").isNotNull()).join(load(spark, sf, "labels"), "doc_id").checkpoint()
+    lab = right_size(feats.filter(F.col("features").isNotNull()).join(load(spark, sf, "labels"), "doc_id")
+                     .checkpoint())
     n = lab.count()
     for t in ("quality", "toxic"):
         m = M.lr_l2(n).fit(lab.withColumn("label", F.col(t).cast("double")))
