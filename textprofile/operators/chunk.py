@@ -104,12 +104,12 @@ def encode_ids(df: DataFrame, tokens: str, vocab: DataFrame, length: int,
                doc_key: str = "doc_id") -> DataFrame:
     """``(doc_key, ids)``: start marker, ids of the first ``length - 2`` tokens
     (unknown -> UNK), end marker, zero padding to ``length``."""
-    body = df.select(doc_key, F.posexplode(truncate_head(tokens, length)).alias("pos", "word"))
+    body = df.select(doc_key, F.posexplode_outer(truncate_head(tokens, length)).alias("pos", "word"))
     looked = body.join(bounded_broadcast(vocab.select("word", "id")), "word", "left") \
         .withColumn("id", F.coalesce("id", F.lit(UNK_ID).cast("bigint")))
-    lists = looked.groupBy(doc_key).agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("_p"))
-    full = df.select(doc_key).join(lists, doc_key, "left").select(
-        doc_key, F.coalesce(F.transform("_p", lambda s: s["id"]), F.array().cast("array<bigint>")).alias("_ids"))
-    ids = F.concat(F.array(F.lit(START_ID).cast("bigint")), F.col("_ids"),
+    # a document without tokens keeps one row with a NULL position: its list is empty
+    entry = F.when(F.col("pos").isNotNull(), F.struct("pos", "id"))
+    lists = looked.groupBy(doc_key).agg(F.array_sort(F.collect_list(entry)).alias("_p"))
+    ids = F.concat(F.array(F.lit(START_ID).cast("bigint")), F.transform("_p", lambda s: s["id"]),
                    F.array(F.lit(END_ID).cast("bigint")))
-    return full.select(doc_key, pad_ids(ids, length).alias("ids"))
+    return lists.select(doc_key, pad_ids(ids, length).alias("ids"))

@@ -84,17 +84,20 @@ def lexicon_features_multi(docs: DataFrame, lexicons: dict, doc_key: str = "doc_
 
 
 def concept_bag(df: DataFrame, doc_key: str = "doc_id", text_col: str = "text",
-                tokens_col: str | None = None) -> DataFrame:
+                tokens_col: str | None = None, num_partitions: int | None = None) -> DataFrame:
     """``(doc_key, concept_count array<struct<concept, count>>)`` built from the
-    document's token counts; documents without tokens get an empty bag.  The
-    bag of one document is bounded by that document's own text."""
-    counts = token_counts(df, doc_key, text_col, tokens_col)
-    bags = counts.groupBy(doc_key).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("word").alias("concept"),
-                                             F.col("cnt").alias("count")))).alias("concept_count"))
-    return (df.select(doc_key).join(bags, doc_key, "left")
-            .withColumn("concept_count", F.coalesce("concept_count", F.array().cast(
-                "array<struct<concept:string,count:bigint>>"))))
+    document's token counts; documents without tokens get an empty bag.
+
+    The document rows are exchanged by ``doc_key`` once; the token counts and
+    the bag are then built inside that partitioning (no exchange of token
+    rows).  The bag of one document is bounded by that document's own text."""
+    parts = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    toks = df.select(doc_key, _tokens(df, doc_key, text_col, tokens_col).alias("_toks")) \
+        .repartition(parts, doc_key)
+    rows = toks.select(doc_key, F.explode_outer("_toks").alias("word"))
+    counts = rows.groupBy(doc_key, "word").agg(F.count(F.lit(1)).alias("cnt"))
+    entry = F.when(F.col("word").isNotNull(), F.struct(F.col("word").alias("concept"), F.col("cnt").alias("count")))
+    return counts.groupBy(doc_key).agg(F.array_sort(F.collect_list(entry)).alias("concept_count"))
 
 
 def explode_concepts(bags: DataFrame, doc_key: str = "doc_id",
