@@ -215,11 +215,11 @@ def embed(df: DataFrame, tokens: str, encoder: str, key: str = "doc_id",
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fn = factory()
         for pdf in batches:
-            for start in range(0, len(pdf), batch_size):
-                part = pdf.iloc[start:start + batch_size]
-                toks = [list(t) if t is not None else [] for t in part[tokens]]
-                mat = np.asarray(fn(toks), dtype=np.float64).reshape(len(toks), dim)
-                yield pd.DataFrame({key: part[key].to_numpy(), "vec": list(mat)})
+            toks = [list(t) if t is not None else [] for t in pdf[tokens]]
+            mats = [np.asarray(fn(toks[s:s + batch_size]), dtype=np.float64).reshape(-1, dim)
+                    for s in range(0, len(toks), batch_size)]
+            mat = np.vstack(mats) if mats else np.zeros((0, dim))
+            yield pd.DataFrame({key: pdf[key].to_numpy(), "vec": list(mat)})
 
     return df.select(key, tokens).mapInPandas(run, schema=f"{key} long, vec array<double>")
 
@@ -227,16 +227,23 @@ def embed(df: DataFrame, tokens: str, encoder: str, key: str = "doc_id",
 def _numpy_hashing_factory(dim: int = 64):
     import hashlib
 
+    cache: dict[str, tuple[int, float]] = {}  # token -> (bucket, sign), per task
+
+    def slot(t: str) -> tuple[int, float]:
+        hit = cache.get(t)
+        if hit is None:
+            h = int(hashlib.md5(t.encode("utf-8")).hexdigest()[:8], 16)
+            hit = cache[t] = (h % dim, 1.0 if (h >> 6) % 2 == 0 else -1.0)
+        return hit
+
     def fn(batch: list[list[str]]) -> np.ndarray:
         out = np.zeros((len(batch), dim), dtype=np.float64)
         for i, toks in enumerate(batch):
             for t in toks:
-                h = int(hashlib.md5(t.encode("utf-8")).hexdigest()[:8], 16)
-                out[i, h % dim] += 1.0 if (h >> 6) % 2 == 0 else -1.0
-            n = np.sqrt((out[i] ** 2).sum())
-            if n > 0:
-                out[i] /= n
-        return out
+                b, s = slot(t)
+                out[i, b] += s
+        norms = np.sqrt((out ** 2).sum(axis=1, keepdims=True))
+        return np.divide(out, norms, out=np.zeros_like(out), where=norms > 0)
     return fn
 
 
