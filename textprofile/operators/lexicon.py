@@ -41,7 +41,7 @@ def token_counts(df: DataFrame, doc_key: str = "doc_id", text_col: str = "text",
 def lexicon_features(docs: DataFrame, lexicon: DataFrame, scores: Sequence[str],
                      key: str = "word", doc_key: str = "doc_id", text_col: str = "text",
                      tokens_col: str | None = None,
-                     max_broadcast_rows: int | None = None) -> DataFrame:
+                     max_broadcast_rows: int | None = None, presized: bool = False) -> DataFrame:
     """Weighted lexicon mean per document.
 
     For each score ``s``: ``sum(count * s) / sum(count)`` over the document's
@@ -49,9 +49,14 @@ def lexicon_features(docs: DataFrame, lexicon: DataFrame, scores: Sequence[str],
     ``s`` over matched token occurrences.  NULL cells add nothing to the sum but
     the token still counts.  Documents without a hit (or without tokens) get
     NULL.  Duplicate lexicon keys multiply, as an inner equi-join does.
+    ``presized=True`` means the caller already checked the lexicon's size
+    (e.g. once before a stream starts) and it is broadcast without a new check.
     """
     lex = lexicon.select(F.col(key).alias("_k"), *scores).withColumn("_hit", F.lit(1))
-    lex = bounded_broadcast(lex, max_broadcast_rows) if max_broadcast_rows else bounded_broadcast(lex)
+    if presized:
+        lex = F.broadcast(lex)
+    else:
+        lex = bounded_broadcast(lex, max_broadcast_rows) if max_broadcast_rows else bounded_broadcast(lex)
     tok = token_rows(docs, doc_key, text_col, tokens_col, word_col="_k", keep_empty=True)
     joined = tok.join(lex, "_k", "left")
     hits = F.sum("_hit")

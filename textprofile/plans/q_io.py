@@ -50,10 +50,6 @@ def yn_strings(lab):
         F.when(F.col("quality") + F.col("toxic") == 1, "y").otherwise("no").alias("cOPN"))
 
 
-SQL_YN = ("SELECT doc_id, CASE WHEN quality = 1 THEN 'y' ELSE 'n' END AS cEXT, "
-          "CASE WHEN toxic = 1 THEN 'Y' ELSE 'N' END AS cNEU, CASE WHEN doc_id % 2 = 0 THEN 'y' ELSE 'x' END AS cAGR, "
-          "CASE WHEN doc_id % 3 = 0 THEN 'Y' ELSE 'n' END AS cCON, "
-          "CASE WHEN quality + toxic = 1 THEN 'y' ELSE 'no' END AS cOPN FROM labels")
 SQL_YN_FLAGS = ("SELECT doc_id, quality::BIGINT AS EXT, toxic::BIGINT AS NEU, (doc_id % 2 = 0)::BIGINT AS AGR, "
                 "(doc_id % 3 = 0)::BIGINT AS CON, (quality + toxic = 1)::BIGINT AS OPN FROM labels")
 
@@ -150,7 +146,6 @@ def q_label_distribution(spark, sf):
 
 # ---- round trips through files ---------------------------------------------------------------
 
-_SQL_DL_TEXT = "SELECT d.doc_id, d.text, l.quality, l.toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id"
 
 
 @register("src_corpus_csv", D.with_ctes(yn=SQL_YN_FLAGS) +

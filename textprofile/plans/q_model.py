@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.numeric import round_to, softmax
-from ..operators import chunk as C
 from ..operators import explain as X
 from ..operators import folds as FO
 from ..operators import models as M

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import lexicon as LX
+from ..operators.joins import bounded_broadcast
 
 
 def text_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 1) -> DataFrame:
@@ -43,11 +44,16 @@ def run_to_sink(stream: DataFrame, per_batch: Callable[[DataFrame], DataFrame],
 def lexicon_stream(spark: SparkSession, source: str, schema: str, lexicon: DataFrame, scores: Sequence[str],
                    sink: str, checkpoint: str, doc_key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Weighted lexicon means for a stream of documents (stream-static join
-    inside each micro-batch).  Returns the sink as a batch DataFrame."""
-    lex = lexicon.select("word", *scores)
+    inside each micro-batch).  The lexicon is materialised once on the shared
+    checkpoint folder and its size checked once before the stream starts;
+    every micro-batch then broadcasts that fixed table.  Returns the sink as
+    a batch DataFrame."""
+    lex = lexicon.select("word", *scores).checkpoint()
+    bounded = bounded_broadcast(lex) is not lex
 
     def per_batch(b: DataFrame) -> DataFrame:
-        return LX.lexicon_features(b.select(doc_key, text_col), lex, scores, doc_key=doc_key, text_col=text_col)
+        return LX.lexicon_features(b.select(doc_key, text_col), lex, scores, doc_key=doc_key,
+                                   text_col=text_col, presized=bounded)
 
     run_to_sink(text_stream(spark, source, schema), per_batch, sink, checkpoint)
     return spark.read.parquet(sink).drop("batch_id")
