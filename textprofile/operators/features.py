@@ -56,7 +56,8 @@ def to_long(df: DataFrame, key: str | Sequence[str], cols: Sequence[str] | None
     return df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(keys, cols, name, value)
 
 
-def zscore(df: DataFrame, cols: Sequence[str], key: str | Sequence[str], compat: bool = False) -> DataFrame:
+def zscore(df: DataFrame, cols: Sequence[str], key: str | Sequence[str], compat: bool = False,
+           materialize: bool = True) -> DataFrame:
     """Column z-score over the whole table with the population std.
 
     Missing values are left out of mean/std and become 0; a constant column
@@ -65,6 +66,10 @@ def zscore(df: DataFrame, cols: Sequence[str], key: str | Sequence[str], compat:
     partially aggregated pass returning three scalars per column, inlined
     as literals - no unpartitioned window, no join."""
     keys = [key] if isinstance(key, str) else list(key)
+    if materialize:
+        # the input is read twice (statistics, then scores): cut the lineage
+        # once on the shared checkpoint folder instead of recomputing it
+        df = df.select(*keys, *cols).checkpoint()
     st = df.agg(*[F.avg(c).alias(f"m_{c}") for c in cols],
                 *[F.stddev_pop(c).alias(f"s_{c}") for c in cols],
                 *[F.max(F.col(c).isNull().cast("int")).alias(f"n_{c}") for c in cols]).first()

@@ -267,6 +267,21 @@ def q_feature_sink_roundtrip(spark, sf):
 
 # ---- feature joins ------------------------------------------------------------------
 
+_RD_FEATS_SQL = ("characters", "syllables", "words", "wordtypes", "sentences", "paragraphs", "long_words",
+                 "complex_words", "complex_words_dc", "characters_per_word", "syll_per_word",
+                 "words_per_sentence", "sentences_per_paragraph", "type_token_ratio")
+_RD_FEATS = _RD_FEATS_SQL
+
+
+def _sql_zscore_ctes(src: str, stats: str, out: str, key: str, cols) -> dict:
+    """CTEs z-scoring ``cols`` of ``src`` over the whole table (population std;
+    missing values left out, then 0; a constant column 0)."""
+    st = "SELECT " + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in cols) + f" FROM {src}"
+    z = ", ".join(f"CASE WHEN s_{c} IS NULL OR s_{c} = 0 THEN 0.0 ELSE coalesce(({c} - m_{c}) / s_{c}, 0.0) END AS {c}"
+                  for c in cols)
+    return {stats: st, out: f"SELECT {key}, {z} FROM {src}, {stats}"}
+
+
 def _groups(spark, sf):
     docs = load(spark, sf, "documents")
     both = LX.lexicon_features_multi(docs, {"emotion": (D.emotion_lexicon(spark, sf), D.EMOTIONS),
@@ -274,15 +289,19 @@ def _groups(spark, sf):
         .withColumnRenamed("doc_id", "author_id")
     emo = both.select("author_id", *D.EMOTIONS)
     vad = both.select("author_id", *D.VAD)
-    rd = q_prep.easy_words(spark, sf)
-    from ..operators import readability as R
-    from ..functions import readability as RF
-    read = R.readability(docs.select("doc_id", "text"), rd).select(
-        F.col("doc_id").alias("author_id"), *[F.col(c) for c in RF.COUNT_COLUMNS], "complex_words_dc",
-        *[F.col(c) for c in RF.RATIO_COLUMNS])
+    # the readability group is stored z-scored over the corpus (missing -> 0)
+    read = FE.zscore(_readability_raw(spark, sf, docs), list(_RD_FEATS), "author_id")
     return {"emotion": emo, "vad": vad, "readability": read}
 
 
+def _readability_raw(spark, sf, docs):
+    from ..functions import readability as RF
+    from ..operators import readability as R
+    out = R.readability(docs.select("doc_id", "text"), q_prep.easy_words(spark, sf))
+    return out.select(F.col("doc_id").alias("author_id"), *[F.col(c) for c in RF.COUNT_COLUMNS],
+                      "complex_words_dc", *[F.col(c) for c in RF.RATIO_COLUMNS])
+
+
 def _labels_keyed(spark, sf):
     return load(spark, sf, "labels").select(F.col("doc_id").alias("author_id"), "quality", "toxic")
 
@@ -302,17 +321,15 @@ def _sql_groups() -> dict:
 
     def d(a, b):
         return f"(({a})::DOUBLE / nullif({b}, 0))"
-    ctes["rd"] = ("SELECT doc_id, characters, syllables, words, wordtypes, sentences, paragraphs, long_words, "
+    ctes["rd_raw"] = ("SELECT doc_id, characters, syllables, words, wordtypes, sentences, paragraphs, long_words, "
                   "complex_words, complex_words_dc, "
                   f"{d('characters', 'words')} AS characters_per_word, {d('syllables', 'words')} AS syll_per_word, "
                   f"{d('words', 'sentences')} AS words_per_sentence, {d('sentences', 'paragraphs')} AS sentences_per_paragraph, "
                   f"{d('wordtypes', 'words')} AS type_token_ratio FROM rc")
+    ctes.update(_sql_zscore_ctes("rd_raw", "rd_st", "rd", "doc_id", _RD_FEATS_SQL))
     return ctes
 
 
-_RD_FEATS = ("characters", "syllables", "words", "wordtypes", "sentences", "paragraphs", "long_words",
-             "complex_words", "complex_words_dc", "characters_per_word", "syll_per_word",
-             "words_per_sentence", "sentences_per_paragraph", "type_token_ratio")
 _GROUP_COLS = {"emotion": D.EMOTIONS, "vad": D.VAD, "readability": _RD_FEATS}
 _GROUP_CTE = {"emotion": "emo", "vad": "vad", "readability": "rd"}
 
@@ -434,6 +451,24 @@ def q_union_corpora(spark, sf):
 
 # ---- z-score ---------------------------------------------------------------------------
 
+def _sql_zscore_readability() -> str:
+    ctes = _sql_groups()
+    keep = {k: ctes[k] for k in ("easy", "dc", "rc", "rd_raw", "rd_st", "rd")}
+    ctes = {"en": "SELECT doc_id, text FROM documents WHERE lang = 'en'", **keep}
+    parts = [f"SELECT doc_id, '{c}' AS feature, round({c}, 6) AS z FROM rd" for c in _RD_FEATS]
+    return D.with_ctes(**ctes) + " UNION ALL ".join(parts)
+
+
+@register("zscore_readability", _sql_zscore_readability())
+def q_zscore_readability(spark, sf):
+    """Readability counts and ratios of the English documents, z-scored over
+    those documents (the stored form of the readability feature group)."""
+    docs = load(spark, sf, "documents").filter(F.col("lang") == "en")
+    z = FE.zscore(_readability_raw(spark, sf, docs), list(_RD_FEATS), "author_id")
+    return z.unpivot(["author_id"], list(_RD_FEATS), "feature", "z").select(
+        F.col("author_id").alias("doc_id"), "feature", r6("z").alias("z"))
+
+
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 
 
