@@ -101,13 +101,32 @@ def test_linear_attributions_sum_to_score_gap(spark):
         assert abs(r.s - gap[r.k]) < 1e-9
 
 
-def test_sampled_attribution_close_to_sign(spark):
+def test_sampled_attribution_rows(spark):
     from textprofile.plans.q_model import q_sampled_attribution
     out = q_sampled_attribution(spark, SF_SMALL)
-    assert out.count() == 20 * 8
+    assert out.count() == 100 * 8  # the whole 20 % test split, 8 features
     assert out.filter(F.col("phi").isNull()).count() == 0
 
 
+def test_sampled_attribution_tracks_linear_truth(spark):
+    """For a logistic model the sampled attributions of the probability keep
+    the sign of the exact logit attributions for clearly non-zero ones."""
+    df = _separable(spark).limit(200)
+    model = M.lr_l2(200).fit(df)
+    w = model.coefficients.toArray()
+    rows = df.orderBy("vec_id").limit(10)
+    phi = X.sampled_attribution(model, rows, df, "vec_id", "features", 64, samples=64, seed=3).toPandas()
+    bg_mean = np.array(df.select(vector_to_array("features").alias("a")).toPandas().a.tolist()).mean(0)
+    x = {r.vec_id: np.array(r.a) for r in rows.select("vec_id", vector_to_array("features").alias("a")).collect()}
+    agree = total = 0
+    for r in phi.itertuples():
+        exact = w[r.feature] * (x[r.vec_id][r.feature] - bg_mean[r.feature])
+        if abs(exact) > 0.5:
+            total += 1
+            agree += np.sign(exact) == np.sign(r.phi)
+    assert total > 0 and agree / total > 0.9
+
+
 def test_round_to_matches_scaled_rounding(spark):
     df = spark.createDataFrame([(11.471643499999999,), (0.1234565,), (-2.5e-7,)], "x double")
     got = [r.r for r in df.select(round_to("x", 6).alias("r")).collect()]

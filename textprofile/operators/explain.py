@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import bounded_broadcast
+from .rank import global_position
 
 
 def linear_attribution(df: DataFrame, key: str, features: Sequence[str], weights: Sequence[float],
@@ -49,31 +50,28 @@ def strongest(imp: DataFrame, k: int = 128, value: str = "importance", feature:
 
 
 def sampled_attribution(model, rows: DataFrame, background: DataFrame, key: str, vec: str,
-                        n_features: int, samples: int = 16, seed: int = 0,
-                        background_rows: int = 100) -> DataFrame:
+                        n_features: int, samples: int = 16, seed: int = 0) -> DataFrame:
     """Sampled Shapley values ``(key, feature, phi)`` of the model's class-1
     probability.
 
-    For each (row, feature j, sample s): a background row z and a random
-    feature order are drawn from hashes of (row, j, s, seed); ``x+`` takes
-    from x the features ordered before j and j itself, the rest from z;
-    ``x-`` is the same with j from z.  ``phi_j`` is the mean of
-    ``f(x+) - f(x-)`` over the samples.  Work is rows x features x samples
-    rows, all scored by one distributed ``transform``; the background is a
-    seeded sample of at most ``background_rows`` rows (a top-k, broadcast)."""
+    For each (row, feature j, sample s): a background row z (uniform over the
+    whole background table) and a random feature order are drawn from hashes
+    of (row, j, s, seed); ``x+`` takes from x the features ordered before j and
+    j itself, the rest from z; ``x-`` is the same with j from z.  ``phi_j`` is
+    the mean of ``f(x+) - f(x-)`` over the samples.  The work is
+    rows x features x samples perturbed pairs, all scored by one distributed
+    ``transform``.  Background rows are numbered by a distributed position and
+    fetched by an equi-join on the drawn number (broadcast only when the
+    background's size is proven small)."""
     bg = background.select(vector_to_array(vec).alias("_z"))
-    # seeded sample of at most background_rows rows: a distributed top-k on a
-    # hash (no full sort), then numbered within that bounded set
-    bg = bg.withColumn("_h", F.xxhash64(F.col("_z").cast("string"), F.lit(seed))) \
-        .orderBy("_h", F.col("_z").cast("string")).limit(background_rows)
-    bg = bg.withColumn("_b", F.row_number().over(Window.orderBy("_h", F.col("_z").cast("string"))) - 1) \
-        .select("_b", "_z")
+    bg = global_position(bg.withColumn("_h", F.xxhash64(F.col("_z").cast("string"))),
+                         ["_h", F.col("_z").cast("string")], name="_b").select("_b", "_z")
     n_bg = bg.count()
     base = rows.select(key, vector_to_array(vec).alias("_x"))
     grid = base.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(n_features - 1)))) \
         .withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
     grid = grid.withColumn("_b", F.pmod(F.xxhash64(key, "_j", "_s", F.lit(seed)), F.lit(n_bg)))
-    grid = grid.join(bounded_broadcast(bg, background_rows), "_b")
+    grid = grid.join(bounded_broadcast(bg), "_b")
 
     def order_key(k):
         return F.xxhash64(F.col(key), F.col("_s"), F.lit(seed), F.lit(7), k)

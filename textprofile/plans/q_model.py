@@ -363,15 +363,18 @@ def q_score_unseen(spark, sf):
 
 @register("sampled_attribution")
 def q_sampled_attribution(spark, sf):
-    """Sampled Shapley values of a fitted logistic model over 8 embedding
-    dims: the 20 first rows explained with 16 samples each."""
+    """Sampled Shapley values of a logistic model over 8 embedding dims:
+    fitted on the training split of the seeded 80/20 hold-out, every test row
+    explained with 16 samples, background rows drawn from the whole training
+    split."""
     dims = _dims(spark, sf)
     lab = load(spark, sf, "embeddings").select("vec_id", (F.col("label") % 2).cast("double").alias("label"))
     df = dims.join(lab, "vec_id").withColumn(
         "features", array_to_vector(F.array(*[F.col(f) for f in _FEATS])))
-    model = M.lr_l2(df.count()).fit(df)
-    rows = df.orderBy("vec_id").limit(20)
-    phi = X.sampled_attribution(model, rows, df, "vec_id", "features", len(_FEATS), samples=16, seed=0)
+    split = FO.holdout_split(df, "vec_id", seed=0, val_frac=0.0).checkpoint()
+    train, test = split.filter(F.col("split") != "test"), split.filter(F.col("split") == "test")
+    model = M.lr_l2(train.count()).fit(train)
+    phi = X.sampled_attribution(model, test, train, "vec_id", "features", len(_FEATS), samples=16, seed=0)
     return phi.select("vec_id", F.col("feature").cast("bigint").alias("feature"), r6("phi").alias("phi"))
 
 
