@@ -43,8 +43,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder of the session.
 
-    The cluster names it in ``spark.checkpoint.dir``; only when nothing is set
-    (local tests) a fresh folder is created.
+    The cluster names it in ``spark.checkpoint.dir``; only in local mode with
+    nothing set (tests) a fresh folder is created; on a cluster a missing
+    setting is an error rather than a machine-local folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -53,7 +54,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="tp-ckpt-")
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster "
+                               "(checkpoints and scratch tables are written there)")
+        configured = tempfile.mkdtemp(prefix="tp-ckpt-")  # local mode only
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
