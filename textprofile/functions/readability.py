@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import NON_WS, SENTENCE_END, tokenize
+from .text import NON_WS, SENTENCE_END, WS, tokenize
 
 # ---------------------------------------------------------------------------
 # English word lists and suffixes used by the usage counts.
@@ -198,9 +198,11 @@ def grades(c: dict[str, Column], complex_dc: Column) -> dict[str, Column]:
 def usage_from(lw: Column, sl: Column) -> dict[str, Column]:
     """Word-usage counts (lower-case letters of each word) and sentence
     beginnings (first word of each sentence)."""
-    firsts = F.transform(sl, lambda s: letters_lower(F.try_element_at(
-        F.filter(tokenize(s), lambda t: F.regexp_like(t, F.lit(WORD_CHAR))), F.lit(1))))
-    firsts = F.filter(firsts, lambda x: x.isNotNull())
+    # first whitespace-delimited token holding a word character: one regex
+    # extraction per sentence (same token as tokenize + filter + first)
+    first_tok = "(?:^|" + WS + ")(" + NON_WS + "*?" + WORD_CHAR + NON_WS + "*)"
+    firsts = F.transform(sl, lambda s: F.regexp_extract(s, first_tok, 1))
+    firsts = F.transform(F.filter(firsts, lambda x: x != F.lit("")), letters_lower)
 
     def member(arr, words_):
         return _count(arr, lambda x: x.isin(*words_))
