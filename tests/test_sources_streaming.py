@@ -43,3 +43,22 @@ def test_embedding_store_pruning(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "layer" in plan
     assert df.count() == 500 * 16
+
+
+def test_count_list_formats(spark):
+    single = scratch_path(spark, "t_counts_single")
+    spark.createDataFrame([("[1, 2, 3, 4]",)], "value string").coalesce(1).write.text(single)
+    got = sorted((r.doc_pos, r.n_chunks) for r in RD.read_count_list(spark, single, fmt="single").collect())
+    assert got == [(0, 1), (1, 2), (2, 3), (3, 4)]
+    lines = scratch_path(spark, "t_counts_lines")
+    spark.createDataFrame([("0\t[1, 2]",), ("2\t[3, 4]",)], "value string").write.text(lines)
+    got = sorted((r.doc_pos, r.n_chunks) for r in RD.read_count_list(spark, lines).collect())
+    assert got == [(0, 1), (1, 2), (2, 3), (3, 4)]
+
+
+def test_headerless_concept_vectors(spark):
+    path = scratch_path(spark, "t_cv")
+    WR.write_csv(spark.createDataFrame([("joy", 1.0, -2.0), ("fear", 0.5, 3.0)], "c string, a double, b double"),
+                 path, header=False)
+    got = {r.concept: r.vec for r in RD.read_concept_vectors(spark, path).collect()}
+    assert got == {"joy": [1.0, -2.0], "fear": [0.5, 3.0]}
