@@ -50,3 +50,11 @@ def free_name(df: DataFrame, base: str) -> str:
     while base.lower() in taken:
         base += "_"
     return base
+
+
+_KEEP = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """Runs of letters, digits and non-ASCII characters, in lower case."""
+    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_KEEP).split()

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, sharding, simhash
-from .common import load
+from . import chat, decontam, exact_dedup, mixing, quality, sharding, simhash, toxicity
+from .common import in_fold, load
 
 SHARDS = [f"shard-{i:03d}" for i in range(16)]
 SIMHASH_SHINGLE, SIMHASH_RADIUS = 3, 2
@@ -16,10 +17,32 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(docs, "doc_id", SHARDS, slot_col="slot")
 
 
+def _scored(out: DataFrame, mod: int, rest: int) -> DataFrame:
+    return out.select("doc_id", in_fold(F.col("doc_id"), mod, rest).alias("held_out"),
+                      *[c for c in out.columns if c != "doc_id"])
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
+    index = toxicity.fit(docs, labels.filter(~in_fold(F.col("doc_id"), 5, 0)))
+    return _scored(toxicity.score(docs, index), 5, 0)
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.filter(~in_fold(F.col("doc_id"), 4, 2)))
+    return _scored(quality.score(docs, model, threshold=0.7), 4, 2)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digest(chat.format_windows(turns.unionByName(chat.probe(spark))))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(load(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, max_epochs=2, seed=7)
 
@@ -29,15 +52,24 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "fingerprint", "component_id")
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_passages(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), similarity=0.8)
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_toxicity": op2_toxicity,
+    "op4_quality": op4_quality,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_chat": op6_chat,
     "op7_mixing": op7_mixing,
     "op9_simhash": op9_simhash,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLE = {
     "op1_sharding": sharding.oracle(SHARDS, sharding.table_size_for(len(SHARDS))),
     "op5_exact_dedup": exact_dedup.ORACLE,
+    "op6_chat": chat.ORACLE,
     "op7_mixing": mixing.ORACLE,
 }
