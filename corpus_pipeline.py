@@ -4,16 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textprofile.llm import mixing, sharding, simhash
+from textprofile.llm import decontam, mixing, sharding, simhash, toxicity
 from textprofile.llm.common import load, materialize
 from textprofile.llm.queries import SHARDS, SIMHASH_RADIUS, SIMHASH_SHINGLE
 
 
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the labelled examples call toxic go."""
+    index = toxicity.fit(docs, load(spark, sf_dir, "labels"))
+    return toxicity.drop_toxic(docs, index, threshold=0.5)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
     return simhash.drop_near_duplicates(docs, shingle=SIMHASH_SHINGLE, radius=SIMHASH_RADIUS)
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    return decontam.drop_contaminated(docs, load(spark, sf_dir, "benchmark"), similarity=0.8)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources repeat or thin out to their target weights."""
     return mixing.mix(docs, weights=(5, 2, 1), share=1.5, max_epochs=2, seed=7)
@@ -25,11 +36,15 @@ def place(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("toxicity", toxic),
     ("near_duplicates", near_duplicates),
-    ("mix_sources", mix_sources),
-    ("place", place),
+    ("decontamination", decontaminate),
+    ("mixing", mix_sources),
+    ("sharding", place),
 ]
 
+# Nearest neighbours, SimHash components and edit distances are beyond SQL here;
+# tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 

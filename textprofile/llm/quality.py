@@ -8,14 +8,12 @@ Vectors and layer are learned together by stochastic gradient descent in numpy.
 Fitting takes a bounded sample of the labelled rows (``MAX_ROWS`` rows and
 ``MAX_BYTES`` of text in the mean, chosen by a hash of the id).  Scoring covers
 every whole text: as the layer is linear in the mean, each bucket comes down
-to one number (what it adds to the difference of the two logits), each
-distinct word to the sum over its features, and a document to a mean of
-looked-up sums.
+to one number (what it adds to the difference of the two logits), and a
+document to the mean of its features' numbers.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,25 +23,45 @@ from pyspark.sql import functions as F
 
 from .common import hash60, whole
 
-MIN_N, MAX_N, BUCKETS, DIM = 3, 5, 1 << 17, 16
-EPOCHS, RATE = 6, 0.4
-MAX_ROWS, MAX_BYTES = 6_000, 24_000_000
-#: Words whose features are kept by a worker before it starts over.
-_CACHE = 300_000
-
-
-def features(word: str) -> list[int]:
-    """Buckets of a word and of its character n-grams."""
-    w = f"<{word}>"
-    out = [zlib.crc32(w.encode("utf-8", "surrogatepass"))]
-    for n in range(MIN_N, MAX_N + 1):
-        if n < len(w):
-            out += [zlib.crc32(w[i:i + n].encode("utf-8", "surrogatepass"), 1) for i in range(len(w) - n + 1)]
-    return [x % BUCKETS for x in out]
-
-
-def words_of(text: str | None) -> list[str]:
-    return (text or "").lower().split()
+MIN_N, MAX_N, BITS, DIM = 3, 5, 17, 16
+BUCKETS = 1 << BITS
+EPOCHS, RATE = 4, 0.1
+MAX_ROWS, MAX_BYTES = 4_000, 16_000_000
+
+_BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_START, _END = "\x02", "\x03"
+
+
+def _bucket(h: np.ndarray, kind: int) -> np.ndarray:
+    h = (h + np.uint64(kind)) * _MIX
+    return ((h ^ h >> np.uint64(29)) * _BASE >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def features(text: str | None) -> np.ndarray:
+    """Buckets of all words and of their character n-grams, repeats included.
+
+    Words are runs of non-space in lower case, with a mark at either end.  Their
+    code points are hashed as polynomials, all words of the text at once.  Word
+    bigrams enter by one trait: each word that repeats the one before it adds
+    the same feature."""
+    words = (text or "").lower().split()
+    if not words:
+        return np.zeros(0, dtype=np.int64)
+    marked = _START + (_END + _START).join(words) + _END
+    c = np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    starts = np.flatnonzero(c == ord(_START))  # a mark inside a word only splits it
+    word = np.cumsum(c == ord(_START))
+    out, h = [], c
+    for n in range(2, MAX_N + 1):
+        h = h[:-1] * _BASE + c[n - 1:]
+        if n >= MIN_N:
+            out.append(_bucket(h[word[n - 1:] == word[:len(c) - n + 1]], n))
+    # of whole words: sums of code points, weighted by their place in the word
+    place = np.arange(len(c)) - starts[word - 1]
+    weight = (place.astype(np.uint64) + np.uint64(1)) * _MIX
+    whole_ = np.add.reduceat((c + np.uint64(7)) * (weight ^ weight >> np.uint64(31)), starts)
+    again = np.zeros(int((whole_[1:] == whole_[:-1]).sum()), dtype=np.uint64)
+    return np.concatenate([*out, _bucket(whole_, 1), _bucket(again, 2)])
 
 
 class Model:
@@ -55,12 +73,7 @@ class Model:
         self.layer, self.bias = np.zeros((DIM, 2), dtype=np.float32), np.zeros(2, dtype=np.float32)
 
     def fit(self, texts: list[str], labels: list[int], seed: int = 5, epochs: int = EPOCHS, rate: float = RATE) -> "Model":
-        known: dict[str, np.ndarray] = {}
-        bags = []
-        for t in texts:
-            ids = [known.get(w) if w in known else known.setdefault(w, np.array(features(w), dtype=np.int32))
-                   for w in words_of(t)]
-            bags.append(np.unique(np.concatenate(ids), return_counts=True) if ids else None)
+        bags = [np.unique(f, return_counts=True) if len(f := features(t)) else None for t in texts]
         if labels:  # start from the share of each label
             share = (np.bincount(labels, minlength=2)[:2] + 1) / (len(labels) + 2)
             self.bias = np.log(share).astype(np.float32)
@@ -90,35 +103,11 @@ class Model:
         return (self.vectors @ (self.layer[:, 1] - self.layer[:, 0])).astype(np.float64), float(self.bias[1] - self.bias[0])
 
 
-class Scorer:
-    """Scores texts with a folded model; keeps the sums of the words it met."""
-
-    def __init__(self, parts: np.ndarray, bias: float):
-        self.parts, self.bias = parts, bias
-        self.start_over()
-
-    def start_over(self) -> None:
-        self.at: dict[str, int] = {}
-        self.sums, self.counts = np.zeros(1024), np.zeros(1024)
-
-    def _add(self, word: str) -> int:
-        i = self.at[word] = len(self.at)
-        if i == len(self.sums):
-            self.sums, self.counts = (np.concatenate([a, np.zeros_like(a)]) for a in (self.sums, self.counts))
-        f = features(word)
-        self.sums[i], self.counts[i] = self.parts[f].sum(), len(f)
-        return i
-
-    def score(self, text: str | None) -> float:
-        words = words_of(text)
-        z = self.bias
-        if words:
-            get = self.at.get
-            ids = np.array([i if (i := get(w)) is not None else self._add(w) for w in words])
-            z += self.sums[ids].sum() / self.counts[ids].sum()
-        if len(self.at) > _CACHE:
-            self.start_over()
-        return float(1 / (1 + np.exp(-z))) if z >= 0 else float(np.exp(z) / (1 + np.exp(z)))
+def score_text(text: str | None, parts: np.ndarray, bias: float) -> float:
+    """Probability of label 1 under a folded model."""
+    f = features(text)
+    z = bias + (float(parts[f].mean()) if len(f) else 0.0)
+    return float(1 / (1 + np.exp(-z))) if z >= 0 else float(np.exp(z) / (1 + np.exp(z)))
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str,
@@ -152,9 +141,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model.folded())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(*shared.value)
+        parts, bias = shared.value
         for b in batches:
-            s = [scorer.score(t) for t in b.column(1).to_pylist()]
+            s = [score_text(t, parts, bias) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], names=["doc_id", "score"])
 
     d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))

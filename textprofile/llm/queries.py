@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, exact_dedup, mixing, quality, sharding, simhash, toxicity
+from . import chat, decontam, exact_dedup, licenses, mixing, pii, quality, sharding, simhash, toxicity
 from .common import in_fold, load
 
 SHARDS = [f"shard-{i:03d}" for i in range(16)]
@@ -28,6 +28,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(toxicity.score(docs, index), 5, 0)
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return pii.find_personal_data(docs, pii.fit(docs))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
     model = quality.fit(docs, labels.filter(~in_fold(F.col("doc_id"), 4, 2)))
@@ -47,6 +52,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(load(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, max_epochs=2, seed=7)
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(load(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.simhash_components(load(spark, sf_dir, "documents"), shingle=SIMHASH_SHINGLE, radius=SIMHASH_RADIUS)
     return out.select("doc_id", "fingerprint", "component_id")
@@ -59,10 +68,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_toxicity": op2_toxicity,
+    "op3_pii": op3_pii,
     "op4_quality": op4_quality,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_chat": op6_chat,
     "op7_mixing": op7_mixing,
+    "op8_licenses": op8_licenses,
     "op9_simhash": op9_simhash,
     "op10_decontamination": op10_decontamination,
 }
