@@ -22,11 +22,12 @@ broadcast and run against all documents, so what is broadcast never grows.
 """
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -221,19 +222,21 @@ def find_passages(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     return out
 
 
+def _holds(shared: Broadcast) -> Callable:
+    def holds(texts: pd.Series) -> pd.Series:
+        out = np.zeros(len(texts), dtype=bool)
+        for t, *_ in shared.value.search(texts.tolist()):
+            out[t] = True
+        return pd.Series(out)
+
+    return holds
+
+
 def drop_contaminated(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id",
                       item_text: str = "text", similarity: float = 0.8, recall: float = 0.999) -> DataFrame:
     """The rows of ``docs`` that hold no item, unchanged; only the text visits
     Python, and no row moves."""
-    spark = docs.sparkSession
     for index in _blocks(bench, item_col, item_text, similarity=similarity, recall=recall):
-        shared = spark.sparkContext.broadcast(index)
-
-        def holds(texts: pd.Series, shared=shared) -> pd.Series:
-            out = np.zeros(len(texts), dtype=bool)
-            for t, *_ in shared.value.search(texts.tolist()):
-                out[t] = True
-            return pd.Series(out)
-
-        docs = docs.filter(~F.pandas_udf(holds, "boolean")(F.col(f"`{text_col}`").cast("string")))
+        holds = F.pandas_udf(_holds(docs.sparkSession.sparkContext.broadcast(index)), "boolean")
+        docs = docs.filter(~holds(F.col(f"`{text_col}`").cast("string")))
     return docs
