@@ -168,7 +168,7 @@ class Batch:
         pairs = lambda f: np.array([(a + s, b + s) for g, s in zip(graphs, start) for a, b in f(g)],
                                    dtype=np.int64).reshape(-1, 2)
         self.start, self.n = start, int(start[-1])
-        self.features = np.array(flat(lambda g: g.features), dtype=np.int64).reshape(self.n, -1)
+        self.features = np.array(flat(lambda g: g.features), dtype=np.int64).reshape(self.n, -1 if self.n else 1)
         self.labels = np.array(flat(lambda g: g.labels), dtype=np.int64)
         self.chain, self.skip = pairs(lambda g: g.chain), pairs(lambda g: g.skip)
         self.edges = np.array(flat(lambda g: g.edges), dtype=bool).reshape(-1, 2)

@@ -52,7 +52,7 @@ def features(text: str | None) -> np.ndarray:
     starts = np.flatnonzero(c == ord(_START))  # a mark inside a word only splits it
     word = np.cumsum(c == ord(_START))
     out, h = [], c
-    for n in range(2, MAX_N + 1):
+    for n in range(2, min(MAX_N, len(c)) + 1):
         h = h[:-1] * _BASE + c[n - 1:]
         if n >= MIN_N:
             out.append(_bucket(h[word[n - 1:] == word[:len(c) - n + 1]], n))
