@@ -104,7 +104,7 @@ def test_linear_attributions_sum_to_score_gap(spark):
 def test_sampled_attribution_rows(spark):
     from textprofile.plans.q_model import q_sampled_attribution
     out = q_sampled_attribution(spark, SF_SMALL)
-    assert out.count() == 100 * 8  # the whole 20 % test split, 8 features
+    assert out.count() == 100 * 64  # the whole 20 % test split, all dimensions
     assert out.filter(F.col("phi").isNull()).count() == 0
 
 

@@ -100,13 +100,6 @@ def _count(arr: Column, pred) -> Column:
 PREPARED = ("_ws", "_lw", "_syl", "_sl", "_np")
 
 
-def syllables_of_lower(lw: Column) -> Column:
-    """``syllables`` for an already lower-cased letters-only word: the vowel
-    groups are extracted once and reused through a struct."""
-    g = F.size(F.regexp_extract_all(lw, F.lit(VOWEL_GROUP), 0))
-    return g - F.when(lw.endswith("e") & ~lw.endswith("le") & (g > 1), 1).otherwise(0)
-
-
 def prepare(text) -> dict[str, Column]:
     """Stage 1, per document: the sentence-split text, computed once."""
     return {"_st": split_sentences_text(text)}

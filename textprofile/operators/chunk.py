@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .joins import bounded_broadcast
+from .joins import sized_lookup
 from .rank import global_position
 
 # Reserved ids of the word-level encoder.
@@ -58,13 +58,15 @@ def _starts(n: Column, count: Column, step: int) -> Column:
         .otherwise(F.array().cast("array<int>"))
 
 
-def chunk_fixed(df: DataFrame, tokens: str, size: int = 512, max_chunks: int = 4,
+def chunk_fixed(df: DataFrame, tokens: str, size: int = 512, max_chunks: int | None = None,
                 keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``(keep..., chunk_no, chunk)``: consecutive chunks of ``size`` tokens, at
-    most ``max_chunks`` (the tail beyond is cut).  Empty chunks are never
+    """``(keep..., chunk_no, chunk)``: consecutive chunks of ``size`` tokens; with
+    ``max_chunks`` at most that many (the tail beyond is cut).  Empty chunks are never
     materialised (a zero-token document yields no row)."""
     n = F.size(tokens)
-    count = F.least(F.ceil(n / F.lit(size)).cast("int"), F.lit(max_chunks))
+    count = F.ceil(n / F.lit(size)).cast("int")
+    if max_chunks is not None:
+        count = F.least(count, F.lit(max_chunks))
     return df.select(*keep, tokens, F.posexplode(_starts(n, count, size)).alias("chunk_no", "_s")) \
         .select(*keep, "chunk_no", F.slice(tokens, F.col("_s") + 1, size).alias("chunk"))
 
@@ -105,7 +107,7 @@ def encode_ids(df: DataFrame, tokens: str, vocab: DataFrame, length: int,
     """``(doc_key, ids)``: start marker, ids of the first ``length - 2`` tokens
     (unknown -> UNK), end marker, zero padding to ``length``."""
     body = df.select(doc_key, F.posexplode_outer(truncate_head(tokens, length)).alias("pos", "word"))
-    looked = body.join(bounded_broadcast(vocab.select("word", "id")), "word", "left") \
+    looked = body.join(sized_lookup(vocab.select("word", "id")), "word", "left") \
         .withColumn("id", F.coalesce("id", F.lit(UNK_ID).cast("bigint")))
     # a document without tokens keeps one row with a NULL position: its list is empty
     entry = F.when(F.col("pos").isNotNull(), F.struct("pos", "id"))

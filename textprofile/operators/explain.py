@@ -3,19 +3,22 @@
 Linear models: exact attributions ``phi_j = w_j * (x_j - mean_j)`` with the
 background means from one aggregate (one scalar per feature, inlined as
 literals - no join).  Other models: sampled Shapley values
-(Strumbelj & Kononenko 2014) - perturbed rows are generated as DataFrame rows
-and scored through the model's own ``transform``.
+(Strumbelj & Kononenko 2014) by permutation walks, scored as matrices inside
+Arrow batches.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import bounded_broadcast
+from .joins import sized_lookup
 from .rank import global_position
 
 
@@ -49,45 +52,64 @@ def strongest(imp: DataFrame, k: int = 128, value: str = "importance", feature:
     return imp.orderBy(F.col(value).desc(), F.col(feature).asc()).limit(k)
 
 
+def numpy_scorer(model) -> Callable[[np.ndarray], np.ndarray]:
+    """Class-1 probability of a fitted logistic or multilayer model, as a numpy
+    function of a feature matrix (its weights have the model's size)."""
+    model = model.stages[-1] if hasattr(model, "stages") else model
+    if hasattr(model, "coefficients"):
+        w, b = model.coefficients.toArray(), float(model.intercept)
+        return lambda x: 1 / (1 + np.exp(-(x @ w + b)))
+    sizes, flat, at, mats = list(model.getLayers()), model.weights.toArray(), 0, []
+    for n, m in zip(sizes, sizes[1:]):
+        w = flat[at:at + n * m].reshape(m, n, order="F").T  # stored column by column, one row per output
+        mats.append((w, flat[at + n * m:at + n * m + m]))
+        at += n * m + m
+
+    def run(x: np.ndarray) -> np.ndarray:
+        for w, b in mats[:-1]:
+            x = 1 / (1 + np.exp(-(x @ w + b)))
+        z = x @ mats[-1][0] + mats[-1][1]
+        z = np.exp(z - z.max(axis=1, keepdims=True))
+        return z[:, 1] / z.sum(axis=1)
+    return run
+
+
 def sampled_attribution(model, rows: DataFrame, background: DataFrame, key: str, vec: str,
                         n_features: int, samples: int = 16, seed: int = 0) -> DataFrame:
     """Sampled Shapley values ``(key, feature, phi)`` of the model's class-1
     probability.
 
-    For each (row, feature j, sample s): a background row z (uniform over the
-    whole background table) and a random feature order are drawn from hashes
-    of (row, j, s, seed); ``x+`` takes from x the features ordered before j and
-    j itself, the rest from z; ``x-`` is the same with j from z.  ``phi_j`` is
-    the mean of ``f(x+) - f(x-)`` over the samples.  The work is
-    rows x features x samples perturbed pairs, all scored by one distributed
-    ``transform``.  Background rows are numbered by a distributed position and
-    fetched by an equi-join on the drawn number (broadcast only when the
-    background's size is proven small)."""
+    For each (row, sample) a background row z (uniform over the whole background
+    table) and a feature order are drawn from hashes of (row, sample, seed).
+    Going through the order, one feature after the other changes from z to x;
+    the change of the score is that feature's contribution, so one walk gives
+    all of them.  The walk's ``n_features + 1`` points exist only as a matrix in
+    the Arrow batch, one (row, sample) at a time; ``phi`` is the mean over the
+    samples, and sums to the row's score less the drawn backgrounds' mean score.
+    Background rows are numbered by a distributed position and fetched by an
+    equi-join on the drawn number."""
     bg = background.select(vector_to_array(vec).alias("_z"))
     bg = global_position(bg.withColumn("_h", F.xxhash64(F.col("_z").cast("string"))),
                          ["_h", F.col("_z").cast("string")], name="_b").select("_b", "_z")
     n_bg = bg.count()
-    base = rows.select(key, vector_to_array(vec).alias("_x"))
-    grid = base.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(n_features - 1)))) \
-        .withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-    grid = grid.withColumn("_b", F.pmod(F.xxhash64(key, "_j", "_s", F.lit(seed)), F.lit(n_bg)))
-    grid = grid.join(bounded_broadcast(bg), "_b")
-
-    def order_key(k):
-        return F.xxhash64(F.col(key), F.col("_s"), F.lit(seed), F.lit(7), k)
-
-    jkey = order_key(F.col("_j"))
-    idx = F.sequence(F.lit(0), F.lit(n_features - 1))
-    take_x = F.transform(idx, lambda k: (order_key(k) < jkey) | (k == F.col("_j")))
-    take_x_minus = F.transform(idx, lambda k: order_key(k) < jkey)
-    plus = F.transform(F.arrays_zip(F.col("_x").alias("x"), F.col("_z").alias("z"), take_x.alias("t")),
-                       lambda e: F.when(e["t"], e["x"]).otherwise(e["z"]))
-    minus = F.transform(F.arrays_zip(F.col("_x").alias("x"), F.col("_z").alias("z"), take_x_minus.alias("t")),
-                        lambda e: F.when(e["t"], e["x"]).otherwise(e["z"]))
-    pairs = grid.select(key, "_j", "_s", F.array(F.struct(F.lit(1).alias("sgn"), plus.alias("v")),
-                                                  F.struct(F.lit(-1).alias("sgn"), minus.alias("v"))).alias("_p"))
-    flat = pairs.select(key, "_j", "_s", F.inline("_p")).withColumn(vec, array_to_vector("v"))
-    scored = model.transform(flat)
-    p1 = vector_to_array("probability")[1]
-    return scored.groupBy(key, F.col("_j").alias("feature")).agg(
-        (F.sum(F.col("sgn") * p1) / F.lit(samples)).alias("phi"))
+    grid = rows.select(key, vector_to_array(vec).alias("_x"), F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("_s"))
+    grid = grid.withColumn("_seed", F.xxhash64(key, "_s", F.lit(seed))).withColumn(
+        "_b", F.pmod(F.xxhash64(key, "_s", F.lit(seed), F.lit(1)), F.lit(n_bg)))
+    score = numpy_scorer(model)
+
+    @F.pandas_udf("array<double>")
+    def walk(x: pd.Series, z: pd.Series, seeds: pd.Series) -> pd.Series:
+        out = []
+        for a, b, s in zip(x, z, seeds):
+            order = np.random.default_rng(int(s) & 0x7FFFFFFFFFFFFFFF).permutation(n_features)
+            taken = np.zeros((n_features + 1, n_features), dtype=bool)
+            taken[1:, order] = np.tri(n_features, dtype=bool)
+            p = score(np.where(taken, np.asarray(a), np.asarray(b)))
+            phi = np.empty(n_features)
+            phi[order] = np.diff(p)
+            out.append(phi)
+        return pd.Series(out)
+
+    phi = grid.join(sized_lookup(bg), "_b").select(key, array_to_vector(walk("_x", "_z", "_seed")).alias("_phi"))
+    mean = phi.groupBy(key).agg(vector_to_array(Summarizer.mean(F.col("_phi"))).alias("_phi"))
+    return mean.select(key, F.posexplode("_phi").alias("feature", "phi"))

@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import bounded_broadcast
+from .joins import sized_lookup
 from .rank import global_position
 
 
@@ -23,18 +23,13 @@ def seeded_order(key: str | Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(str(seed)), F.lit(":"), k.cast("string")))
 
 
-MAX_STRATA = 100_000
-
-
-def _fold_ends(n: int, offset: int, k: int) -> list[int]:
+def _fold_ends(n: Column, offset: Column, k: int) -> Column:
     """Cumulative fold sizes of one class: fold ``f`` gets
     ``max(0, ceil((n - s) / k))`` rows, ``s = (f - offset) mod k``."""
-    ends, acc = [], 0
-    for f in range(k):
-        s = (f - offset) % k
-        acc += max(0, -(-(n - s) // k))
-        ends.append(acc)
-    return ends
+    def size(f):
+        return F.greatest(F.lit(0), F.ceil((n - F.pmod(f - offset, F.lit(k))) / k))
+    return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda f: F.aggregate(
+        F.sequence(F.lit(0), f), F.lit(0).cast("bigint"), lambda acc, g: acc + size(g)))
 
 
 def stratified_folds(df: DataFrame, label: str, order: str, k: int = 10, by: Sequence[str] = (),
@@ -45,43 +40,28 @@ def stratified_folds(df: DataFrame, label: str, order: str, k: int = 10, by: Seq
     (offset ``O`` = rows of earlier classes, ``n`` rows), fold ``f`` receives
     ``max(0, ceil((n - s) / k))`` rows of the class, ``s = (f - O) mod k``,
     handed out as contiguous runs in row order.  ``by`` runs one independent
-    assignment per group (e.g. per trait).
+    assignment per group (e.g. per trait).  NULL groups and classes are groups
+    and classes of their own.
 
-    Plan: one aggregate gives (group, class) -> first key and size - a table
-    bounded by the number of strata (checked), turned into literal lookups on
-    the driver; then a single distributed position pass orders the rows by
-    (group, class rank, key), and each row's rank inside its class selects the
-    fold from that class's cumulative fold sizes."""
+    Plan: one distributed position pass orders the rows by (group, class, key);
+    one aggregate gives each class its size, first key and first position; a
+    window over that table of classes, one group at a time, gives the offsets;
+    and the table is joined back by (group, class)."""
     by = list(by)
-    # the lookup key is built by Spark on both sides (same string form)
-    skey = F.concat_ws("\u0001", *[F.col(c).cast("string") for c in by + [label]])
-    stats = (df.groupBy(*by, label).agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_n"),
-                                        F.first(skey).alias("_key"))
-             .limit(MAX_STRATA + 1).collect())
-    if len(stats) > MAX_STRATA:
-        raise ValueError(f"more than {MAX_STRATA} strata; stratified folds need few classes")
-    groups: dict = {}
-    for r in stats:
-        groups.setdefault(tuple(r[c] for c in by), []).append(r)
-    start, seq, entries = 0, 0, []
-    for g in sorted(groups, key=lambda t: tuple((x is None, x) for x in t)):
-        offset = 0
-        for r in sorted(groups[g], key=lambda r: r["_first"]):
-            entries.append((r["_key"], seq, start, _fold_ends(r["_n"], offset, k)))
-            offset += r["_n"]
-            start += r["_n"]
-            seq += 1
-
-    def lookup(i):
-        pairs = []
-        for name, sq, st, ends in entries:
-            pairs += [F.lit(name), F.lit([sq, st][i]) if i < 2 else F.array(*[F.lit(e) for e in ends])]
-        return F.create_map(*pairs)[skey]
-
-    keyed = df.withColumn("_seq", lookup(0))
-    ranked = global_position(keyed, ["_seq", order], name="_p")
-    r = F.col("_p") - lookup(1)
-    return ranked.withColumn(fold_col, F.size(F.filter(lookup(2), lambda e: e <= r))).drop("_seq", "_p")
+    ranked = global_position(df, [*by, label, order], name="_p")
+    names = [f"_s{i}" for i in range(len(by) + 1)]
+    stats = ranked.groupBy(*[F.col(c).alias(s) for c, s in zip([*by, label], names)]).agg(
+        F.min(order).alias("_first"), F.count(F.lit(1)).alias("_n"), F.min("_p").alias("_start"))
+    w = Window.partitionBy(*names[:-1]).orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
+    stats = stats.withColumn("_o", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    stats = sized_lookup(stats.select(*names, "_start", _fold_ends(F.col("_n"), F.col("_o"), k).alias("_ends")))
+    on = None
+    for c, s in zip([*by, label], names):
+        same = ranked[c].eqNullSafe(stats[s])
+        on = same if on is None else on & same
+    r = F.col("_p") - F.col("_start")
+    out = ranked.join(stats, on).withColumn(fold_col, F.size(F.filter("_ends", lambda e: e <= r)))
+    return out.drop(*names, "_p", "_start", "_ends")
 
 
 def kfold_positions(p: Column, n: int, k: int) -> Column:
@@ -121,7 +101,7 @@ def fold_counts(folded: DataFrame, label: str, k: int, by: Sequence[str] = (), f
                                             F.sum(F.col(label).cast("bigint")).alias("pos_test"))
     if by:
         tot = folded.groupBy(*by).agg(F.count(F.lit(1)).alias("_tot"))
-        joined = per.join(bounded_broadcast(tot), by)
+        joined = per.join(sized_lookup(tot), by)
     else:
         joined = per.withColumn("_tot", F.lit(folded.count()))
     return joined.select(*by, fold_col, (F.col("_tot") - F.col("n_test")).alias("n_train"), "n_test", "pos_test")

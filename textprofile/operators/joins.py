@@ -1,20 +1,21 @@
-"""Join helpers: broadcast only behind a proven size bound."""
+"""Join helpers: broadcast only behind a measured size."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Fixed default: a lexicon / lookup side is broadcast only up to this many rows.
-DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
+from ..session import materialize
 
+# A lookup side is hinted for broadcast only up to this many bytes on disk.
+MAX_BROADCAST_BYTES = 32 << 20
 
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only when the side has at most ``max_rows`` rows.
 
-    The check reads at most ``max_rows + 1`` rows (``limit`` stops early), so it
-    is bounded too.  Beyond the bound the plain join is returned and Catalyst /
-    AQE pick a shuffled join (with skew splitting).
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+def sized_lookup(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """A lookup side, computed once: written to the shared scratch folder and
+    read back, hinted for broadcast when its files hold at most ``max_bytes``.
+
+    Beyond that no hint is given: the planner knows the table's real size, and
+    adaptive execution picks the join and splits hot keys."""
+    table, size = materialize(df, "lookup")
+    return F.broadcast(table) if size <= max_bytes else table

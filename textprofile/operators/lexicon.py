@@ -8,13 +8,15 @@ AQE can split on hot words), and aggregate per document with partial
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
-from .joins import bounded_broadcast
+from .joins import sized_lookup
 
 
 def _tokens(df: DataFrame, doc_key: str, text_col: str | None, tokens_col: str | None) -> Column:
@@ -40,8 +42,7 @@ def token_counts(df: DataFrame, doc_key: str = "doc_id", text_col: str = "text",
 
 def lexicon_features(docs: DataFrame, lexicon: DataFrame, scores: Sequence[str],
                      key: str = "word", doc_key: str = "doc_id", text_col: str = "text",
-                     tokens_col: str | None = None,
-                     max_broadcast_rows: int | None = None, presized: bool = False) -> DataFrame:
+                     tokens_col: str | None = None, presized: bool = False) -> DataFrame:
     """Weighted lexicon mean per document.
 
     For each score ``s``: ``sum(count * s) / sum(count)`` over the document's
@@ -49,14 +50,12 @@ def lexicon_features(docs: DataFrame, lexicon: DataFrame, scores: Sequence[str],
     ``s`` over matched token occurrences.  NULL cells add nothing to the sum but
     the token still counts.  Documents without a hit (or without tokens) get
     NULL.  Duplicate lexicon keys multiply, as an inner equi-join does.
-    ``presized=True`` means the caller already checked the lexicon's size
-    (e.g. once before a stream starts) and it is broadcast without a new check.
+    ``presized=True`` means the caller made the lookup table already (e.g.
+    ``sized_lookup`` once before a stream starts); it is joined as it is.
     """
     lex = lexicon.select(F.col(key).alias("_k"), *scores).withColumn("_hit", F.lit(1))
-    if presized:
-        lex = F.broadcast(lex)
-    else:
-        lex = bounded_broadcast(lex, max_broadcast_rows) if max_broadcast_rows else bounded_broadcast(lex)
+    if not presized:
+        lex = sized_lookup(lex)
     tok = token_rows(docs, doc_key, text_col, tokens_col, word_col="_k", keep_empty=True)
     joined = tok.join(lex, "_k", "left")
     hits = F.sum("_hit")
@@ -80,7 +79,7 @@ def lexicon_features_multi(docs: DataFrame, lexicons: dict, doc_key: str = "doc_
         else:
             merged = merged.join(part, "_k", "full_outer")
     tok = token_rows(docs, doc_key, text_col, word_col="_k", keep_empty=True)
-    joined = tok.join(bounded_broadcast(merged), "_k", "left")
+    joined = tok.join(sized_lookup(merged), "_k", "left")
     aggs = []
     for name, (_, scores) in lexicons.items():
         hits = F.sum(f"_hit_{name}")
@@ -89,20 +88,18 @@ def lexicon_features_multi(docs: DataFrame, lexicons: dict, doc_key: str = "doc_
 
 
 def concept_bag(df: DataFrame, doc_key: str = "doc_id", text_col: str = "text",
-                tokens_col: str | None = None, num_partitions: int | None = None) -> DataFrame:
+                tokens_col: str | None = None) -> DataFrame:
     """``(doc_key, concept_count array<struct<concept, count>>)`` built from the
     document's token counts; documents without tokens get an empty bag.
 
-    The document rows are exchanged by ``doc_key`` once; the token counts and
-    the bag are then built inside that partitioning (no exchange of token
-    rows).  The bag of one document is bounded by that document's own text."""
-    parts = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    toks = df.select(doc_key, _tokens(df, doc_key, text_col, tokens_col).alias("_toks")) \
-        .repartition(parts, doc_key)
-    rows = toks.select(doc_key, F.explode_outer("_toks").alias("word"))
-    counts = rows.groupBy(doc_key, "word").agg(F.count(F.lit(1)).alias("cnt"))
-    entry = F.when(F.col("word").isNotNull(), F.struct(F.col("word").alias("concept"), F.col("cnt").alias("count")))
-    return counts.groupBy(doc_key).agg(F.array_sort(F.collect_list(entry)).alias("concept_count"))
+    A document is one row, so its tokens are counted inside that row (in Arrow
+    batches): no exchange of texts or tokens."""
+    @F.pandas_udf("array<struct<concept:string,count:bigint>>")
+    def bags(tokens: pd.Series) -> pd.Series:
+        return pd.Series([[{"concept": w, "count": n} for w, n in sorted(Counter(t).items())] if t is not None else []
+                          for t in tokens])
+
+    return df.select(doc_key, bags(_tokens(df, doc_key, text_col, tokens_col)).alias("concept_count"))
 
 
 def explode_concepts(bags: DataFrame, doc_key: str = "doc_id",
@@ -115,7 +112,7 @@ def concept_features(bags: DataFrame, lexicon: DataFrame, scores: Sequence[str],
                      key: str = "concept", doc_key: str = "doc_id",
                      bag_col: str = "concept_count") -> DataFrame:
     """Count-weighted mean of concept scores per document (NULL without hits)."""
-    lex = bounded_broadcast(lexicon.select(F.col(key).alias("concept"), *scores)
+    lex = sized_lookup(lexicon.select(F.col(key).alias("concept"), *scores)
                             .withColumn("_hit", F.lit(1)))
     rows = bags.select(doc_key, F.explode_outer(F.col(bag_col)).alias("_e")).select(
         doc_key, F.col("_e.concept").alias("concept"), F.col("_e.count").alias("count"))
@@ -131,27 +128,28 @@ def concept_vector_features(bags: DataFrame, vectors: DataFrame, key: str = "con
                             bag_col: str = "concept_count") -> DataFrame:
     """Count-weighted mean concept vector per document, long form
     ``(doc_key, dim, value)``; a document without hits keeps one row with NULL
-    ``dim``/``value``.  Vectors are exploded after the join so the per-document
+    ``dim``/``value``.  A NULL cell adds nothing to the sum but its count still
+    divides, as in ``lexicon_features``; a dimension without any value is NULL.  Vectors are exploded after the join so the per-document
     aggregate is a plain (partial + final) hash aggregate over ``(doc, dim)``."""
-    lex = bounded_broadcast(vectors.select(F.col(key).alias("concept"), F.col(vec_col).alias("_v")))
+    lex = sized_lookup(vectors.select(F.col(key).alias("concept"), F.col(vec_col).alias("_v")))
     rows = bags.select(doc_key, F.explode(F.col(bag_col)).alias("_e")).select(
         doc_key, F.col("_e.concept").alias("concept"), F.col("_e.count").alias("count"))
     long = rows.join(lex, "concept").select(doc_key, "count", F.posexplode("_v").alias("dim", "_x"))
     agg = long.groupBy(doc_key, "dim").agg(
         F.try_divide(F.sum(F.col("_x") * F.col("count")).cast("double"),
-                     F.sum(F.when(F.col("_x").isNotNull(), F.col("count")))).alias("value"))
+                     F.sum("count")).alias("value"))
     return bags.select(doc_key).join(agg, doc_key, "left")
 
 
 def lexicon_coverage(docs: DataFrame, lexicon: DataFrame, key: str = "word",
                      doc_key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Distinct words per document, how many of them the lexicon holds, and the
-    ratio.  Uses a left-semi style membership flag (no score columns read)."""
-    lex = bounded_broadcast(lexicon.select(F.col(key).alias("word")).distinct()
+    ratio (NULL without words).  Uses a left-semi style membership flag (no score columns read)."""
+    lex = sized_lookup(lexicon.select(F.col(key).alias("word")).distinct()
                             .withColumn("_hit", F.lit(1)))
-    words = token_rows(docs, doc_key, text_col).distinct()
+    words = token_rows(docs, doc_key, text_col, keep_empty=True).distinct()
     joined = words.join(lex, "word", "left")
     return joined.groupBy(doc_key).agg(
-        F.count(F.lit(1)).alias("n_words"),
+        F.count("word").alias("n_words"),
         F.count("_hit").alias("n_hits"),
-    ).withColumn("coverage", F.col("n_hits") / F.col("n_words"))
+    ).withColumn("coverage", F.try_divide(F.col("n_hits"), F.col("n_words")))

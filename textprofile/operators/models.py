@@ -26,7 +26,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import softmax
-from .rank import right_size
 
 # ---------------------------------------------------------------------------
 # estimators
@@ -150,7 +149,7 @@ def cross_validate(df: DataFrame, traits: Sequence[str], make_estimator: Callabl
     when ``keep_models``.  The input is cached once; fits run in a bounded
     thread pool, each a distributed Spark ML job."""
     spark = df.sparkSession
-    cached = right_size(df).persist(StorageLevel.MEMORY_AND_DISK)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
     jobs = []
     for t in traits:
         fc = f"fold_{t}" if f"fold_{t}" in df.columns else fold_col
@@ -211,11 +210,12 @@ def load_models(root: str, kind: str, traits: Sequence[str]) -> dict[str, Pipeli
 
 def positive_probability(pred: DataFrame, prob: str = "probability", raw: str = "rawPrediction") -> Column:
     """Probability of class 1: the probability vector when the model has one,
-    else a softmax of the SVM margins (``rawPrediction``)."""
+    else the logistic function of the SVM margin ``m`` (``rawPrediction`` is
+    ``[-m, m]``)."""
     if prob in pred.columns:
         return vector_to_array(prob)[1]
     r = vector_to_array(raw)
-    return softmax(F.array(r[0], r[1]))[1]
+    return softmax(F.array(F.lit(0.0), r[1]))[1]
 
 
 def _renamed_outputs(model: PipelineModel, trait: str) -> PipelineModel:
@@ -229,22 +229,28 @@ def _renamed_outputs(model: PipelineModel, trait: str) -> PipelineModel:
     return m
 
 
+def num_features(model: PipelineModel) -> int:
+    """Width of the feature vectors a saved model takes."""
+    first = model.stages[0]
+    return first.getOrDefault("n_features") if first.hasParam("n_features") else first.numFeatures
+
+
 def score(df: DataFrame, models: dict[str, PipelineModel], key: str = "doc_id",
           features: str = "features") -> DataFrame:
     """``(key, trait, probability, decision)``; decision ``Yes`` only when the
     probability is strictly above 0.5.  All trait models are chained over one
     pass of the input (trait-specific output columns), then unpivoted; rows
-    without features get NULL probability and decision."""
-    has = df.filter(F.col(features).isNotNull())
-    out = has
+    without features are scored as a zero vector in the same pass and get NULL
+    probability and decision."""
+    n = num_features(next(iter(models.values())))
+    none = F.array(*[F.lit(0.0)] * n)
+    out = df.withColumn("_has", F.col(features).isNotNull()).withColumn(
+        features, F.coalesce(F.col(features), array_to_vector(none)))
     probs = {}
     for trait, m in models.items():
         out = _renamed_outputs(m, trait).transform(out)
         probs[trait] = positive_probability(out, f"_prob_{trait}", f"_raw_{trait}")
-    wide = out.select(key, *[p.alias(t) for t, p in probs.items()])
-    none = df.filter(F.col(features).isNull()).select(
-        key, *[F.lit(None).cast("double").alias(t) for t in models])
-    long = wide.unionByName(none).unpivot([key], list(models), "trait", "probability")
+    long = out.select(key, *[F.when(F.col("_has"), p).alias(t) for t, p in probs.items()]).unpivot([key], list(models), "trait", "probability")
     return long.withColumn("decision", F.when(F.col("probability") > 0.5, "Yes")
                            .when(F.col("probability").isNotNull(), "No"))
 
@@ -261,7 +267,3 @@ def assemble_vector(df: DataFrame, cols: Sequence[str], out: str = "features") -
             conv.append(c)
     out_df = VectorAssembler(inputCols=conv, outputCol=out, handleInvalid="error").transform(tmp)
     return out_df.drop(*[c for c in conv if c.startswith("_v_")])
-
-
-def spark_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,7 +40,8 @@ def recent_posts_cached(spark: SparkSession, posts: DataFrame, cache_path: str,
     if not refresh:
         try:
             return spark.read.parquet(cache_path)
-        except Exception:  # noqa: BLE001 - missing path: compute below
-            pass
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
     recent_posts(posts, **kw).write.mode("overwrite").parquet(cache_path)
     return spark.read.parquet(cache_path)

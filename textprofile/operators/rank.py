@@ -25,18 +25,6 @@ def _partitions(df: DataFrame, num_partitions: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread CPU-heavy row work over at least ``min_partitions`` tasks.
-
-    On large inputs the scan already yields many more partitions and nothing
-    happens; only a small input read as few splits is redistributed.
-    """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target)
-
-
 def ranged(df: DataFrame, order: Sequence[str | Column], num_partitions: int | None = None,
            value: str | Column | None = None) -> DataFrame:
     """Range-partitioned, locally sorted copy with ``_pid`` and ``_local``
@@ -79,13 +67,3 @@ def prefix_sum(df: DataFrame, order: Sequence[str | Column], value: str,
     local = r.withColumn("_inpart", F.coalesce(F.sum("_w").over(w), F.lit(0)))
     out = local.join(F.broadcast(_offsets(r)), "_pid").withColumn(name, F.col("_off") + F.col("_inpart"))
     return out.drop("_pid", "_local", "_off", "_w", "_inpart")
-
-
-def right_size(df: DataFrame, rows_per_partition: int = 250_000) -> DataFrame:
-    """Narrow (``coalesce``, no shuffle) a small input to about
-    ``rows / rows_per_partition`` partitions.  Iterative optimisers run one
-    job per iteration; on a small training set spread over many partitions
-    the per-task overhead dominates.  Large inputs keep their partitioning."""
-    n = df.count()
-    target = max(1, -(-n // rows_per_partition))
-    return df.coalesce(target) if target < df.rdd.getNumPartitions() else df

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import readability as R
-from .joins import bounded_broadcast
+from .joins import sized_lookup
 
 # Colliding names when the groups are flattened the reference way (later
 # groups overwrite earlier keys): usage pronoun/conjunction/preposition are
@@ -40,7 +40,7 @@ def readability(docs: DataFrame, easy_words: DataFrame, doc_key: str = "doc_id",
     use = R.usage_from(F.col("_lw"), F.col("_sl"))
     per_doc = prepared.select(doc_key, "_lw", *[v.alias(k) for k, v in c.items()],
                               *[v.alias(k) for k, v in use.items()])
-    easy = bounded_broadcast(easy_words.select(F.col("word").alias("_w1")).distinct()
+    easy = sized_lookup(easy_words.select(F.col("word").alias("_w1")).distinct()
                              .withColumn("_easy", F.lit(1)))
     carried = list(c) + list(use)
     exploded = per_doc.select(doc_key, *carried, F.explode_outer("_lw").alias("_w1"))

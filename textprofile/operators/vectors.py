@@ -11,12 +11,14 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunk import overlap_window_count
+from .joins import sized_lookup
 from .rank import global_position, prefix_sum
 
 
@@ -68,19 +70,20 @@ def pool_two_level(df: DataFrame, doc: Sequence[str], sub: Sequence[str], vec: s
 def window_memberships(df: DataFrame, doc: str, order: str, size: int, overlap: int) -> DataFrame:
     """Assign each row of a document (ordered by ``order``) to every
     overlapping window holding it: adds ``win`` (one row per membership, at
-    most ``ceil(size / step)`` per input row).  Positions come from a
+    most ``ceil(size / step)`` per input row; ``(doc, order)`` is unique).  Only
+    the keys are ranked, never the vectors.  Positions come from a
     distributed global rank, so a huge document is not sorted in one task."""
     step = size - overlap
     if step <= 0:
         raise ValueError("overlap must be smaller than the window size")
-    pos = global_position(df, [doc, order], name="_gp")
+    pos = global_position(df.select(doc, order), [doc, order], name="_gp")
     bounds = pos.groupBy(doc).agg(F.min("_gp").alias("_start"), F.count(F.lit(1)).alias("_n"))
     bounds = bounds.withColumn("_nw", overlap_window_count(F.col("_n"), size, overlap))
     p = F.col("_gp") - F.col("_start")
     lo = F.greatest(F.lit(0), F.ceil((p - F.lit(size - 1)) / F.lit(step)).cast("int"))
     hi = F.least(F.floor(p / F.lit(step)).cast("int"), F.col("_nw") - 1)
-    return pos.join(bounds, doc).withColumn("win", F.explode(F.sequence(lo, hi))) \
-        .drop("_gp", "_start", "_n", "_nw")
+    member = pos.join(sized_lookup(bounds), doc).select(doc, order, F.explode(F.sequence(lo, hi)).alias("win"))
+    return df.join(member, [doc, order])
 
 
 def chunk_mean_by_counts(vectors: DataFrame, counts: DataFrame, order: str, vec: str,
@@ -89,7 +92,7 @@ def chunk_mean_by_counts(vectors: DataFrame, counts: DataFrame, order: str, vec:
     average each run -> ``(run_key, vec)``.  Run starts are a distributed
     prefix sum; each run is expanded to its positions (linear in the vector
     count) and equi-joined to the vector positions."""
-    pos = global_position(vectors.select(order, vec), [order], name="_p")
+    pos = global_position(vectors.select(order), [order], name="_p").join(vectors.select(order, vec), order)
     starts = prefix_sum(counts.select(run_key, run_len), [run_key], run_len, name="_s")
     members = starts.filter(F.col(run_len) > 0).select(
         run_key, F.explode(F.sequence(F.col("_s"), F.col("_s") + F.col(run_len) - 1)).alias("_p"))
@@ -161,67 +164,100 @@ def hashing_embed_dense(token_rows: DataFrame, doc: str | Sequence[str] = "doc_i
     return sparse.groupBy(*keys).agg(dense_from_entries("bucket", "value", dim).alias("vec"))
 
 
-def hashing_embed_docs(docs: DataFrame, key: str, tokens: str, dim: int = 64,
-                       num_partitions: int | None = None) -> DataFrame:
-    """``(key, vec)`` for documents holding a token array.
+def _token_codes(tokens: str, dim: int) -> Column:
+    """``2 * bucket + (1 if the sign is minus)`` of every token (JVM-side)."""
+    def code(t):
+        h = token_hash(t)
+        return ((h % dim) * 2 + F.shiftright(h, 6) % 2).cast("int")
+    return F.transform(tokens, code)
 
-    The document rows are hash-partitioned by ``key`` once; the explode, the
-    per-(document, bucket) sums, the per-document norm and the densification
-    then all run inside that partitioning (no further exchange), so only the
-    document rows cross the network, never the token rows."""
-    parts = num_partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(key, tokens).repartition(parts, key).select(key, F.explode(tokens).alias("_t"))
-    return hashing_embed_dense(rows, key, "_t", dim)
 
+def _hash_vectors(codes: np.ndarray, size: int, step: int, dim: int) -> np.ndarray:
+    """Mean of the unit vectors of the windows of ``size`` codes."""
+    n = len(codes)
+    starts = [0] if n <= size else range(0, -(-(n - size) // step) * step + 1, step)
+    out = np.zeros(dim)
+    for a in starts:
+        w = codes[a:a + size]
+        v = np.bincount(w >> 1, weights=1.0 - 2.0 * (w & 1), minlength=dim)
+        norm = np.sqrt((v * v).sum())
+        out += v / norm if norm else v
+    return out / len(starts)
 
-def hashing_window_mean(docs: DataFrame, key: str, tokens: str, size: int, overlap: int,
-                        dim: int = 64, num_partitions: int | None = None) -> DataFrame:
-    """Mean over a document's overlapping windows of the windows' hashing
-    vectors -> ``(key, vec)`` (documents without tokens are absent).
 
-    Same co-location as ``hashing_embed_docs``: one exchange of the document
-    rows by ``key``; window vectors stay sparse and are summed per (document,
-    bucket) and divided by the window count, so only one dense vector per
-    document is built."""
-    from .chunk import chunk_overlap, overlap_window_count
-    parts = num_partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    d = docs.select(key, tokens).repartition(parts, key) \
-        .withColumn("_nw", overlap_window_count(F.size(tokens), size, overlap))
-    wins = chunk_overlap(d, tokens, size=size, overlap=overlap, keep=(key, "_nw"))
-    rows = wins.select(key, "_nw", "chunk_no", F.explode("chunk").alias("_t"))
-    sparse = hashing_embed(rows, [key, "_nw", "chunk_no"], "_t", dim)
-    summed = sparse.groupBy(key, "_nw", "bucket").agg((F.sum("value") / F.first("_nw")).alias("_v"))
-    return summed.groupBy(key).agg(dense_from_entries("bucket", "_v", dim).alias("vec"))
+def hashing_embed_docs(docs: DataFrame, key: str, tokens: str, dim: int = 64) -> DataFrame:
+    """``(key, vec)`` for documents holding a token array; NULL without tokens.
+    A document is one row, so its vector is made inside that row: no exchange."""
+    return hashing_window_mean(docs, key, tokens, None, 0, dim)
+
+
+def hashing_window_mean(docs: DataFrame, key: str, tokens: str, size: int | None, overlap: int,
+                        dim: int = 64) -> DataFrame:
+    """Mean over a document's overlapping windows (``size`` None: one window)
+    of the windows' hashing vectors -> ``(key, vec)``, NULL without tokens.
+    Token hashes are computed JVM-side; the sums of a document's windows come
+    from its own row in an Arrow batch, without an exchange."""
+    if size is not None and overlap >= size:
+        raise ValueError("overlap must be smaller than the window size")
+
+    @F.pandas_udf("array<double>")
+    def vectors(codes: pd.Series) -> pd.Series:
+        return pd.Series([None if c is None or not len(c) else
+                          _hash_vectors(np.asarray(c), size or len(c), (size or 1) - overlap, dim) for c in codes])
+
+    return docs.select(key, vectors(_token_codes(tokens, dim)).alias("vec"))
 
 
 # ---- plug-in encoders (Arrow batches through mapInPandas) ---------------------------------
 
 EncoderFactory = Callable[[], Callable[[list[list[str]]], np.ndarray]]
-_ENCODERS: dict[str, tuple[EncoderFactory, int]] = {}
+_ENCODERS: dict[str, tuple[EncoderFactory, int, int]] = {}
 
 
-def register_encoder(name: str, factory: EncoderFactory, dim: int) -> None:
+def register_encoder(name: str, factory: EncoderFactory, dim: int, layers: int = 1) -> None:
     """Register an encoder: ``factory()`` is called once per task and returns a
-    function mapping a batch of token lists to a ``[batch, dim]`` array."""
-    _ENCODERS[name] = (factory, dim)
+    function mapping a batch of token lists to ``[batch, layers, dim]`` (or
+    ``[batch, dim]`` with one layer)."""
+    _ENCODERS[name] = (factory, dim, layers)
 
 
-def embed(df: DataFrame, tokens: str, encoder: str, key: str = "doc_id",
-          batch_size: int = 32) -> DataFrame:
-    """``(key, vec array<double>)`` by running the registered encoder over
-    Arrow batches of ``batch_size`` rows inside the executors."""
-    factory, dim = _ENCODERS[encoder]
+def encoder_layers(name: str) -> int:
+    return _ENCODERS[name][2]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fn = factory()
-        for pdf in batches:
-            toks = [list(t) if t is not None else [] for t in pdf[tokens]]
-            mats = [np.asarray(fn(toks[s:s + batch_size]), dtype=np.float64).reshape(-1, dim)
-                    for s in range(0, len(toks), batch_size)]
-            mat = np.vstack(mats) if mats else np.zeros((0, dim))
-            yield pd.DataFrame({key: pdf[key].to_numpy(), "vec": list(mat)})
 
-    return df.select(key, tokens).mapInPandas(run, schema=f"{key} long, vec array<double>")
+def embed_layers(df: DataFrame, tokens: str, encoder: str, key: str = "doc_id",
+                 batch_size: int = 32) -> DataFrame:
+    """``(key, layer (1-based), vec array<double>)``, one row per layer, by
+    running the registered encoder over batches of ``batch_size`` rows inside
+    the executors; the key keeps its type.  A row without tokens gets NULL
+    vectors and is not encoded."""
+    factory, dim, layers = _ENCODERS[encoder]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn = factory()
+        for whole in batches:
+            for at in range(0, whole.num_rows, batch_size):
+                b = whole.slice(at, batch_size)
+                toks = b.column(1).to_pylist()
+                full = [i for i, t in enumerate(toks) if t]
+                got = np.asarray(fn([toks[i] for i in full]), dtype=np.float64).reshape(-1, layers, dim) if full else []
+                vecs = [[None] * layers for _ in toks]
+                for i, v in zip(full, got):
+                    vecs[i] = list(v)
+                rows = pa.array(np.repeat(np.arange(len(toks)), layers))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(rows), pa.array(np.tile(np.arange(1, layers + 1), len(toks)), pa.int32()),
+                     pa.array([v for vs in vecs for v in vs], pa.list_(pa.float64()))], names=[key, "layer", "vec"])
+
+    d = df.select(key, tokens)
+    return d.mapInArrow(run, f"`{key}` {dict(d.dtypes)[key]}, layer int, vec array<double>")
+
+
+def embed(df: DataFrame, tokens: str, encoder: str, key: str = "doc_id", batch_size: int = 32,
+          layer: int | None = None) -> DataFrame:
+    """``(key, vec)`` of one layer (default: the last)."""
+    layer = layer or encoder_layers(encoder)
+    return embed_layers(df, tokens, encoder, key, batch_size).filter(F.col("layer") == layer).drop("layer")
 
 
 def _numpy_hashing_factory(dim: int = 64):
@@ -232,6 +268,8 @@ def _numpy_hashing_factory(dim: int = 64):
     def slot(t: str) -> tuple[int, float]:
         hit = cache.get(t)
         if hit is None:
+            if len(cache) >= 200_000:
+                cache.clear()
             h = int(hashlib.md5(t.encode("utf-8")).hexdigest()[:8], 16)
             hit = cache[t] = (h % dim, 1.0 if (h >> 6) % 2 == 0 else -1.0)
         return hit

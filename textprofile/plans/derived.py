@@ -14,15 +14,16 @@ from ..functions.text import tokenize
 from . import sqlfrag as S
 from .tables import load
 
-# Score names of the two word lexicons and the concept lexicon.
+# Score names of the two word lexicons and the columns of the
+# concept lexicon; they must equal the lexicons' own.
 EMOTIONS = ("anger", "anticipation", "disgust", "fear", "joy", "negative",
             "positive", "sadness", "surprise", "trust")
 VAD = ("valence", "arousal", "dominance")
 AFFECT = ("pleasantness_value", "attention_value", "sensitivity_value",
           "aptitude_value", "polarity_value")
 AFFECT_DESCRIPTIVE = ("primary_mood", "secondary_mood", "polarity_label",
-                      "semantics_1", "semantics_2", "semantics_3", "semantics_4",
-                      "semantics_5")
+                      "semantics1", "semantics2", "semantics3", "semantics4",
+                      "semantics5")
 CONCEPT_DIMS = 8
 
 

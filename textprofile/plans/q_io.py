@@ -182,14 +182,50 @@ def q_src_type_csv(spark, sf):
 
 
 @register("src_lexicon_tsv", D.with_ctes(bench_words=D.SQL_BENCH_WORDS, lex=D.SQL_VAD_LEX) +
-          "SELECT word, valence::DOUBLE AS valence, arousal::DOUBLE AS arousal, dominance::DOUBLE AS dominance FROM lex")
+          "SELECT ' say \"' || word || '\", ' AS word, valence::DOUBLE AS valence, arousal::DOUBLE AS arousal, dominance::DOUBLE AS dominance FROM lex")
 def q_src_lexicon_tsv(spark, sf):
-    lex = D.vad_lexicon(spark, sf).withColumnRenamed("word", "Word")
+    lex = D.vad_lexicon(spark, sf).withColumn("word", F.concat(F.lit(' say "'), F.col("word"), F.lit('", '))) \
+        .withColumnRenamed("word", "Word")
     path = scratch_path(spark, "lexicon_tsv")
-    lex.write.mode("overwrite").options(sep="\t", header=True, quote='"', escape='"').csv(path)
+    lex.write.options(**{**WR.CSV_WRITE, "sep": "\t"}).csv(path)
     return RD.read_lexicon(spark, path, fmt="tsv", key="Word")
 
 
+@register("src_lexicon_csv", D.with_ctes(bench_words=D.SQL_BENCH_WORDS, lex=D.SQL_EMOTION_LEX) +
+          "SELECT 'a \"' || word || '\"' || chr(10) || 'b' AS word, " + ", ".join(f"{e}::DOUBLE AS {e}" for e in D.EMOTIONS) + " FROM lex")
+def q_src_lexicon_csv(spark, sf):
+    """Emotion lexicon written as CSV (keys with quotes and line breaks, first
+    column the key) and read back."""
+    lex = D.emotion_lexicon(spark, sf).withColumn("word", F.concat(F.lit('a "'), F.col("word"), F.lit('"\nb')))
+    path = scratch_path(spark, "lexicon_csv")
+    WR.write_csv(lex, path)
+    return RD.read_lexicon(spark, path)
+
+
+@register("src_concept_corpus", "SELECT doc_id AS author_id, length(text)::BIGINT AS n_chars, count(DISTINCT t)::BIGINT AS n_concepts, "
+          f"count(t)::BIGINT AS n_tokens FROM (SELECT doc_id, text, unnest({S.tokens('text')}) AS t FROM documents) GROUP BY doc_id, text")
+def q_src_concept_corpus(spark, sf):
+    """Corpus with a concept bag written and read back by its own reader."""
+    docs = load(spark, sf, "documents").select("doc_id", "text")
+    bags = LX.concept_bag(docs)
+    path = scratch_path(spark, "concept_corpus")
+    docs.join(bags, "doc_id").select(F.col("doc_id").alias("#AUTHID"), F.col("text").alias("TEXT"), "concept_count").write.parquet(path)
+    back = RD.read_concept_corpus(spark, path)
+    return back.select("author_id", F.length("text").cast("bigint").alias("n_chars"),
+                       F.size("concept_count").cast("bigint").alias("n_concepts"),
+                       F.aggregate("concept_count", F.lit(0).cast("bigint"), lambda a, x: a + x["count"]).alias("n_tokens"))
+
+
+@register("src_concept_affect", D.with_ctes(bench_words=D.SQL_BENCH_WORDS, lex=D.SQL_HOURGLASS) +
+          "SELECT concept, " + ", ".join(f"{a}::DOUBLE AS {a}" for a in D.AFFECT) + " FROM lex")
+def q_src_concept_affect(spark, sf):
+    """Concept-affect lexicon written as CSV with its descriptive columns, read
+    back without them."""
+    path = scratch_path(spark, "concept_affect")
+    WR.write_csv(D.hourglass_lexicon(spark, sf), path)
+    return RD.read_concept_affect(spark, path)
+
+
 _ARFF_EXTRA = 7
 
 
@@ -211,10 +247,13 @@ def _arff_rows(spark, sf):
           + " FROM labels l JOIN documents d ON l.doc_id = d.doc_id WHERE l.doc_id % 11 <> 0")
 def q_src_arff(spark, sf):
     path = scratch_path(spark, "arff")
-    attrs = [("filename", "string"), ("quality", "numeric"), ("toxic", "numeric"), ("n_chars", "numeric")] + \
+    attrs = [("filename", "string"), ("quality", "numeric"), ("toxic", "numeric"), ("'n of chars'", "numeric")] + \
         [(f"a{k}", "numeric") for k in range(_ARFF_EXTRA)]
-    WR.write_arff(spark, _arff_rows(spark, sf), path, "labels", attrs)
-    return RD.read_arff(spark, path)
+    # two relations with the same attributes, a quoted name, an id of its own
+    rows = _arff_rows(spark, sf)
+    for i in (0, 1):
+        WR.write_arff(spark, rows.filter(F.pmod(F.xxhash64("value"), F.lit(2)) == i), f"{path}/r{i}", f"labels{i}", attrs)
+    return RD.read_arff(spark, path).withColumnRenamed("n of chars", "n_chars")
 
 
 _ATTR_DROP = ("drop_a", "drop_b")
@@ -282,16 +321,24 @@ def _sql_zscore_ctes(src: str, stats: str, out: str, key: str, cols) -> dict:
     return {stats: st, out: f"SELECT {key}, {z} FROM {src}, {stats}"}
 
 
-def _groups(spark, sf):
-    docs = load(spark, sf, "documents")
-    both = LX.lexicon_features_multi(docs, {"emotion": (D.emotion_lexicon(spark, sf), D.EMOTIONS),
-                                            "vad": (D.vad_lexicon(spark, sf), D.VAD)}) \
-        .withColumnRenamed("doc_id", "author_id")
-    emo = both.select("author_id", *D.EMOTIONS)
-    vad = both.select("author_id", *D.VAD)
-    # the readability group is stored z-scored over the corpus (missing -> 0)
-    read = FE.zscore(_readability_raw(spark, sf, docs), list(_RD_FEATS), "author_id")
-    return {"emotion": emo, "vad": vad, "readability": read}
+def _lexicon_groups(spark, sf):
+    """Emotion and VAD means of every document, from one pass over its tokens."""
+    both = LX.lexicon_features_multi(load(spark, sf, "documents"), {
+        "emotion": (D.emotion_lexicon(spark, sf), D.EMOTIONS), "vad": (D.vad_lexicon(spark, sf), D.VAD)})
+    return both.withColumnRenamed("doc_id", "author_id")
+
+
+def _groups(spark, sf, enabled):
+    """The enabled feature groups as tables.  The two lexicon groups come from
+    one aggregate and stay one table; readability is computed only if enabled."""
+    out = {}
+    words = [c for g in ("emotion", "vad") if g in enabled for c in _GROUP_COLS[g]]
+    if words:
+        out["words"] = _lexicon_groups(spark, sf).select("author_id", *words)
+    if "readability" in enabled:
+        # the readability group is stored z-scored over the corpus (missing -> 0)
+        out["readability"] = FE.zscore(_readability_raw(spark, sf, load(spark, sf, "documents")), list(_RD_FEATS), "author_id")
+    return out
 
 
 def _readability_raw(spark, sf, docs):
@@ -347,8 +394,8 @@ def _sql_feature_join(enabled) -> str:
 
 
 def _feature_join(spark, sf, enabled):
-    g = _groups(spark, sf)
-    joined = FE.feature_join(g, enabled)
+    g = _groups(spark, sf, enabled)
+    joined = FE.feature_join(g, list(g))
     lab = FE.label_join(joined, _labels_keyed(spark, sf))
     feats = [c for c in joined.columns if c != "author_id"]
     long = FE.to_long(lab, "author_id", feats)
@@ -387,8 +434,7 @@ def q_feature_label_join(spark, sf):
           ", ".join(f"round(coalesce(vad.{c}, 0), 6)" for c in D.VAD) +
           "]) AS value FROM emo JOIN vad ON emo.doc_id = vad.doc_id JOIN labels l ON emo.doc_id = l.doc_id")
 def q_assemble_features(spark, sf):
-    g = _groups(spark, sf)
-    joined = FE.feature_join(g, ["emotion", "vad"]).join(_labels_keyed(spark, sf), "author_id")
+    joined = FE.fill_missing(_lexicon_groups(spark, sf), list(D.EMOTIONS) + list(D.VAD)).join(_labels_keyed(spark, sf), "author_id")
     vec = FE.assemble(joined, list(D.EMOTIONS) + list(D.VAD))
     return FE.vector_long(vec, "author_id").select(
         F.col("author_id").alias("doc_id"), F.col("idx").cast("bigint").alias("idx"), r6("value").alias("value"))
@@ -406,7 +452,7 @@ def q_src_posts_csv(spark, sf):
     ev = load(spark, sf, "events")
     path = scratch_path(spark, "posts_csv")
     WR.write_csv(ev.select(F.col("user_id").cast("string").alias("author"), F.col("event_type").alias("body"),
-                           F.unix_micros(F.col("ts").cast("timestamp")).alias("created_utc"),
+                           F.concat((F.unix_micros(F.col("ts").cast("timestamp"))).cast("string"), F.lit(".0")).alias("created_utc"),
                            F.col("event_id").alias("id")), path)
     posts = RD.read_posts(spark, path, keep=[F.col("id").cast("bigint").alias("id")])
     return recent_posts(posts, n=20, tiebreak="id")
@@ -454,16 +500,16 @@ def q_union_corpora(spark, sf):
 def _sql_zscore_readability() -> str:
     ctes = _sql_groups()
     keep = {k: ctes[k] for k in ("easy", "dc", "rc", "rd_raw", "rd_st", "rd")}
-    ctes = {"en": "SELECT doc_id, text FROM documents WHERE lang = 'en'", **keep}
+    ctes = {"en": "SELECT doc_id, text FROM documents", **keep}
     parts = [f"SELECT doc_id, '{c}' AS feature, round({c}, 6) AS z FROM rd" for c in _RD_FEATS]
     return D.with_ctes(**ctes) + " UNION ALL ".join(parts)
 
 
 @register("zscore_readability", _sql_zscore_readability())
 def q_zscore_readability(spark, sf):
-    """Readability counts and ratios of the English documents, z-scored over
-    those documents (the stored form of the readability feature group)."""
-    docs = load(spark, sf, "documents").filter(F.col("lang") == "en")
+    """Readability counts and ratios of the documents, z-scored over them (the
+    stored form of the readability feature group)."""
+    docs = load(spark, sf, "documents")
     z = FE.zscore(_readability_raw(spark, sf, docs), list(_RD_FEATS), "author_id")
     return z.unpivot(["author_id"], list(_RD_FEATS), "feature", "z").select(
         F.col("author_id").alias("doc_id"), "feature", r6("z").alias("z"))

@@ -13,7 +13,6 @@ from ..operators import explain as X
 from ..operators import folds as FO
 from ..operators import models as M
 from ..operators import vectors as V
-from ..operators.rank import right_size
 from ..session import scratch_path
 from ..sources import writers as WR
 from ..streaming import score as ST
@@ -123,20 +122,26 @@ def q_experiment_log(spark, sf):
 
 # ---- probabilities -------------------------------------------------------------------
 
-_SQL_P = ("SELECT vec_id, exp(embedding[2]::DOUBLE) / (exp(embedding[1]::DOUBLE) + exp(embedding[2]::DOUBLE)) AS p "
-          "FROM embeddings")
+# two scores of the whole vector: the sums of its even and of its odd places
+_SQL_P = ("SELECT vec_id, 1 / (1 + exp(sum(CASE WHEN i % 2 = 1 THEN x ELSE -x END))) AS p FROM (SELECT vec_id, "
+          "unnest(embedding)::DOUBLE AS x, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY vec_id")
 
 
 def _p1(spark, sf):
-    emb = load(spark, sf, "embeddings")
-    pair = F.array(F.col("embedding")[0].cast("double"), F.col("embedding")[1].cast("double"))
-    return emb.select("vec_id", softmax(pair)[1].alias("p"))
+    emb = load(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+
+    def total(rest):
+        return F.aggregate(F.filter("e", lambda x, i: i % 2 == rest), F.lit(0.0), lambda a, x: a + x)
+    return emb.select("vec_id", softmax(F.array(total(0), total(1)))[1].alias("p"))
 
 
-@register("softmax", f"WITH s AS ({_SQL_P}) SELECT vec_id, round(p, 6) AS p FROM s")
+@register("softmax", "WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding))) AS idx FROM embeddings) "
+          "SELECT vec_id, idx::BIGINT AS idx, round(exp(x) / sum(exp(x)) OVER (PARTITION BY vec_id), 6) AS p FROM e")
 def q_softmax(spark, sf):
-    """Softmax of a two-score vector (the first two embedding dims)."""
-    return _p1(spark, sf).select("vec_id", r6("p").alias("p"))
+    """Softmax over the whole embedding vector."""
+    emb = load(spark, sf, "embeddings")
+    p = emb.select("vec_id", F.posexplode(softmax(F.col("embedding").cast("array<double>"))).alias("idx", "p"))
+    return p.select("vec_id", F.col("idx").cast("bigint").alias("idx"), r6("p").alias("p"))
 
 
 @register("score_threshold", f"WITH s AS ({_SQL_P}) SELECT vec_id, round(p, 3) AS p3, "
@@ -157,7 +162,8 @@ def q_rbf_gamma(spark, sf):
 
 # ---- attribution --------------------------------------------------------------------
 
-_W = (0.5, -1.0, 2.0, 0.25, -0.75, 1.5, -2.0, 1.0)
+N_DIMS = 64
+_W = tuple((i * 7 % 13 - 6) / 4 for i in range(N_DIMS))  # fixed weights of all dimensions
 _FEATS = [f"d{i}" for i in range(len(_W))]
 _TRAIT_W = {"quality": _W, "toxic": tuple(reversed(_W))}
 
@@ -178,7 +184,7 @@ def _sql_phi(weights, trait=None):
 
 @register("linear_attribution", f"SELECT vec_id, feature, round(phi, 6) AS phi FROM ({_sql_phi(_W)})")
 def q_linear_attribution(spark, sf):
-    """Exact attributions of a fixed linear model over 8 embedding dims."""
+    """Exact attributions of a fixed linear model over all embedding dims."""
     phi = X.linear_attribution(_dims(spark, sf), "vec_id", _FEATS, _W)
     return phi.select("vec_id", "feature", r6("phi").alias("phi"))
 
@@ -215,7 +221,7 @@ def q_importance_strongest(spark, sf):
 # ---- training (rows-only checks) ------------------------------------------------------
 
 def _emb_train(spark, sf):
-    emb = right_size(load(spark, sf, "embeddings"))
+    emb = load(spark, sf, "embeddings")
     return emb.select("vec_id", array_to_vector("embedding").alias("features"),
                       (F.col("label") % 2).cast("double").alias("odd"),
                       (F.col("label") < 5).cast("double").alias("low"))
@@ -303,7 +309,8 @@ def q_cv_combined(spark, sf):
     from ..operators import lexicon as LX
     docs = load(spark, sf, "documents").select("doc_id", "text")
     toks = docs.select("doc_id", T.tokenize(F.lower(F.col("text"))).alias("toks"))
-    emb = V.hashing_embed_docs(toks, "doc_id", "toks", dim=DIM).withColumnRenamed("doc_id", "author_id")
+    emb = V.hashing_embed_docs(toks, "doc_id", "toks", dim=DIM).withColumnRenamed("doc_id", "author_id") \
+        .withColumn("vec", F.coalesce("vec", F.array(*[F.lit(0.0)] * DIM)))
     psycho = LX.lexicon_features_multi(docs, {"emotion": (D.emotion_lexicon(spark, sf), D.EMOTIONS),
                                               "vad": (D.vad_lexicon(spark, sf), D.VAD)}) \
         .withColumnRenamed("doc_id", "author_id")
@@ -325,21 +332,20 @@ WIN, OVERLAP, DIM = 64, 16, 64
 def window_features(docs, key: str = "doc_id", text: str = "text"):
     """clean -> lower-case tokens -> overlapping windows -> hashing vector per
     window -> mean over the document's windows: ``(key, features)``; a
-    document without tokens gets NULL features.  The windows of a document
-    are built and averaged after one exchange of the document rows."""
+    document without tokens gets NULL features.  All of it happens inside the
+    document's row."""
     toks = docs.select(key, T.tokenize(F.lower(T.clean_text(F.col(text)))).alias("toks"))
     pooled = V.hashing_window_mean(toks, key, "toks", WIN, OVERLAP, dim=DIM)
-    return docs.select(key).join(pooled, key, "left").select(
-        key, F.when(F.col("vec").isNotNull(), array_to_vector("vec")).alias("features"))
+    return pooled.select(key, F.when(F.col("vec").isNotNull(), array_to_vector("vec")).alias("features"))
 
 
 def _train_models(spark, sf, root, feats=None):
     """One L2 logistic model per trait on the labelled documents' features,
     saved under ``root`` and loaded back (the registry round trip)."""
-    if feats is None:
-        feats = window_features(load(spark, sf, "documents").select("doc_id", "text"))
-    lab = right_size(feats.filter(F.col("features").isNotNull()).join(load(spark, sf, "labels"), "doc_id")
-                     .checkpoint())
+    if feats is None:  # only labelled documents are featurised
+        docs = load(spark, sf, "documents").select("doc_id", "text")
+        feats = window_features(docs.join(load(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi"))
+    lab = feats.filter(F.col("features").isNotNull()).join(load(spark, sf, "labels"), "doc_id").checkpoint()
     n = lab.count()
     for t in ("quality", "toxic"):
         m = M.lr_l2(n).fit(lab.withColumn("label", F.col(t).cast("double")))
@@ -363,7 +369,7 @@ def q_score_unseen(spark, sf):
 
 @register("sampled_attribution")
 def q_sampled_attribution(spark, sf):
-    """Sampled Shapley values of a logistic model over 8 embedding dims:
+    """Sampled Shapley values of a logistic model over all embedding dims:
     fitted on the training split of the seeded 80/20 hold-out, every test row
     explained with 16 samples, background rows drawn from the whole training
     split."""
@@ -380,17 +386,17 @@ def q_sampled_attribution(spark, sf):
 
 # ---- streaming -------------------------------------------------------------------------------
 
-def _stream_source(spark, sf, parts: int = 4) -> str:
-    """Copy of ``documents`` split into several files to drive several micro-batches."""
+def _stream_source(spark, sf, rows_per_file: int = 20_000) -> str:
+    """Copy of ``documents`` as the files of a stream, as many as the data needs."""
     src = scratch_path(spark, "stream_src")
-    load(spark, sf, "documents").select("doc_id", "text").repartition(parts).write.parquet(src)
+    load(spark, sf, "documents").select("doc_id", "text").write.option("maxRecordsPerFile", rows_per_file).parquet(src)
     return src
 
 
 @register("stream_lexicon", q_text.ORACLE["lexicon_vad"])
 def q_stream_lexicon(spark, sf):
-    """Documents as a file stream (availableNow, one file per micro-batch),
-    lexicon means per batch; equals the batch ``lexicon_vad``."""
+    """Documents as a file stream (availableNow, a bounded number of files per
+    micro-batch), lexicon means per batch; equals the batch ``lexicon_vad``."""
     src = _stream_source(spark, sf)
     out = ST.lexicon_stream(spark, src, "doc_id long, text string", D.vad_lexicon(spark, sf), D.VAD,
                             scratch_path(spark, "stream_lex_sink"), scratch_path(spark, "stream_lex_ckpt"))

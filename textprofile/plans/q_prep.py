@@ -116,6 +116,12 @@ def q_chunk_fixed(spark, sf):
     return _chunk_out(C.chunk_fixed(_doc_tokens(spark, sf), "toks", size=L, max_chunks=4))
 
 
+@register("chunk_fixed_all", _sql_chunks(f"ceil(len(toks) / {L})::BIGINT", L, L))
+def q_chunk_fixed_all(spark, sf):
+    """Fixed chunks without a limit: every token is in one."""
+    return _chunk_out(C.chunk_fixed(_doc_tokens(spark, sf), "toks", size=L))
+
+
 OVERLAP = 16
 
 
@@ -173,11 +179,11 @@ def easy_words(spark, sf):
 
 
 def _readability(spark, sf):
-    docs = load(spark, sf, "documents").filter(F.col("lang") == "en").select("doc_id", "text")
+    docs = load(spark, sf, "documents").select("doc_id", "text")
     return R.readability(docs, easy_words(spark, sf))
 
 
-_SQL_EN = "SELECT doc_id, text FROM documents WHERE lang = 'en'"
+_SQL_EN = "SELECT doc_id, text FROM documents"
 _SQL_DC = (f"SELECT d.doc_id, sum(CASE WHEN w.lw IS NOT NULL AND e.word IS NULL THEN 1 ELSE 0 END)::BIGINT AS complex_words_dc "
            f"FROM en d LEFT JOIN (SELECT doc_id, {S.rd_letters_lower('w0')} AS lw FROM "
            f"(SELECT doc_id, unnest({S.rd_words('text')}) AS w0 FROM en)) w ON d.doc_id = w.doc_id "
@@ -240,7 +246,7 @@ _COMPAT = {"tobeverb": "use_tobeverb", "auxverb": "use_auxverb", "nominalization
 def q_readability_compat(spark, sf):
     """Flattened-the-old-way names: the usage counts of pronoun, conjunction
     and preposition are overwritten by the sentence-beginning counts."""
-    docs = load(spark, sf, "documents").filter(F.col("lang") == "en").select("doc_id", "text")
+    docs = load(spark, sf, "documents").select("doc_id", "text")
     return R.readability(docs, easy_words(spark, sf), compat=True).select("doc_id", *_COMPAT)
 
 

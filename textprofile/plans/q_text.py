@@ -177,8 +177,8 @@ def q_lexicon_hourglass(spark, sf):
     w="SELECT DISTINCT doc_id, word FROM tok",
     agg="SELECT w.doc_id, count(*) AS n_words, count(b.word) AS n_hits "
         "FROM w LEFT JOIN bench_words b ON w.word = b.word GROUP BY w.doc_id")
-    + "SELECT doc_id, n_words::BIGINT AS n_words, n_hits::BIGINT AS n_hits, "
-      "round(n_hits::DOUBLE / n_words, 6) AS coverage FROM agg")
+    + "SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_hits, 0)::BIGINT AS n_hits, "
+      "round(n_hits::DOUBLE / n_words, 6) AS coverage FROM documents d LEFT JOIN agg ON d.doc_id = agg.doc_id")
 def q_lexicon_coverage(spark, sf):
     out = L.lexicon_coverage(load(spark, sf, "documents"), D.emotion_lexicon(spark, sf))
     return out.select("doc_id", "n_words", "n_hits", r6("coverage").alias("coverage"))

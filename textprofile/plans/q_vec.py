@@ -204,8 +204,7 @@ def q_embed_hashing(spark, sf):
 def q_embed_plugin(spark, sf):
     """Plug-in encoder slot: the same hashing encoder written in numpy, run
     over Arrow batches of 32 documents by ``mapInPandas``."""
-    docs = load(spark, sf, "documents").select("doc_id", T.tokenize(F.lower(F.col("text"))).alias("toks")) \
-        .filter(F.size("toks") > 0)
+    docs = load(spark, sf, "documents").select("doc_id", T.tokenize(F.lower(F.col("text"))).alias("toks"))
     return long_vec(V.embed(docs, "toks", "hashing64_numpy"), "doc_id", pos="bucket")
 
 
@@ -215,14 +214,15 @@ def q_embed_plugin(spark, sf):
           + ", vad AS (SELECT d.doc_id, a.valence, a.arousal, a.dominance FROM documents d LEFT JOIN (SELECT tok.doc_id, "
           + ", ".join(f"sum(lex.{x})::DOUBLE / count(*) AS {x}" for x in D.VAD)
           + " FROM tok JOIN lex ON tok.word = lex.word GROUP BY tok.doc_id) a ON d.doc_id = a.doc_id) "
-          "SELECT doc_id, bucket::BIGINT AS idx, round(value, 6) AS value FROM dense WHERE doc_id IN (SELECT doc_id FROM vad) "
+          "SELECT d.doc_id, b.bucket::BIGINT AS idx, round(coalesce(dense.value, 0), 6) AS value FROM documents d "
+          "CROSS JOIN (SELECT unnest(range(0, 64)) AS bucket) b LEFT JOIN dense ON dense.doc_id = d.doc_id AND dense.bucket = b.bucket "
           "UNION ALL SELECT vad.doc_id, 64 + k AS idx, round(coalesce([vad.valence, vad.arousal, vad.dominance][k + 1], 0), 6) "
-          "FROM vad JOIN nrm ON vad.doc_id = nrm.doc_id CROSS JOIN (SELECT unnest(range(0, 3))::BIGINT AS k) kk")
+          "FROM vad CROSS JOIN (SELECT unnest(range(0, 3))::BIGINT AS k) kk")
 def q_combined_features(spark, sf):
     """Embedding vector joined with psycholinguistic scores by author and
     assembled into one feature vector (missing scores -> 0)."""
     dense = V.hashing_embed_docs(_lower_token_docs(spark, sf), "doc_id", "toks", dim=DIM) \
-        .withColumn("emb", array_to_vector("vec"))
+        .withColumn("emb", array_to_vector(F.coalesce("vec", F.array(*[F.lit(0.0)] * DIM))))
     vad = LX.lexicon_features(load(spark, sf, "documents"), D.vad_lexicon(spark, sf), D.VAD)
     joined = FE.fill_missing(dense.join(vad, "doc_id"), list(D.VAD))
     vec = FE.assemble(joined, ["emb"] + list(D.VAD))

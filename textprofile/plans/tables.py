@@ -4,22 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.rank import ensure_parallelism
-
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations")
 
 
-# Tables whose rows carry whole texts: the per-row work on them (regular
-# expressions, tokenisation) is CPU-bound.
-TEXT_TABLES = ("documents", "conversations", "pages", "benchmark")
-
-
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read one test table.  A text table read as fewer splits than the
-    cluster has cores is spread out (a no-op on large inputs)."""
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if name in TEXT_TABLES:
-        df = ensure_parallelism(df)
-    return df
+    """Read one test table; its files and ``spark.sql.files.*`` size the splits."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Defaults tuned for local testing; on a cluster the submitter's settings win
 # because ``getOrCreate`` keeps an existing session's static configuration.
@@ -17,6 +17,7 @@ _DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -62,7 +63,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def materialize(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """Write ``df`` under the shared checkpoint folder and read it back:
+    ``(table, bytes)``.  The files go when the driver exits."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    size = p.getFileSystem(hadoop).getContentSummary(p).getLength()
+    return spark.read.schema(df.schema).parquet(path), size
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique folder under the shared checkpoint folder."""
+    """A fresh, unique folder under the shared checkpoint folder, removed when
+    the driver exits."""
     base = ensure_checkpoint_dir(spark)
-    return f"{base.rstrip('/')}/tp-scratch/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base.rstrip('/')}/tp-scratch/{name}-{uuid.uuid4().hex[:12]}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path

@@ -16,9 +16,15 @@ from ..functions.text import code_letter_flag, normalize_author_id, tokenize, ye
 # the four-letter type code (position -> letter scored 1).
 FIVE_TRAITS = ("EXT", "NEU", "AGR", "CON", "OPN")
 FOUR_TRAITS = ("E", "N", "F", "J")
+# Descriptive columns of the concept-affect lexicon, dropped.
+AFFECT_DESCRIPTIVE = ("primary_mood", "secondary_mood", "polarity_label",
+                      "semantics1", "semantics2", "semantics3", "semantics4", "semantics5")
 CODE_LETTERS = (("E", 1), ("N", 2), ("F", 3), ("J", 4))
 
-_CSV = dict(header=True, quote='"', escape='"', multiLine=True, mode="PERMISSIVE")
+# One set of options for all CSV reads, the counterpart of ``writers.CSV_WRITE``:
+# doubled quotes, quoted fields over several lines, no trimming.
+_CSV = dict(header=True, quote='"', escape='"', multiLine=True, mode="PERMISSIVE",
+            ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def read_trait_corpus(spark: SparkSession, path: str, traits: Sequence[str] = FIVE_TRAITS) -> DataFrame:
@@ -43,10 +49,11 @@ def read_type_corpus(spark: SparkSession, path: str) -> DataFrame:
                      *[code_letter_flag("type", pos, letter).alias(letter) for letter, pos in CODE_LETTERS])
 
 
-def read_posts(spark: SparkSession, path: str, ts_type: str = "bigint", keep: Sequence[str] = ()) -> DataFrame:
+def read_posts(spark: SparkSession, path: str, ts_type: str = "decimal(38,9)", keep: Sequence[str] = ()) -> DataFrame:
     """Post log CSV with a header: ``author, body, created_utc`` (+ ``keep``
-    columns, e.g. a post id for tie-breaking; other columns ignored)."""
-    df = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True)
+    columns, e.g. a post id for tie-breaking; other columns ignored).  Times
+    are any numbers, whole or with a fraction, kept exactly."""
+    df = spark.read.csv(path, **_CSV)
     return df.select("author", "body", F.col("created_utc").cast(ts_type).alias("created_utc"), *keep)
 
 
@@ -61,7 +68,7 @@ def read_lexicon(spark: SparkSession, path: str, fmt: str = "csv", key: str | No
         df = spark.read.parquet(path)
     else:
         sep = "\t" if fmt == "tsv" else ","
-        df = spark.read.csv(path, sep=sep, header=header and fmt != "csv_noheader", inferSchema=False)
+        df = spark.read.csv(path, **{**_CSV, "sep": sep, "header": header and fmt != "csv_noheader"})
         if fmt == "csv_noheader":
             df = df.toDF("_key", *[f"d{i}" for i in range(len(df.columns) - 1)])
             key = "_key"
@@ -82,21 +89,36 @@ def read_concept_corpus(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).withColumnRenamed("#AUTHID", "author_id").withColumnRenamed("TEXT", "text")
 
 
+def read_concept_affect(spark: SparkSession, path: str, fmt: str = "csv", key: str | None = None,
+                        drop: Sequence[str] = AFFECT_DESCRIPTIVE) -> DataFrame:
+    """Concept-affect lexicon ``(concept, affect values as double)``: the key is
+    the column ``key`` or the first; the descriptive columns are dropped, the
+    rest cast strictly."""
+    df = spark.read.parquet(path) if fmt == "parquet" else spark.read.csv(path, **_CSV)
+    key = key or df.columns[0]
+    return df.select(F.col(f"`{key}`").alias("concept"), *[F.col(f"`{c}`").cast("double").alias(c) for c in df.columns
+                                                          if c != key and c not in set(drop)])
+
+
 # ---- ARFF ----------------------------------------------------------------------
 
 def read_arff(spark: SparkSession, path: str, min_fields: int = 10, sort: bool = False) -> DataFrame:
     """ARFF relation -> ``idx bigint`` + one double column per attribute.
 
-    Attribute names come from the ``@attribute`` lines (name only, the type
-    word stripped), collected in file order (header-sized, bounded).  Data lines
-    are every other line with at least ``min_fields`` comma fields; the first
-    field is an id such as ``'dir\\\\id_12'``; non-numeric cells become NULL."""
-    lines = spark.read.option("recursiveFileLookup", "true").text(path) \
-        .withColumn("_line_no", F.monotonically_increasing_id())
-    attrs = (lines.filter(F.ltrim("value").startswith("@attribute"))
-             .select("_line_no", F.split(F.trim("value"), r"\s+").alias("_parts"))
-             .orderBy("_line_no").collect())
-    names = [r["_parts"][1] for r in attrs]
+    Attribute names come from the ``@attribute`` lines (the type word stripped;
+    a quoted name may hold spaces).  A folder may hold several relations: files
+    that name attributes must name the same ones, and only the distinct headers
+    reach the driver.  Data lines are every other line with at least
+    ``min_fields`` comma fields; the first field is an id such as
+    ``'dir\\\\id_12'``; non-numeric cells become NULL."""
+    lines = spark.read.option("recursiveFileLookup", "true").text(path)
+    head = lines.select("value", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_no")) \
+        .filter(F.lower(F.ltrim("value")).startswith("@attribute"))
+    headers = head.groupBy("_file").agg(F.transform(F.array_sort(F.collect_list(F.struct("_no", "value"))),
+                                                    lambda x: x["value"]).alias("h")).select("h").distinct().limit(2).collect()
+    if len(headers) > 1:
+        raise ValueError(f"the relations in {path} name different attributes")
+    names = [attribute_name(line.strip()[len("@attribute"):].strip()) for line in (headers[0]["h"] if headers else [])]
     if len(names) < 2:
         raise ValueError(f"no attributes found in {path}")
     fields = F.split("value", ",")
@@ -111,6 +133,14 @@ def read_arff(spark: SparkSession, path: str, min_fields: int = 10, sort: bool =
 
 # ---- headerless CSV named by an attribute list -------------------------------------
 
+def attribute_name(declared: str) -> str:
+    """The name in ``name type``; a quoted name may hold spaces."""
+    for q in ("'", '"'):
+        if declared.startswith(q) and q in declared[1:]:
+            return declared[1:declared.index(q, 1)]
+    return declared.split()[0]
+
+
 def read_attribute_names(spark: SparkSession, attrs_path: str) -> list[tuple[str, str]]:
     """``name type`` lines -> [(name, type)]; a quoted name may hold spaces."""
     rows = spark.read.text(attrs_path).withColumn("_n", F.monotonically_increasing_id()) \
@@ -118,8 +148,7 @@ def read_attribute_names(spark: SparkSession, attrs_path: str) -> list[tuple[str
     out = []
     for r in rows:
         line = r["value"].strip()
-        name, _, typ = line.rpartition(" ")
-        out.append((name.strip().strip("'"), typ.strip()))
+        out.append((attribute_name(line), line.rpartition(" ")[2].strip()))
     return out
 
 
@@ -132,7 +161,7 @@ def read_with_attributes(spark: SparkSession, data_path: str, attrs_path: str,
     (invalid -> NULL)."""
     attrs = [(n, t) for n, t in read_attribute_names(spark, attrs_path) if n not in set(drop_attrs)]
     schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(attrs))])
-    raw = spark.read.csv(data_path, schema=schema, header=False, quote='"', escape='"')
+    raw = spark.read.csv(data_path, schema=schema, **{**_CSV, "header": False})
     cols = []
     for i, (n, t) in enumerate(attrs):
         c = F.col(f"_c{i}")
@@ -150,7 +179,7 @@ def read_feature_group(spark: SparkSession, root: str, group: str, key: str = "a
     """One feature group written by ``write_features``; every non-key column
     is double."""
     path = f"{root.rstrip('/')}/{group}"
-    df = spark.read.parquet(path) if fmt == "parquet" else spark.read.csv(path, header=True)
+    df = spark.read.parquet(path) if fmt == "parquet" else spark.read.csv(path, **_CSV)
     return df.select(F.col(key).alias("author_id"),
                      *[F.col(c).try_cast("double").alias(c) for c in df.columns if c != key])
 

@@ -46,9 +46,11 @@ def write_arff(spark: SparkSession, rows: DataFrame, path: str, relation: str,
 
 def write_embedding_store(df: DataFrame, root: str, mode: str = "overwrite") -> None:
     """``(author_id, chunk_no, layer, vec)`` rows partitioned by
-    ``dataset/encoder/pool/mode``; each partition's rows sorted by layer so a
-    layer filter skips row groups."""
-    (df.repartition(*STORE_PARTITIONS).sortWithinPartitions("layer", "author_id")
+    ``dataset/encoder/pool/mode``.  Rows are dealt by ranges of (store
+    partition, layer, author), so a large partition is written by many tasks,
+    and sorted by layer, so a layer filter skips files and row groups."""
+    keys = [*STORE_PARTITIONS, "layer", "author_id"]
+    (df.repartitionByRange(*keys).sortWithinPartitions(*keys)
      .write.mode(mode).partitionBy(*STORE_PARTITIONS).parquet(root))
 
 

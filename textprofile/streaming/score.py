@@ -14,10 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import lexicon as LX
-from ..operators.joins import bounded_broadcast
+from ..operators.joins import sized_lookup
 
+# Default bound of a micro-batch, in source files.
+FILES_PER_TRIGGER = 64
 
-def text_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 1) -> DataFrame:
+
+def text_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
     """File stream of Parquet text tables (explicit schema, bounded batches)."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
@@ -42,26 +45,26 @@ def run_to_sink(stream: DataFrame, per_batch: Callable[[DataFrame], DataFrame],
 
 
 def lexicon_stream(spark: SparkSession, source: str, schema: str, lexicon: DataFrame, scores: Sequence[str],
-                   sink: str, checkpoint: str, doc_key: str = "doc_id", text_col: str = "text") -> DataFrame:
+                   sink: str, checkpoint: str, doc_key: str = "doc_id", text_col: str = "text",
+                   files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
     """Weighted lexicon means for a stream of documents (stream-static join
-    inside each micro-batch).  The lexicon is materialised once on the shared
-    checkpoint folder and its size checked once before the stream starts;
-    every micro-batch then broadcasts that fixed table.  Returns the sink as
+    inside each micro-batch).  The lexicon is written once to the shared folder
+    and its size checked once before the stream starts; every micro-batch joins
+    that fixed table.  ``files_per_trigger`` bounds a batch.  Returns the sink as
     a batch DataFrame."""
-    lex = lexicon.select("word", *scores).checkpoint()
-    bounded = bounded_broadcast(lex) is not lex
+    lex = sized_lookup(lexicon.select("word", *scores))
 
     def per_batch(b: DataFrame) -> DataFrame:
         return LX.lexicon_features(b.select(doc_key, text_col), lex, scores, doc_key=doc_key,
-                                   text_col=text_col, presized=bounded)
+                                   text_col=text_col, presized=True)
 
-    run_to_sink(text_stream(spark, source, schema), per_batch, sink, checkpoint)
+    run_to_sink(text_stream(spark, source, schema, files_per_trigger), per_batch, sink, checkpoint)
     return spark.read.parquet(sink).drop("batch_id")
 
 
 def score_stream(spark: SparkSession, source: str, schema: str,
                  featurize: Callable[[DataFrame], DataFrame], models: dict, sink: str, checkpoint: str,
-                 doc_key: str = "doc_id") -> DataFrame:
+                 doc_key: str = "doc_id", files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
     """Score a stream of texts with saved per-trait models: ``featurize`` maps
     a batch of ``(doc_key, text)`` to ``(doc_key, features)``."""
     from ..operators.models import score
@@ -69,5 +72,5 @@ def score_stream(spark: SparkSession, source: str, schema: str,
     def per_batch(b: DataFrame) -> DataFrame:
         return score(featurize(b), models, key=doc_key)
 
-    run_to_sink(text_stream(spark, source, schema), per_batch, sink, checkpoint)
+    run_to_sink(text_stream(spark, source, schema, files_per_trigger), per_batch, sink, checkpoint)
     return spark.read.parquet(sink).drop("batch_id")
