@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import sized_lookup
@@ -47,6 +47,17 @@ def top_features(imp: DataFrame, k: int = 3, group: Sequence[str] = ("trait",),
     return imp.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def strip_type(feature: Column | str) -> Column:
+    """The name in ``name type`` (attribute lists name features that way)."""
+    c = F.col(feature) if isinstance(feature, str) else feature
+    return F.regexp_replace(c, r"\s+(numeric|real|integer|string|nominal)$", "")
+
+
+def trait_order(imp: DataFrame, traits: Sequence[str], trait: str = "trait") -> DataFrame:
+    """Adds ``trait_no``, the trait's place in ``traits``."""
+    return imp.withColumn("trait_no", F.array_position(F.array(*[F.lit(t) for t in traits]), F.col(trait)).cast("bigint"))
+
+
 def strongest(imp: DataFrame, k: int = 128, value: str = "importance", feature: str = "feature") -> DataFrame:
     """The ``k`` strongest features overall (a top-k, planned without a full sort)."""
     return imp.orderBy(F.col(value).desc(), F.col(feature).asc()).limit(k)

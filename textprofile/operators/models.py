@@ -20,7 +20,8 @@ from pyspark.ml.classification import (LinearSVC, LogisticRegression,
                                        MultilayerPerceptronClassifier)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.param.shared import HasInputCol, HasOutputCol, Param, Params, TypeConverters
+from pyspark.ml.param.shared import (HasFeaturesCol, HasInputCol, HasOutputCol, HasPredictionCol,
+                                     HasProbabilityCol, Param, Params, TypeConverters)
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -91,6 +92,27 @@ class RandomFourierFeatures(Transformer, HasInputCol, HasOutputCol, DefaultParam
                              array_to_vector(project(vector_to_array(F.col(self.getInputCol())))))
 
 
+class LinearScorer(Transformer, HasFeaturesCol, HasPredictionCol, HasProbabilityCol, DefaultParamsReadable,
+                   DefaultParamsWritable):
+    """A logistic score with given coefficients, e.g. published ones, that can
+    stand in the model registry next to fitted models."""
+
+    coefficients = Param(Params._dummy(), "coefficients", "one weight a feature", TypeConverters.toListFloat)
+    intercept = Param(Params._dummy(), "intercept", "intercept", TypeConverters.toFloat)
+
+    def __init__(self, coefficients: Sequence[float] = (), intercept: float = 0.0, featuresCol: str = "features"):
+        super().__init__()
+        self._set(coefficients=list(coefficients), intercept=intercept, featuresCol=featuresCol)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        w = F.array(*[F.lit(float(x)) for x in self.getOrDefault(self.coefficients)])
+        z = F.aggregate(F.zip_with(vector_to_array(self.getFeaturesCol()), w, lambda a, b: a * b),
+                        F.lit(float(self.getOrDefault(self.intercept))), lambda a, x: a + x)
+        p = F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
+        return df.withColumn(self.getProbabilityCol(), array_to_vector(F.array(F.lit(1.0) - p, p))) \
+            .withColumn(self.getPredictionCol(), (p > 0.5).cast("double"))
+
+
 def gamma_scale(df: DataFrame, vec: str) -> DataFrame:
     """One row ``gamma``: ``1 / (d * var(X))`` over all entries of the feature
     matrix (population variance), i.e. ``gamma='scale'``.  One partially
@@ -208,6 +230,24 @@ def load_models(root: str, kind: str, traits: Sequence[str]) -> dict[str, Pipeli
     return out
 
 
+def save_best(results: DataFrame, models: dict, root: str, kind: str, layer: int | None = None) -> dict[str, int]:
+    """Save each trait's model of its best fold (earliest on ties), with the
+    embedding layer that it was trained on: trait -> 1-based fold."""
+    spark = results.sparkSession
+    best = {r["trait"]: r["fold"] for r in best_per_group(results).collect()}  # one row a trait
+    for trait, fold in best.items():
+        path = save_model(models[trait, fold], root, kind, trait)
+        spark.createDataFrame([(fold, layer)], "fold int, layer int").coalesce(1).write.mode("overwrite").json(f"{path}.meta")
+    return best
+
+
+def check_layer(spark: SparkSession, root: str, kind: str, trait: str, layer: int | None) -> None:
+    """Abort when a saved model was trained on another layer."""
+    meta = spark.read.schema("fold int, layer int").json(f"{model_path(root, kind, trait)}.meta").first()
+    if meta["layer"] != layer:
+        raise ValueError(f"the {kind} model of {trait!r} was trained on layer {meta['layer']}, not {layer}")
+
+
 def positive_probability(pred: DataFrame, prob: str = "probability", raw: str = "rawPrediction") -> Column:
     """Probability of class 1: the probability vector when the model has one,
     else the logistic function of the SVM margin ``m`` (``rawPrediction`` is
@@ -232,6 +272,8 @@ def _renamed_outputs(model: PipelineModel, trait: str) -> PipelineModel:
 def num_features(model: PipelineModel) -> int:
     """Width of the feature vectors a saved model takes."""
     first = model.stages[0]
+    if isinstance(first, LinearScorer):
+        return len(first.getOrDefault(first.coefficients))
     return first.getOrDefault("n_features") if first.hasParam("n_features") else first.numFeatures
 
 

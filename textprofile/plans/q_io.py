@@ -414,6 +414,48 @@ def q_feature_join_subset(spark, sf):
     return _feature_join(spark, sf, ["emotion", "readability"])
 
 
+_ATTR_COLS = ("n_chars", "odd", "third")
+
+
+def _sql_feature_join_all() -> str:
+    ctes = _sql_groups()
+    ctes["lex_h"] = D.SQL_HOURGLASS
+    ctes["bag"] = "SELECT doc_id, word AS concept, count(*) AS cnt FROM tok GROUP BY 1, 2"
+    ctes["aff"] = ("SELECT d.doc_id, " + ", ".join(f"a.{x}" for x in D.AFFECT) + " FROM documents d LEFT JOIN (SELECT bag.doc_id, "
+                   + ", ".join(f"sum(lex_h.{a}::DOUBLE * bag.cnt) / sum(bag.cnt) AS {a}" for a in D.AFFECT)
+                   + " FROM bag JOIN lex_h ON bag.concept = lex_h.concept GROUP BY bag.doc_id) a ON d.doc_id = a.doc_id")
+    ctes["attr"] = "SELECT doc_id, n_chars, doc_id % 2 AS odd, doc_id % 3 AS third FROM documents"
+    parts = [("emo", D.EMOTIONS), ("vad", D.VAD), ("rd", _RD_FEATS), ("aff", D.AFFECT), ("attr", _ATTR_COLS)]
+    joins = " ".join(f"JOIN {c} ON emo.doc_id = {c}.doc_id" for c, _ in parts[1:])
+    ctes["fj"] = ("SELECT emo.doc_id, " + ", ".join(f"coalesce({c}.{x}::DOUBLE, 0) AS {x}" for c, xs in parts for x in xs)
+                  + f" FROM emo {joins} JOIN labels l ON emo.doc_id = l.doc_id")
+    return D.with_ctes(**ctes) + " UNION ALL ".join(
+        f"SELECT doc_id::VARCHAR AS author_id, '{x}' AS feature, round({x}, 6) AS value FROM fj" for _, xs in parts for x in xs)
+
+
+@register("feature_join_all", _sql_feature_join_all())
+def q_feature_join_all(spark, sf):
+    """All five groups (emotion, VAD, readability, concept affect, attributes),
+    each written to the feature store, read back from it, joined on the author
+    and with the labels."""
+    root = scratch_path(spark, "groups")
+    words = _lexicon_groups(spark, sf).checkpoint()
+    lex = q_text.read_affect_lexicon(D.hourglass_lexicon(spark, sf))
+    docs = load(spark, sf, "documents")
+    groups = {
+        "emotion": words.select("author_id", *D.EMOTIONS), "vad": words.select("author_id", *D.VAD),
+        **_groups(spark, sf, ["readability"]),
+        "affect": LX.concept_features(q_text.doc_bags(spark, sf), lex, D.AFFECT).withColumnRenamed("doc_id", "author_id"),
+        "attributes": docs.select(F.col("doc_id").alias("author_id"), "n_chars", (F.col("doc_id") % 2).alias("odd"),
+                                  (F.col("doc_id") % 3).alias("third"))}
+    for name, g in groups.items():
+        WR.write_features(g, root, name)
+    joined = FE.feature_join(RD.load_feature_groups(spark, root, list(groups)))
+    lab = FE.label_join(joined, _labels_keyed(spark, sf).withColumn("author_id", F.col("author_id").cast("string")))
+    long = FE.to_long(lab, "author_id", [c for c in joined.columns if c != "author_id"])
+    return long.select("author_id", "feature", r6("value").alias("value"))
+
+
 @register("feature_label_join", D.with_ctes(**_sql_lexicon_agg(D.SQL_VAD_LEX, D.VAD)) +
           "SELECT l.doc_id AS author_id, " + ", ".join(f"round(coalesce(a.{x}, 0), 6) AS {x}" for x in D.VAD)
           + ", l.quality::DOUBLE AS quality, l.toxic::DOUBLE AS toxic FROM agg a JOIN labels l "

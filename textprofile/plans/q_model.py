@@ -4,7 +4,8 @@ attribution, streaming."""
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -18,7 +19,7 @@ from ..sources import writers as WR
 from ..streaming import score as ST
 from . import derived as D
 from . import q_text
-from .q_vec import _SQL_STRAT
+from .q_vec import _SQL_HASH, _SQL_STRAT
 from .tables import load
 
 QUERIES: dict = {}
@@ -218,6 +219,19 @@ def q_importance_strongest(spark, sf):
     return top.select("trait", "feature", r6("importance").alias("importance"))
 
 
+@register("importance_table", _SQL_IMP + "SELECT CASE trait WHEN 'toxic' THEN 1 ELSE 2 END::BIGINT AS trait_no, trait, feature, "
+          "round(importance, 6) AS importance FROM imp")
+def q_importance_table(spark, sf):
+    """Importance of every feature, type words stripped from the names, traits
+    in their given order, written as a table and read back."""
+    imp = _importance(spark, sf).withColumn("feature", F.concat("feature", F.lit(" numeric")))
+    imp = X.trait_order(imp.withColumn("feature", X.strip_type("feature")), ["toxic", "quality"])
+    path = scratch_path(spark, "importance")
+    WR.write_importance(imp, path)
+    back = spark.read.csv(path, header=True, schema="trait_no bigint, trait string, feature string, importance double")
+    return back.select("trait_no", "trait", "feature", r6("importance").alias("importance"))
+
+
 # ---- training (rows-only checks) ------------------------------------------------------
 
 def _emb_train(spark, sf):
@@ -286,11 +300,13 @@ def q_train_svm(spark, sf):
 
 
 def _emb_folds(spark, sf):
+    """Training rows with a fold per trait, both assigned in one pass."""
     df = _emb_train(spark, sf)
-    for t in ("odd", "low"):
-        f = FO.stratified_folds(df.select("vec_id", t), t, "vec_id", k=10).select("vec_id", F.col("fold").alias(f"fold_{t}"))
-        df = df.join(f, "vec_id")
-    return df
+    traits = ["odd", "low"]
+    folds = FO.stratified_folds(df.select("vec_id", *traits).unpivot(["vec_id"], traits, "trait", "y"), "y", "vec_id",
+                                k=10, by=["trait"])
+    wide = folds.groupBy("vec_id").agg(*[F.max(F.when(F.col("trait") == t, F.col("fold"))).alias(f"fold_{t}") for t in traits])
+    return df.join(wide, "vec_id").checkpoint()
 
 
 @register("cv_results")
@@ -324,6 +340,108 @@ def q_cv_combined(spark, sf):
     return M.cross_validate(df.checkpoint(), ["quality", "toxic"], lambda n, t: M.lr_l2(n), k=10)
 
 
+@register("cv_mlp")
+def q_cv_mlp(spark, sf):
+    """10-fold cross-validation of the network 64-50-2 for two traits."""
+    return M.cross_validate(_emb_folds(spark, sf), ["odd", "low"], lambda n, t: M.mlp(N_DIMS, (50,), max_iter=20, seed=0), k=10)
+
+
+@register("cv_svm")
+def q_cv_svm(spark, sf):
+    """10-fold cross-validation of the approximate RBF SVM for two traits."""
+    gamma = M.gamma_scale(load(spark, sf, "embeddings"), "embedding").first()["gamma"]
+    return M.cross_validate(_emb_folds(spark, sf), ["odd", "low"],
+                            lambda n, t: M.rbf_svm(N_DIMS, gamma, n_components=128, seed=0, max_iter=20), k=10)
+
+
+@register("cv_best_scored")
+def q_cv_best_scored(spark, sf):
+    """Cross-validation, experiment log, each trait's best fold saved with its
+    layer, loaded again and applied to all rows: ``(vec_id, trait, probability,
+    decision)``."""
+    root = scratch_path(spark, "best_models")
+    df = _emb_folds(spark, sf)
+    res, models = M.cross_validate(df, ["odd", "low"], lambda n, t: M.lr_l2(n), k=10, keep_models=True)
+    WR.append_experiments(M.experiment_rows(res, dict(_CONFIG, jobid=1)), f"{root}/log")
+    M.save_best(spark.read.parquet(f"{root}/log"), models, root, "lr", layer=1)
+    for t in ("odd", "low"):
+        M.check_layer(spark, root, "lr", t, 1)
+    out = M.score(df.select("vec_id", "features"), M.load_models(root, "lr", ["odd", "low"]), key="vec_id")
+    return out.select("vec_id", "trait", r6("probability").alias("probability"), "decision")
+
+
+@register("train_facts", "SELECT * FROM (VALUES ('lr_l2', 'gradient', true), ('lr_l2', 'loss', true), ('lr_unreg', 'loss', true), "
+          "('mlp', 'loss', true), ('svm', 'accuracy', true), ('cv', 'folds', true)) t(model, fact, holds)")
+def q_train_facts(spark, sf):
+    """Facts that every right training result shows: the L2 objective's gradient
+    vanishes at its solution, the loss is below the zero model's, the SVM is
+    above the majority class, and each fold holds a tenth of each class."""
+    df = _emb_train(spark, sf).withColumnRenamed("odd", "label").checkpoint()
+    n, ones = df.agg(F.count("*"), F.sum("label")).first()
+
+    def loss(model):
+        p = F.greatest(F.least(M.positive_probability(model.transform(df)), F.lit(1 - 1e-15)), F.lit(1e-15))
+        return model.transform(df).agg(F.avg(-F.when(F.col("label") > 0, F.log(p)).otherwise(F.log(1 - p)))).first()[0]
+
+    lr = M.lr_l2(n).fit(df)
+    err = vector_to_array("probability")[1] - F.col("label")
+    d = lr.transform(df).select(array_to_vector(F.transform(vector_to_array("features"), lambda x: x * err)).alias("g"))
+    grad = d.agg(Summarizer.sum(F.col("g")).alias("g")).first()["g"].toArray() + lr.coefficients.toArray()
+    svm = M.rbf_svm(N_DIMS, M.gamma_scale(load(spark, sf, "embeddings"), "embedding").first()["gamma"], 256, 0, max_iter=50).fit(df)
+    majority = max(ones, n - ones) / n
+    folds = FO.stratified_folds(df.select("vec_id", "label"), "label", "vec_id", k=10)
+    per = folds.groupBy("label", "fold").count().groupBy("label").agg((F.max("count") - F.min("count")).alias("d"))
+    facts = [("lr_l2", "gradient", float(abs(grad).max()) < 0.01 * n ** 0.5), ("lr_l2", "loss", loss(lr) < 0.6932),
+             ("lr_unreg", "loss", loss(M.lr_unregularised(15).fit(df)) < 0.6932),
+             ("mlp", "loss", loss(M.mlp(N_DIMS, (50,), max_iter=50, seed=0).fit(df)) < 0.6932),
+             ("svm", "accuracy", bool(M.accuracy(svm.transform(df)).first()["acc"] >= majority)),
+             ("cv", "folds", all(r["d"] <= 1 for r in per.collect()))]
+    return spark.createDataFrame([(a, b, bool(c)) for a, b, c in facts], "model string, fact string, holds boolean")
+
+
+# ---- scoring with given coefficients --------------------------------------------------------
+
+_FIXED = {"quality": (_W, 0.25), "toxic": (tuple(reversed(_W)), -0.5)}
+
+
+def _fixed_models(spark):
+    """Two models of given coefficients, saved to the registry and loaded."""
+    root = scratch_path(spark, "fixed_models")
+    for t, (w, b) in _FIXED.items():
+        M.save_model(M.LinearScorer(w, b), root, "fixed", t)
+    return M.load_models(root, "fixed", list(_FIXED))
+
+
+def _hash_features(docs):
+    toks = docs.select("doc_id", T.tokenize(F.lower(F.col("text"))).alias("toks"))
+    vec = V.hashing_embed_docs(toks, "doc_id", "toks", dim=64)
+    return vec.select("doc_id", F.when(F.col("vec").isNotNull(), array_to_vector("vec")).alias("features"))
+
+
+_SQL_FIXED = _SQL_HASH + ", z AS (" + " UNION ALL ".join(
+    f"SELECT d.doc_id, '{t}' AS trait, {b} + sum(v.value * ([{', '.join(map(str, w))}])[v.bucket + 1]) AS z FROM documents d "
+    "LEFT JOIN dense v ON v.doc_id = d.doc_id GROUP BY d.doc_id" for t, (w, b) in _FIXED.items()) + (
+    ") SELECT doc_id, trait, round(1 / (1 + exp(-z)), 6) AS probability, "
+    "CASE WHEN z IS NULL THEN NULL WHEN 1 / (1 + exp(-z)) > 0.5 THEN 'Yes' ELSE 'No' END AS decision FROM z")
+
+
+@register("score_fixed", _SQL_FIXED)
+def q_score_fixed(spark, sf):
+    """Registry models of given coefficients scoring every document's hashing
+    vector: ``(doc_id, trait, probability, decision)``."""
+    docs = load(spark, sf, "documents").select("doc_id", "text")
+    out = M.score(_hash_features(docs), _fixed_models(spark))
+    return out.select("doc_id", "trait", r6("probability").alias("probability"), "decision")
+
+
+@register("stream_score_fixed", _SQL_FIXED)
+def q_stream_score_fixed(spark, sf):
+    """The same models scoring a file stream of documents."""
+    out = ST.score_stream(spark, _stream_source(spark, sf), "doc_id long, text string", _hash_features, _fixed_models(spark),
+                          scratch_path(spark, "stream_fixed_sink"), scratch_path(spark, "stream_fixed_ckpt"))
+    return out.select("doc_id", "trait", r6("probability").alias("probability"), "decision")
+
+
 # ---- scoring unseen text ------------------------------------------------------------------
 
 WIN, OVERLAP, DIM = 64, 16, 64

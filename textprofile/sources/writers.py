@@ -72,6 +72,14 @@ def append_experiments(df: DataFrame, path: str) -> None:
     df.write.mode("append").partitionBy("jobid").parquet(path)
 
 
+def write_importance(imp: DataFrame, path: str) -> None:
+    """Importance table ``(trait_no, trait, feature, importance)`` as CSV, the
+    input of pictures; ordered within its files by trait and importance."""
+    write_csv(imp.select("trait_no", "trait", "feature", "importance")
+              .repartitionByRange("trait_no", F.col("importance").desc(), "feature")
+              .sortWithinPartitions("trait_no", F.col("importance").desc(), "feature"), path)
+
+
 def write_fold_report(results: DataFrame, path: str) -> DataFrame:
     """Per-trait report: fold accuracies in fold order and their mean."""
     rep = results.groupBy("trait").agg(
