@@ -23,15 +23,12 @@ def test_awkward_rows(spark):
     assert E.exact_duplicates(empty(spark)).count() == 0
 
 
-def test_a_full_filter_is_still_right(spark):
+def test_a_full_filter_is_still_right(spark, monkeypatch):
     """Far more rows than cells: all rows look repeated, none is lost."""
     rows = [(i, f"text {i // 2 if i % 5 else i}") for i in range(4000)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    old, E._BITMAP = E._BITMAP, 64
-    try:
-        got = Counter(map(tuple, E.exact_duplicates(df, max_bits=64).collect()))
-    finally:
-        E._BITMAP = old
+    monkeypatch.setattr(E, "BITMAP", 64)
+    got = Counter(map(tuple, E.exact_duplicates(df, max_bits=64).collect()))
     assert got == brute(rows)
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .alignment import Pattern
-from .common import materialize, whole, words_of
+from .common import bounded_batches, materialize, small_batches, whole, words_of
 
 BLOCK_ITEMS, BLOCK_BYTES = 5_000, 4_000_000
 WALKS, SAMPLES = 6, 2
@@ -207,7 +207,7 @@ def find_passages(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ix = shared.value
-            for b in batches:
+            for b in small_batches(batches, 1024):
                 rows = ix.search(b.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).take(pa.array([r[0] for r in rows], pa.int64())),
@@ -217,7 +217,7 @@ def find_passages(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
                          [r[4] for r in rows])]],
                     names=["doc_id", "item_id", "edits", "item_words", "first_word", "end_word"])
 
-        part = d.mapInArrow(run, schema)
+        part = bounded_batches(d).mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -225,8 +225,9 @@ def find_passages(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
 def _holds(shared: Broadcast) -> Callable:
     def holds(texts: pd.Series) -> pd.Series:
         out = np.zeros(len(texts), dtype=bool)
-        for t, *_ in shared.value.search(texts.tolist()):
-            out[t] = True
+        for at in range(0, len(texts), 1024):
+            for t, *_ in shared.value.search(texts.iloc[at:at + 1024].tolist()):
+                out[at + t] = True
         return pd.Series(out)
 
     return holds
@@ -238,5 +239,5 @@ def drop_contaminated(docs: DataFrame, bench: DataFrame, text_col: str = "text",
     Python, and no row moves."""
     for index in _blocks(bench, item_col, item_text, similarity=similarity, recall=recall):
         holds = F.pandas_udf(_holds(docs.sparkSession.sparkContext.broadcast(index)), "boolean")
-        docs = docs.filter(~holds(F.col(f"`{text_col}`").cast("string")))
+        docs = bounded_batches(docs).filter(~holds(F.col(f"`{text_col}`").cast("string")))
     return docs

@@ -18,15 +18,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, materialize, whole
+from .common import BITMAP, bitmaps_of, free_name, materialize, whole, with_bit
 
 HASHES = 2
 MAX_BITS = 1 << 30
-_BITMAP = 32768  # cells in one of Spark's bitmaps
 
 
 def filter_bits(rows: int, bits_per_row: int = 16, max_bits: int = MAX_BITS) -> int:
-    bits = _BITMAP
+    bits = BITMAP
     while bits < rows * bits_per_row and bits < max_bits:
         bits *= 2
     return bits
@@ -41,20 +40,15 @@ def repeated_cells(digests: DataFrame, bits: int) -> DataFrame:
     """(bucket, bits): the cells that at least two rows set."""
     cells = digests.select(F.explode(F.array_distinct(F.array(*_cells(F.col("text_sha256"), bits)))).alias("cell"))
     twice = cells.groupBy("cell").count().filter("count > 1")
-    return twice.groupBy(F.bitmap_bucket_number("cell").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bits"))
+    return bitmaps_of(twice)
 
 
 def flag_possible(digests: DataFrame, bitmaps: DataFrame, bits: int) -> DataFrame:
     """``digests`` plus ``possible``: all its cells were set twice."""
     out, hit = digests, F.lit(True)
     for i, cell in enumerate(_cells(F.col("text_sha256"), bits)):
-        b = bitmaps.select(F.col("bucket").alias(f"_bucket{i}"), F.col("bits").alias(f"_bits{i}"))
-        out = out.withColumn(f"_cell{i}", cell)
-        out = out.join(F.broadcast(b), F.bitmap_bucket_number(f"_cell{i}") == F.col(f"_bucket{i}"), "left")
-        at = F.bitmap_bit_position(f"_cell{i}")
-        byte = F.conv(F.hex(F.substring(F.col(f"_bits{i}"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        hit = hit & F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+        out = with_bit(out, cell, bitmaps, f"_set{i}")
+        hit = hit & F.col(f"_set{i}")
     return out.select(*digests.columns, hit.alias("possible"))
 
 

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .alignment import Pattern
+from .common import bounded_batches, small_batches
 
 REACH, MIN_GAIN, SIMILARITY, LEVEL = 160, 0.15, 0.8, 3
 
@@ -155,7 +156,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(listed)
-        for b in batches:
+        for b in small_batches(batches):
             found = [matcher.find(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([len(f) for f in found], pa.int64()),
@@ -164,4 +165,4 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 names=["doc_id", "n_hits", "licenses", "hits"])
 
     d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return d.mapInArrow(run, f"doc_id {dict(d.dtypes)['doc_id']}, n_hits bigint, licenses string, hits string")
+    return bounded_batches(d).mapInArrow(run, f"doc_id {dict(d.dtypes)['doc_id']}, n_hits bigint, licenses string, hits string")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash60, whole
+from .common import bounded_batches, hash60, small_batches, whole
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = 1 + len(KINDS)  # 0: none
@@ -301,7 +301,7 @@ def find_personal_data(docs: DataFrame, field: Field, id_col: str = "doc_id", te
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_batches(batches):
             found = annotate(b.column(1).to_pylist(), shared.value)
             counts = [pa.array([sum(k == i for _, k, _ in base) for base, _ in found], pa.int64()) for i in range(len(KINDS))]
             yield pa.RecordBatch.from_arrays(
@@ -312,5 +312,5 @@ def find_personal_data(docs: DataFrame, field: Field, id_col: str = "doc_id", te
                 names=["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_added"])
 
     d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return d.mapInArrow(run, f"doc_id {dict(d.dtypes)['doc_id']}, " + ", ".join(f"n_{k} bigint" for k in KINDS)
+    return bounded_batches(d).mapInArrow(run, f"doc_id {dict(d.dtypes)['doc_id']}, " + ", ".join(f"n_{k} bigint" for k in KINDS)
                         + ", base_sha256 string, spans string, n_added bigint")

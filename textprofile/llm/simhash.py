@@ -28,8 +28,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, materialize
+from .common import bitmaps_of, bounded_batches, free_name, materialize, small_batches, with_bit
 from .components import components
+from .exact_dedup import filter_bits
 
 #: Distinct fingerprints in a bucket up to which its pairs are compared.
 SMALL = 16
@@ -83,7 +84,7 @@ def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, n: int) -> Da
     """(doc_id, fp, row_hash): fp is the fingerprint as a signed bigint,
     row_hash the XXH64 of the text (to tell rows of the same id apart)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_batches(batches):
             fp = fingerprints(b.column(1).to_pylist(), n)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(fp.reshape(-1).view(">i8").astype(np.int64)), b.column(2)],
@@ -91,7 +92,7 @@ def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, n: int) -> Da
 
     d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"),
                     F.xxhash64(F.col(f"`{text_col}`")).alias("row_hash"))
-    return d.mapInArrow(run, f"doc_id {dict(d.dtypes)['doc_id']}, fp bigint, row_hash bigint")
+    return bounded_batches(d).mapInArrow(run, f"doc_id {dict(d.dtypes)['doc_id']}, fp bigint, row_hash bigint")
 
 
 def covering_masks(radius: int) -> list[int]:
@@ -171,14 +172,21 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     hash).  Of rows alike in both, one."""
     rows = simhash_components(docs, id_col, text_col, shingle, radius)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash")).alias("k")
-    keys = materialize(rows.groupBy("root").agg(first).select(
-        F.col("k.doc_id").alias("_keep_id"), F.col("k.row_hash").alias("_keep_hash")), "kept")
-    h = free_name(docs, "_hash")
+    keep = materialize(rows.groupBy("root").agg(first, F.count("*").alias("n")).filter("n > 1").select(
+        F.col("root").alias("_root"), F.col("k.doc_id").alias("_keep_id"), F.col("k.row_hash").alias("_keep_hash")), "kept")
+    # rows of groups: those to drop, and those to keep once although repeated
+    j = rows.join(keep, F.col("root") == F.col("_root"))
+    kept = F.col("doc_id").eqNullSafe(F.col("_keep_id")) & (F.col("row_hash") == F.col("_keep_hash"))
+    marked = j.groupBy("doc_id", "row_hash").agg(F.max(kept).alias("kept"), F.count("*").alias("n")).filter("not kept or n > 1")
+    marked = materialize(marked.select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_row_hash"), "kept"), "marked")
+    h, hit = free_name(docs, "_hash"), free_name(docs, "_marked")
+    bits = filter_bits(marked.count())
+    cell = lambda i, x: F.pmod(F.xxhash64(i, x), F.lit(bits)) + 1
+    bitmaps = materialize(bitmaps_of(marked.select(cell("_id", "_row_hash").alias("cell"))), "bitmaps")
     d = docs.withColumn(h, F.xxhash64(F.col(f"`{text_col}`")))
-    on = F.col(f"`{id_col}`").eqNullSafe(F.col("_keep_id")) & (F.col(h) == F.col("_keep_hash"))
-    alike = materialize(rows.groupBy("doc_id", "row_hash").count().filter("count > 1").select(
-        F.col("doc_id").alias("_alike_id"), F.col("row_hash").alias("_alike_hash")), "alike")
-    kept = d.join(keys, on, "left_semi")
-    again = F.col(f"`{id_col}`").eqNullSafe(F.col("_alike_id")) & (F.col(h) == F.col("_alike_hash"))
-    one = kept.join(alike, again, "left_semi").dropDuplicates([id_col, h])
-    return kept.join(alike, again, "left_anti").unionByName(one).drop(h)
+    d = with_bit(d, cell(F.col(f"`{id_col}`"), F.col(h)), bitmaps, hit)
+    # rows that the filter doesn't know stay where they are; only the others move
+    on = F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.col(h) == F.col("_row_hash"))
+    once = d.filter(hit).join(marked.filter("kept"), on, "left_semi").dropDuplicates([id_col, h])
+    free = d.filter(hit).join(marked, on, "left_anti")
+    return d.filter(~F.col(hit)).unionByName(free).unionByName(once).drop(h, hit)
