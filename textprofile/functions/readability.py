@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from .text import NON_WS, SENTENCE_END, WS, tokenize
 
 # ---------------------------------------------------------------------------
-# English word lists and suffixes used by the usage counts.
+# The word lists and suffixes of the published style measures (usage
+# counts of the classic Unix style program); they must equal the published ones.
 TOBEVERB = ("be", "being", "was", "were", "been", "are", "is", "am")
 AUXVERB = ("will", "shall", "cannot", "may", "need", "would", "should", "could",
            "might", "must", "ought")

@@ -139,8 +139,8 @@ def parse_bool(col) -> Column:
     low = F.lower(_c(col))
     return (F.when(low.isin(*FALSE_WORDS), F.lit(False))
             .when(low.isin(*TRUE_WORDS), F.lit(True))
-            .otherwise(F.raise_error(F.concat(F.coalesce(_c(col), F.lit("NULL")),
-                                              F.lit(" is not a valid boolean value")))))
+            .otherwise(F.raise_error(F.concat(F.lit("neither a yes nor a no word: "),
+                                              F.coalesce(_c(col), F.lit("NULL"))))))
 
 
 def yes_no_flag(col) -> Column:
