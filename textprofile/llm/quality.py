@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash60, whole
+from .common import bounded_batches, hash60, materialize, small_batches, whole
 
 MIN_N, MAX_N, BITS, DIM = 3, 5, 17, 16
 BUCKETS = 1 << BITS
@@ -116,11 +116,17 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     Labels of a repeated id: the largest; null ids or labels teach nothing."""
     y = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(
         F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_y"))
+    u = hash60(F.concat(F.lit("fit:"), F.col("_id").cast("string")))
+    y = materialize(y.withColumn("_u", u), "labels")
+    below = lambda part: F.col("_u") <= int(part * ((1 << 60) - 1))
+    rows = min(1.0, max_rows / max(y.count(), 1))
+    # about ``max_rows`` small rows, whatever the input: they go to the texts
     d = docs.select(F.col(f"`{id_col}`").alias("_doc"), whole(f"`{text_col}`").alias("_text"))
-    j = d.join(y, F.col("_doc") == F.col("_id")).withColumn("_u", hash60(F.concat(F.lit("fit:"), F.col("_doc").cast("string"))))
+    j = d.join(F.broadcast(y.filter(below(rows))), F.col("_doc") == F.col("_id")).groupBy("_doc").agg(
+        F.min("_text").alias("_text"), F.max("_y").alias("_y"), F.max("_u").alias("_u"))
     n, size = j.agg(F.count("*"), F.sum(F.octet_length("_text"))).first()
-    part = min(1.0, max_rows / max(n, 1), max_bytes / max(size or 0, 1))
-    rows = j.filter(F.col("_u") <= int(part * ((1 << 60) - 1))).select("_doc", "_text", "_y").collect()
+    part = rows * min(1.0, max_rows / max(n, 1), max_bytes / max(size or 0, 1))
+    rows = j.filter(below(part)).select("_doc", "_text", "_y").collect()
     return [(r["_text"], r["_y"]) for r in sorted(rows, key=lambda r: (r["_doc"], r["_text"]))]
 
 
@@ -142,10 +148,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, bias = shared.value
-        for b in batches:
+        for b in small_batches(batches):
             s = [score_text(t, parts, bias) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], names=["doc_id", "score"])
 
     d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    out = d.mapInArrow(run, f"doc_id {dict(d.dtypes)['doc_id']}, score double")
+    out = bounded_batches(d).mapInArrow(run, f"doc_id {dict(d.dtypes)['doc_id']}, score double")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
