@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.numeric import round_to, softmax
 from ..operators import explain as X
+from ..operators import features as FE
 from ..operators import folds as FO
 from ..operators import models as M
 from ..operators import vectors as V
@@ -502,6 +503,26 @@ def q_sampled_attribution(spark, sf):
     return phi.select("vec_id", F.col("feature").cast("bigint").alias("feature"), r6("phi").alias("phi"))
 
 
+@register("importance_mlp")
+def q_importance_mlp(spark, sf):
+    """Networks on the emotion and VAD scores of the labelled documents, one a
+    trait; sampled attributions of every test row, summed to an importance per
+    trait (in trait order) and named feature."""
+    from .q_io import _labels_keyed, _lexicon_groups
+    feats, traits = [*D.EMOTIONS, *D.VAD], ["toxic", "quality"]
+    x = FE.label_join(_lexicon_groups(spark, sf), _labels_keyed(spark, sf))
+    x = FO.holdout_split(FE.assemble(x, feats), "author_id", seed=0, val_frac=0.0).checkpoint()
+    train, test = x.filter(F.col("split") != "test"), x.filter(F.col("split") == "test")
+    parts = []
+    for t in traits:
+        model = M.mlp(len(feats), (8,), max_iter=30, seed=0).fit(train.withColumn("label", F.col(t).cast("double")))
+        phi = X.sampled_attribution(model, test, train, "author_id", "features", len(feats), samples=8, seed=0)
+        parts.append(phi.withColumn("trait", F.lit(t)))
+    named = parts[0].unionByName(parts[1]).withColumn(
+        "feature", F.element_at(F.array(*[F.lit(f) for f in feats]), (F.col("feature") + 1).cast("int")))
+    return X.trait_order(X.importance(named), traits).select("trait_no", "trait", "feature", r6("importance").alias("importance"))
+
+
 # ---- streaming -------------------------------------------------------------------------------
 
 def _stream_source(spark, sf, rows_per_file: int = 20_000) -> str:
