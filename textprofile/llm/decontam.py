@@ -79,44 +79,43 @@ class Index:
             self.grams[g] = (a[:, 0].copy(), a[:, 1].copy(), a[:, 2].copy())
         rng = np.random.default_rng(seed)
         self.longest = int(self.lengths.max()) if self.items else 0
-        self.steps = 3 * self.longest
-        self.mul = rng.integers(1, 1 << 62, (WALKS, max(1, self.steps)), dtype=np.uint64) | np.uint64(1)
+        # the bit of (step, word) is a multiplicative hash; odd factors by walk, mixed with the step
+        self.factors = rng.integers(1, 1 << 62, WALKS, dtype=np.uint64) | np.uint64(1)
         # places are shares of the steps that a walk over the item takes (about two a word)
         self.places = rng.random((n_tables(recall), SAMPLES)) * 1.8
+        self.tables = np.array_split(np.arange(len(self.places)), WALKS)
         flat = np.concatenate([np.array(w, dtype=np.int32) for w in self.items]) if self.items else np.zeros(0, np.int32)
         starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]]).astype(np.int64)
-        self.walked = [self.walk(flat, starts, self.lengths, v) for v in range(WALKS)] if self.items else []
-
-    def walk(self, words: np.ndarray, starts: np.ndarray, lengths: np.ndarray, v: int) -> np.ndarray:
-        """The walks over ``words[start:start + length]``, cut at the array's
-        end; -2 after the last word."""
-        at, ends = starts.copy(), np.minimum(starts + lengths, len(words))
-        out = np.empty((len(starts), self.steps), dtype=np.int32)
-        for j in range(self.steps):
-            inside = at < ends
-            s = np.where(inside, words[np.minimum(at, len(words) - 1)], -2)
-            out[:, j] = s
-            at += ((s + 2).astype(np.uint64) * self.mul[v, j] >> np.uint64(61) & np.uint64(1)).astype(np.int64)
+        self.signatures = [self.sample(flat, starts, self.lengths, v) for v in range(WALKS)] if self.items else []
+
+    def sample(self, words: np.ndarray, starts: np.ndarray, lengths: np.ndarray, v: int) -> np.ndarray:
+        """What walk ``v`` over each ``words[start:start + length]`` (cut at the
+        array's end) shows at the places of its tables: (windows, tables,
+        SAMPLES), -2 after the last word.  The walks themselves are not kept."""
+        shares = self.places[self.tables[v]]
+        want = (shares[None] * lengths[:, None, None]).astype(np.int64)
+        out = np.full(want.shape, -2, dtype=np.int32)
+        at, ends, last = starts.copy(), np.minimum(starts + lengths, len(words)), len(words) - 1
+        mix = int(self.factors[v])
+        for j in range(int(want.max()) + 1 if want.size else 0):
+            s = np.where(at < ends, words[np.minimum(at, last)], -2)
+            hit = want == j
+            if hit.any():
+                out[hit] = np.broadcast_to(s[:, None, None], hit.shape)[hit]
+            factor = np.uint64((mix * (2 * j + 1) ^ mix >> 17) & 0xFFFFFFFFFFFFFFFF | 1)
+            at += ((s + 3).astype(np.uint64) * factor >> np.uint64(61) & np.uint64(1)).astype(np.int64)
         return out
 
     def collide(self, words: np.ndarray, starts: np.ndarray, item: np.ndarray) -> np.ndarray:
         """Which of the item-sized windows agree with their item in some table."""
         hit = np.zeros(len(starts), dtype=bool)
-        per_walk = np.array_split(np.arange(len(self.places)), WALKS)
+        order = np.argsort(self.lengths[item], kind="stable")  # walks of like length together
         for v in range(WALKS):
-            for a in range(0, len(starts), _CHUNK):
-                open_ = a + np.flatnonzero(~hit[a:a + _CHUNK])
-                if not len(open_):
-                    continue
-                n, length = item[open_], self.lengths[item[open_]]
-                got, want = self.walk(words, starts[open_], length, v), self.walked[v][n]
-                rows = np.arange(len(open_))
-                for t in per_walk[v]:
-                    same = np.ones(len(open_), dtype=bool)
-                    for u in self.places[t]:
-                        p = (u * length).astype(np.int64)
-                        same &= got[rows, p] == want[rows, p]
-                    hit[open_] |= same
+            open_ = order[~hit[order]]
+            for a in range(0, len(open_), _CHUNK):
+                i = open_[a:a + _CHUNK]
+                got = self.sample(words, starts[i], self.lengths[item[i]], v)
+                hit[i] = (got == self.signatures[v][item[i]]).all(axis=2).any(axis=1)
         return hit
 
     def search(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
