@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash60, materialize, whole, words_of
+from .common import bounded_batches, hash60, materialize, small_batches, whole, words_of
 
 MAX_EXAMPLES, MAX_TERMS, K, BLOCK, PRIOR = 20_000, 2_000, 25, 64, 0.5
 MIN_Z, MIN_LIFT = 6.0, 3.0
@@ -189,14 +189,15 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
                        .withColumnRenamed("h", "_h"), "labelled")
     part = min(1.0, limit / max(slim.count(), 1))
     slim = slim.filter(hash60(F.concat(F.lit("knn:"), F.col("_doc").cast("string"))) <= int(part * ((1 << 60) - 1)))
-    out = d.join(slim, (F.col("doc_id") == F.col("_doc")) & (F.xxhash64("text") == F.col("_h")))
+    # about ``limit`` rows of three numbers, whatever the input: no text moves
+    out = d.join(F.broadcast(slim), (F.col("doc_id") == F.col("_doc")) & (F.xxhash64("text") == F.col("_h")))
     return materialize(out.select("doc_id", "y", "text").dropDuplicates(["doc_id"]), "examples")
 
 
 def marking_terms(sample: DataFrame, limit: int = MAX_TERMS) -> list[bytes]:
     """Words that mark label 1 in the sample, strongest first."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_batches(batches, 512):
             by = (Counter(), Counter())
             for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 by[1 if y else 0].update(set(words_of(t)))
@@ -205,7 +206,7 @@ def marking_terms(sample: DataFrame, limit: int = MAX_TERMS) -> list[bytes]:
                                               pa.array([by[0][w] for w in words], pa.int64())], names=["term", "n1", "n0"])
 
     n = sample.agg(F.count_if(F.col("y") > 0), F.count_if(F.col("y") <= 0)).first()
-    c = sample.select("y", "text").mapInArrow(count, "term binary, n1 bigint, n0 bigint").groupBy("term").agg(
+    c = bounded_batches(sample.select("y", "text")).mapInArrow(count, "term binary, n1 bigint, n0 bigint").groupBy("term").agg(
         F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
     r1, r0 = (F.col("n1") + 0.5) / (n[0] + 1.0), (F.col("n0") + 0.5) / (n[1] + 1.0)
     p = (F.col("n1") + F.col("n0") + 1) / (n[0] + n[1] + 2.0)
@@ -225,7 +226,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df: Counter = Counter()
-        for b in batches:
+        for b in small_batches(batches):
             for t in b.column(0).to_pylist():
                 df.update(set(map(at.get, words_of(t))))
                 df[-1] += 1  # documents
@@ -234,18 +235,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                                          names=["term", "n"])
 
     texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))
-    df = {r["term"]: r["n"] for r in texts.mapInArrow(count, "term bigint, n bigint").groupBy("term")
+    df = {r["term"]: r["n"] for r in bounded_batches(texts).mapInArrow(count, "term bigint, n bigint").groupBy("term")
           .agg(F.sum("n").alias("n")).collect()}
     space = Space(terms, [df.get(i, 0) for i in range(len(terms))], df.get(-1, 0))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_batches(batches):
             c = [space.counts(t) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).cast(pa.int64()), b.column(1).cast(pa.int64()), pa.array([[i for i, _ in x] for x in c], pa.list_(pa.int64())),
                  pa.array([[n for _, n in x] for x in c], pa.list_(pa.int64()))], names=["id", "y", "t", "n"])
 
-    rows = sample.mapInArrow(vectors, "id bigint, y bigint, t array<bigint>, n array<bigint>").collect()
+    rows = bounded_batches(sample).mapInArrow(vectors, "id bigint, y bigint, t array<bigint>, n array<bigint>").collect()
     return Index(space, [(r["id"], tuple(zip(r["t"], r["n"])), int(r["y"] > 0)) for r in rows], k)
 
 
@@ -276,14 +277,14 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for b in batches:
+        for b in small_batches(batches):
             s = [scorer(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([x for x, _ in s], pa.float64()), pa.array([x for _, x in s], pa.string())],
                 names=["doc_id", "score", "evidence"])
 
     d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    out = d.mapInArrow(run, f"doc_id {dict(d.dtypes)['doc_id']}, score double, evidence string")
+    out = bounded_batches(d).mapInArrow(run, f"doc_id {dict(d.dtypes)['doc_id']}, score double, evidence string")
     return out.select("doc_id", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
 
 
@@ -297,4 +298,4 @@ def drop_toxic(docs: DataFrame, index: Index, text_col: str = "text", threshold:
         for texts in batches:
             yield pd.Series([scorer(t)[0] < threshold for t in texts.tolist()], dtype=bool)
 
-    return docs.filter(F.pandas_udf(clean, "boolean")(F.col(f"`{text_col}`").cast("string")))
+    return bounded_batches(docs).filter(F.pandas_udf(clean, "boolean")(F.col(f"`{text_col}`").cast("string")))
