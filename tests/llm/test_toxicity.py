@@ -81,9 +81,12 @@ def test_awkward_rows(spark):
 
 
 def test_labels_of_the_held_out_fold_teach_nothing(spark):
-    df = spark.range(400).selectExpr("id as doc_id", "if(id % 4 = 0, 'some vile words', 'some plain words') as text")
+    df = spark.range(400).selectExpr("id as doc_id", "concat(if(id % 4 = 0, 'some vile words ', 'some plain words '), id) as text")
     y = df.selectExpr("doc_id", "1 as quality", "cast(doc_id % 4 = 0 as int) as toxic")
-    rest = y.filter(~queries.in_fold(F.col("doc_id"), 5, 0))
-    index = T.fit(df, rest)
-    assert {r["text"]: r["predicted"] for r in T.score(df, index).join(df, "doc_id").collect()} == {
-        "some vile words": 1, "some plain words": 0} or index.n.sum() <= 1  # equal texts count once
+    held = {r["doc_id"] for r in df.filter(queries.in_fold(F.col("doc_id"), 5, 0)).collect()}
+    index = T.fit(df, y.filter(~queries.in_fold(F.col("doc_id"), 5, 0)))
+    assert set(index.space.at) == {b"vile"}
+    assert {i for e in index.examples for i, _ in e} == {i for i in range(0, 400, 4) if i not in held}
+    rows = T.score(df, index).collect()
+    assert all(r["predicted"] == (r["doc_id"] % 4 == 0) for r in rows)
+    assert all(int(x.split(":")[0]) not in held for r in rows for x in r["evidence"].split(",") if x)
