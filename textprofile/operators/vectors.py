@@ -7,6 +7,7 @@ aggregation per group) instead of exploding every dimension into rows.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -260,28 +261,27 @@ def embed(df: DataFrame, tokens: str, encoder: str, key: str = "doc_id", batch_s
     return embed_layers(df, tokens, encoder, key, batch_size).filter(F.col("layer") == layer).drop("layer")
 
 
-def _numpy_hashing_factory(dim: int = 64):
-    import hashlib
+class _TokenCodes(dict):
+    """Token -> ``2 * bucket + (1 if the sign is minus)``, computed once while kept."""
+
+    def __init__(self, dim: int, most: int = 200_000):
+        super().__init__()
+        self.dim, self.most = dim, most
 
-    cache: dict[str, tuple[int, float]] = {}  # token -> (bucket, sign), per task
+    def __missing__(self, token: str) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        h = int(hashlib.md5(token.encode("utf-8")).hexdigest()[:8], 16)
+        code = self[token] = 2 * (h % self.dim) + (h >> 6) % 2
+        return code
 
-    def slot(t: str) -> tuple[int, float]:
-        hit = cache.get(t)
-        if hit is None:
-            if len(cache) >= 200_000:
-                cache.clear()
-            h = int(hashlib.md5(t.encode("utf-8")).hexdigest()[:8], 16)
-            hit = cache[t] = (h % dim, 1.0 if (h >> 6) % 2 == 0 else -1.0)
-        return hit
+
+def _numpy_hashing_factory(dim: int = 64):
+    codes = _TokenCodes(dim)
 
     def fn(batch: list[list[str]]) -> np.ndarray:
-        out = np.zeros((len(batch), dim), dtype=np.float64)
-        for i, toks in enumerate(batch):
-            for t in toks:
-                b, s = slot(t)
-                out[i, b] += s
-        norms = np.sqrt((out ** 2).sum(axis=1, keepdims=True))
-        return np.divide(out, norms, out=np.zeros_like(out), where=norms > 0)
+        return np.stack([_hash_vectors(np.fromiter(map(codes.__getitem__, toks), np.int64, len(toks)), len(toks), 1, dim)
+                         for toks in batch])
     return fn
 
 
