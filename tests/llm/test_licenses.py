@@ -46,6 +46,27 @@ def test_the_right_template_saves_most():
         assert L.TEMPLATES[m.rank(t.text)[0][1]].license == t.license
 
 
+def noise(rng, n):
+    return " ".join("".join(rng.choices("abcdefghij", k=rng.randrange(2, 9))) for _ in range(n))
+
+
+def test_long_texts_full_of_notices():
+    """A notice every 50 words up to 20,000 words: none is lost."""
+    rng = random.Random(4)
+    ranked, plain = L.Matcher(), L.Matcher(ranked=False)
+    for t in L.TEMPLATES:  # one long run of windows that touch each other
+        found = ranked.find("\n".join(noise(rng, 50) + "\n" + t.text for _ in range(50)))
+        assert [(f[2], f[3]) for f in found] == [(t.license, 0)] * 50
+    for n in (4, 40, 400):
+        put = [rng.choice(L.TEMPLATES) for _ in range(n)]
+        text = "\n".join(noise(rng, 50) + "\n" + t.text for t in put)
+        found = ranked.find(text)
+        assert [(f[2], f[3]) for f in found] == [(t.license, 0) for t in put]
+        assert [f[:4] for f in found] == [f[:4] for f in plain.find(text)]
+    text = "Licensed under CC BY 4.0. " * 3000
+    assert len(ranked.find(text)) == 3000
+
+
 def test_awkward_rows(spark):
     out = L.scan_licenses(awkward(spark)).collect()
     assert len(out) == len(ROWS) and all(r["n_hits"] == 0 and r["hits"] == "" for r in out)

@@ -1,14 +1,17 @@
 """Licence notices by conditional compression.
 
-Candidate blocks are the surroundings of words that licence wordings use
-(``TRIGGERS``): windows of ``REACH`` characters to both sides, merged where
-they overlap.  A block is compressed alone and, for each template, with the
-template as zstandard raw-content dictionary.  The size reduction, as a share
-of what the template itself compresses to, ranks the templates; all that reach
-``MIN_GAIN`` go on.  A ranked template is confirmed by its exact difference in
-words: at most one edit for every five words (similarity 0.8), and none in its
-key words (the licence's name and version).  Of overlapping occurrences the one
-with the smaller share of edits wins, then the longer.
+An accepted notice holds all key words of its template (the licence's name and
+version), so the places of one key word of each template, its anchor, lead to
+every notice.  Around an anchor a piece of bounded size is taken: as many words
+to both sides as the longest notice may have.  A template goes on if the piece
+holds its key words and as many of its words as the allowed edits must leave;
+neither can drop a notice that the confirmation accepts.  The piece is
+compressed alone and with each such template as zstandard raw-content
+dictionary, under the same parameters.  The size reduction, as a share of what
+the template itself compresses to, ranks the templates; it drops none.  A ranked
+template is confirmed by its exact difference in words: at most one edit for
+every five words (similarity 0.8), and none in its key words.  Of overlapping
+occurrences the one with the smaller share of edits wins, then the longer.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 from .alignment import Pattern
 from .common import bounded_batches, small_batches
 
-REACH, MIN_GAIN, SIMILARITY, LEVEL = 160, 0.15, 0.8, 3
+SIMILARITY, LEVEL = 0.8, 3
 
 
 class Template(NamedTuple):
@@ -69,47 +72,44 @@ def words_at(text: str) -> list[tuple[str, int, int]]:
     return [(m[0].lower(), m.start(), m.end()) for m in _WORD.finditer(text)]
 
 
-def blocks(text: str, reach: int) -> list[tuple[int, int]]:
-    """Merged windows around the triggers, widened to whole words."""
-    out: list[tuple[int, int]] = []
-    for m in _TRIGGER.finditer(text):
-        a, b = max(0, m.start() - reach), min(len(text), m.end() + reach)
-        while a > 0 and text[a - 1].isalnum() and text[a].isalnum():
-            a -= 1
-        while b < len(text) and text[b - 1].isalnum() and text[b].isalnum():
-            b += 1
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
-
-
 class Matcher:
     """Finds templates in texts.  ``ranked``: by compression; without it every
-    template is tried on every block (the plain form, for tests)."""
+    template is tried on every piece (the plain form, for tests)."""
 
-    def __init__(self, templates: Sequence[Template] = TEMPLATES, reach: int = REACH, min_gain: float = MIN_GAIN,
-                 similarity: float = SIMILARITY, ranked: bool = True):
-        # the window must hold the longest template on either side of a trigger
-        self.templates, self.min_gain, self.ranked = list(templates), min_gain, ranked
-        self.reach = max([reach, *(int(1.3 * len(t.text)) for t in templates)])
+    def __init__(self, templates: Sequence[Template] = TEMPLATES, similarity: float = SIMILARITY, ranked: bool = True):
+        self.templates, self.ranked = list(templates), ranked
         self.patterns = [Pattern([w for w, _, _ in words_at(t.text)]) for t in templates]
         self.limits = [int(p.n * (1 - similarity) + 1e-9) for p in self.patterns]
-        self.plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False)
-        self.given = [zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False,
-                      dict_data=zstandard.ZstdCompressionDict(t.text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
-                      for t in templates]
+        # without key words the first ones are anchors, of which one outlasts the edits
+        self.anchors: dict[str, list[int]] = {}
+        for i, (t, p) in enumerate(zip(templates, self.patterns)):
+            for w in {max(t.keys, key=len)} if t.keys else set(p.words[: self.limits[i] + 1]):
+                self.anchors.setdefault(w, []).append(i)
+        # no notice is longer, so one that holds an anchor lies within its piece
+        self.reach = [p.n + n for p, n in zip(self.patterns, self.limits)]
+        texts = [t.text.encode() for t in templates]
+        params = zstandard.ZstdCompressionParameters.from_level(
+            LEVEL, source_size=16 * max([64, *self.reach]), dict_size=max([64, *map(len, texts)]),
+            write_content_size=False, write_checksum=False, write_dict_id=False)
+        self.plain = zstandard.ZstdCompressor(compression_params=params)
+        self.given = [zstandard.ZstdCompressor(compression_params=params, dict_data=zstandard.ZstdCompressionDict(
+            t, dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for t in texts]
         none = len(self.plain.compress(b""))
-        self.sizes = [max(1, len(self.plain.compress(t.text.encode())) - none) for t in templates]
+        self.sizes = [max(1, len(self.plain.compress(t)) - none) for t in texts]
+
+    def _may_hold(self, i: int, words: set[str]) -> bool:
+        """A piece of these words can hold an accepted notice of template i."""
+        p = self.patterns[i]
+        return words.issuperset(self.templates[i].keys) and sum(w in words for w in p.words) >= p.n - self.limits[i]
 
-    def rank(self, block: str) -> list[tuple[float, int]]:
+    def rank(self, block: str, among: Sequence[int] | None = None) -> list[tuple[float, int]]:
         """(gain, template), best first: the bytes saved by knowing the template,
         as a share of its own compressed size."""
         raw = block.encode("utf-8", "surrogatepass")
         alone = len(self.plain.compress(raw))
-        gains = [((alone - len(c.compress(raw))) / n, i) for i, (c, n) in enumerate(zip(self.given, self.sizes))]
-        return sorted(((g, i) for g, i in gains if g >= self.min_gain or not self.ranked), key=lambda x: (-x[0], x[1]))
+        gains = [((alone - len(self.given[i].compress(raw))) / self.sizes[i], i)
+                 for i in (range(len(self.templates)) if among is None else among)]
+        return sorted(gains, key=lambda x: (-x[0], x[1]))
 
     def _occurrences(self, i: int, words: list[str], at: int = 0) -> Iterator[tuple[int, int, int]]:
         """(edits, first, end) of every occurrence of template i that is confirmed."""
@@ -127,18 +127,30 @@ class Matcher:
 
     def find(self, text: str | None) -> list[tuple[int, int, str, int, float]]:
         """(start, end, license, edits, gain) of the notices, in order."""
-        out = []
-        for a, b in blocks(text or "", self.reach):
-            block = text[a:b]
-            words = words_at(block)
-            plain = [w for w, _, _ in words]
-            found = [(edits / self.patterns[i].n, -self.patterns[i].n, x, y, i, edits, gain)
-                     for gain, i in self.rank(block) for edits, x, y in self._occurrences(i, plain)]
-            taken: list[tuple[int, int]] = []
-            for _, _, x, y, i, edits, gain in sorted(found):
-                if all(y <= p or x >= q for p, q in taken):
-                    taken.append((x, y))
-                    out.append((a + words[x][1], a + words[y - 1][2], self.templates[i].license, edits, gain))
+        words = words_at(text or "")
+        plain = [w for w, _, _ in words]
+        most = max([0, *self.reach])
+        best: dict[tuple[int, int, int], tuple[int, float]] = {}
+        for p, w in enumerate(plain):
+            if w not in self.anchors:
+                continue
+            a, b = max(0, p - most), min(len(plain), p + most)
+            here = set(plain[a:b])
+            among = [i for i in self.anchors[w] if not self.ranked or self._may_hold(i, here)]
+            if not among or not _TRIGGER.search(text, words[a][1], words[b - 1][2]):
+                continue
+            for gain, i in self.rank(text[words[a][1]:words[b - 1][2]], among):
+                first = max(0, p - self.reach[i])
+                for edits, x, y in self._occurrences(i, plain[first:p + self.reach[i]], first):
+                    if x <= p < y:  # others belong to anchors of their own
+                        best[x, y, i] = edits, max(gain, best.get((x, y, i), (0, gain))[1])
+        found = sorted((edits / self.patterns[i].n, -self.patterns[i].n, x, y, i, edits, gain)
+                       for (x, y, i), (edits, gain) in best.items())
+        out, taken = [], bytearray(len(plain))
+        for _, _, x, y, i, edits, gain in found:
+            if taken.find(1, x, y) < 0:
+                taken[x:y] = b"\1" * (y - x)
+                out.append((words[x][1], words[y - 1][2], self.templates[i].license, edits, gain))
         return sorted(out)
 
 
