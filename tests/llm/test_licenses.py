@@ -46,6 +46,19 @@ def test_the_right_template_saves_most():
         assert L.TEMPLATES[m.rank(t.text)[0][1]].license == t.license
 
 
+def brute(m, text):
+    """Every template against all words of the text, without pieces or ranking."""
+    words = L.words_at(text)
+    found = sorted((e / m.patterns[i].n, -m.patterns[i].n, x, y, i, e) for i in range(len(m.templates))
+                   for e, x, y in m._occurrences(i, [w for w, _, _ in words]))
+    out, taken = [], set()
+    for _, _, x, y, i, e in found:
+        if not taken & set(range(x, y)):
+            taken |= set(range(x, y))
+            out.append((words[x][1], words[y - 1][2], m.templates[i].license, e))
+    return sorted(out)
+
+
 def noise(rng, n):
     return " ".join("".join(rng.choices("abcdefghij", k=rng.randrange(2, 9))) for _ in range(n))
 
@@ -67,6 +80,31 @@ def test_long_texts_full_of_notices():
     assert len(ranked.find(text)) == 3000
 
 
+def test_edited_notices_against_brute_force():
+    """Up to the allowed edits anywhere, any case and line breaks."""
+    rng, m = random.Random(5), L.Matcher()
+    names = lambda s: [f[2:4] for f in m.find(s)]
+    assert names("Available under CC BY 4.0.") == [("CC-BY-4.0", 1)]
+    assert names("Released under CC BY-SA 4.0.") == [("CC-BY-SA-4.0", 1)]
+    assert names("Distributed under CC BY-NC 4.0.") == [("CC-BY-NC-4.0", 1)]
+    assert names("RELEASED\nUNDER\nTHE\nMIT\nLICENSE") == [("MIT", 0)]
+    lost = 0
+    for _ in range(60):
+        parts = []
+        for _ in range(6):
+            i = rng.randrange(len(m.templates))
+            words = m.patterns[i].words[:]
+            for _ in range(rng.randrange(m.limits[i] + 1)):
+                at = rng.randrange(len(words))
+                words[at:at + rng.randrange(2)] = rng.choice(([], ["other"], ["license"], ["mit"]))
+            parts += [noise(rng, rng.randrange(12)), rng.choice((" ".join(words), " ".join(words).upper(), "\n".join(words)))]
+        text = " ".join(parts)
+        want = brute(m, text)
+        lost += 6 - len(want)
+        assert [f[:4] for f in m.find(text)] == want
+    assert lost < 180  # most of what was put in is accepted
+
+
 def test_awkward_rows(spark):
     out = L.scan_licenses(awkward(spark)).collect()
     assert len(out) == len(ROWS) and all(r["n_hits"] == 0 and r["hits"] == "" for r in out)

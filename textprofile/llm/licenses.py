@@ -61,11 +61,8 @@ TEMPLATES = [
     Template("CC-BY-ND-4.0", ("cc", "by", "nd", "4", "0"), "Licensed under CC BY-ND 4.0."),
     Template("Unlicense", ("unencumbered",), "This is free and unencumbered software released into the public domain."),
 ]
-# Every template holds one of these at least.
-TRIGGERS = ("licens", "licenc", "permission", "redistribut", "unencumbered")
 
 _WORD = re.compile(r"[^\W_]+")
-_TRIGGER = re.compile("|".join(TRIGGERS), re.IGNORECASE)
 
 
 def words_at(text: str) -> list[tuple[str, int, int]]:
@@ -137,7 +134,7 @@ class Matcher:
             a, b = max(0, p - most), min(len(plain), p + most)
             here = set(plain[a:b])
             among = [i for i in self.anchors[w] if not self.ranked or self._may_hold(i, here)]
-            if not among or not _TRIGGER.search(text, words[a][1], words[b - 1][2]):
+            if not among:
                 continue
             for gain, i in self.rank(text[words[a][1]:words[b - 1][2]], among):
                 first = max(0, p - self.reach[i])
