@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from textprofile.llm import queries
 from textprofile.llm import toxicity as T
-from tests.conftest import SF_MID
+from tests.conftest import SF_MID, SF_SMALL
 
 from .frames import awkward, empty, labels
 
@@ -90,3 +90,28 @@ def test_labels_of_the_held_out_fold_teach_nothing(spark):
     rows = T.score(df, index).collect()
     assert all(r["predicted"] == (r["doc_id"] % 4 == 0) for r in rows)
     assert all(int(x.split(":")[0]) not in held for r in rows for x in r["evidence"].split(",") if x)
+
+
+def test_few_labelled_rows_are_enough(spark):
+    """On 11 toxic and 75 clean texts there are terms, toxic rows are found and
+    the pipeline's stage drops them."""
+    import corpus_pipeline as C
+
+    docs, y = spark.read.parquet(f"{SF_SMALL}/documents.parquet"), spark.read.parquet(f"{SF_SMALL}/labels.parquet")
+    index = T.fit(docs, y)
+    assert {b"loser", b"moron", b"scum"} <= set(index.space.at)
+    rows = T.score(docs, index).join(y, "doc_id").collect()
+    assert sum(r["predicted"] for r in rows if r["toxic"]) >= 5 and not any(r["predicted"] for r in rows if not r["toxic"])
+    gone = {r["doc_id"] for r in docs.collect()} - {r["doc_id"] for r in C.toxic(spark, docs, SF_SMALL).collect()}
+    assert {r["doc_id"] for r in rows if r["predicted"]} <= gone
+    out = queries.op2_toxicity(spark, SF_SMALL).join(y, "doc_id").filter("held_out").collect()
+    assert [r["predicted"] for r in out] == [r["toxic"] for r in out]
+
+
+def test_marking_counts_at_any_sample_size():
+    """The same shares mark in any sample that can show them; chance doesn't."""
+    for n in (30, 300, 3000):
+        words = {(n // 10 * 4, 0): 3, (1, 0): 5 * n, (0, 1): 50 * n, (n // 10, n): 100}
+        assert T.marking_counts(words, n, 9 * n) == {(n // 10 * 4, 0)}
+    assert T.marking_counts({(1, 0): 40, (0, 1): 400}, 1, 10) == set()
+    assert T.marking_counts({}, 0, 0) == set()

@@ -1,9 +1,11 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are the words that mark the label in a sample of labelled texts (more
-frequent by ``MIN_LIFT`` and by ``MIN_Z`` standard errors); their document
-frequencies are counted over all documents.  A text is the unit vector of
-(1 + log tf) * idf over these terms.
+Terms are the words that mark the label in a sample of labelled texts: more
+frequent by ``MIN_LIFT``, and so unlikely by chance (hypergeometric tail) that of
+the terms a share of ``MAX_CHANCE`` at most is expected there by chance.  The
+bound follows from the sample's own counts, so a small sample needs no more than
+it can show.  Document frequencies of the terms are counted over all documents.
+A text is the unit vector of (1 + log tf) * idf over these terms.
 
 The index holds the distinct vectors of the labelled sample, each with its
 numbers of examples by label, sorted so that like vectors are neighbours and
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, hash60, materialize, small_batches, whole, words_of
 
 MAX_EXAMPLES, MAX_TERMS, K, BLOCK, PRIOR = 20_000, 2_000, 25, 64, 0.5
-MIN_Z, MIN_LIFT = 6.0, 3.0
+MAX_CHANCE, MIN_LIFT = 0.05, 3.0
 _CACHE = 50_000
 
 
@@ -194,6 +196,44 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
     return materialize(out.select("doc_id", "y", "text").dropDuplicates(["doc_id"]), "examples")
 
 
+def marking_counts(words: dict[tuple[int, int], int], n1: int, n0: int) -> set[tuple[int, int]]:
+    """Of the counts (texts of label 1, of label 0) with their numbers of words,
+    those that mark label 1 among ``n1`` and ``n0`` texts.
+
+    A word in n texts is in k or more of label 1 by chance with a hypergeometric
+    probability.  The bound on it is the largest at which the words expected
+    below it by chance, each by the steps that its own n allows, are at most
+    ``MAX_CHANCE`` of the words found."""
+    log = np.append(0.0, np.cumsum(np.log(np.arange(1, n1 + n0 + 1))))
+    choose = lambda n, k: log[n] - log[k] - log[n - k]
+
+    def tails(n: int) -> tuple[int, np.ndarray]:
+        k = np.arange(max(0, n - n0), min(n, n1) + 1)
+        at = np.exp(choose(n1, k) + choose(n0, n - k) - choose(n1 + n0, n))
+        return int(k[0]), np.minimum(1.0, np.cumsum(at[::-1]))  # of k texts or more, most texts first
+
+    totals: Counter = Counter()
+    by_total: dict[int, list[tuple[int, int]]] = {}
+    for (a, b), n in words.items():
+        totals[a + b] += n
+        if (a + 0.5) / (n1 + 1) >= MIN_LIFT * (b + 0.5) / (n0 + 1):
+            by_total.setdefault(a + b, []).append((a, b))
+    chance: dict[tuple[int, int], float] = {}
+    for n, pairs in by_total.items():
+        least, tail = tails(n)
+        chance |= {(a, b): float(tail[len(tail) - 1 - (a - least)]) for a, b in pairs}
+    steps = np.unique(np.array(list(chance.values())))
+    expected, found = np.zeros(len(steps)), np.zeros(len(steps))
+    for n, m in totals.items():
+        _, tail = tails(n)
+        i = np.searchsorted(tail, steps * (1 + 1e-9), side="right")
+        expected += m * np.where(i > 0, tail[np.maximum(i - 1, 0)], 0.0)
+    for c, x in chance.items():
+        found[np.searchsorted(steps, x):] += words[c]
+    good = np.flatnonzero(expected <= MAX_CHANCE * found)
+    return {c for c, x in chance.items() if len(good) and x <= steps[good[-1]]}
+
+
 def marking_terms(sample: DataFrame, limit: int = MAX_TERMS) -> list[bytes]:
     """Words that mark label 1 in the sample, strongest first."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,10 +248,13 @@ def marking_terms(sample: DataFrame, limit: int = MAX_TERMS) -> list[bytes]:
     n = sample.agg(F.count_if(F.col("y") > 0), F.count_if(F.col("y") <= 0)).first()
     c = bounded_batches(sample.select("y", "text")).mapInArrow(count, "term binary, n1 bigint, n0 bigint").groupBy("term").agg(
         F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    c = materialize(c, "words")
+    pairs = {(r["n1"], r["n0"]): r["n"] for r in c.groupBy("n1", "n0").agg(F.count("*").alias("n")).collect()}
+    marking = sample.sparkSession.createDataFrame(sorted(marking_counts(pairs, *n)), "n1 bigint, n0 bigint")
     r1, r0 = (F.col("n1") + 0.5) / (n[0] + 1.0), (F.col("n0") + 0.5) / (n[1] + 1.0)
     p = (F.col("n1") + F.col("n0") + 1) / (n[0] + n[1] + 2.0)
     z = (r1 - r0) / F.sqrt(p * (1 - p) * (1.0 / (n[0] + 1) + 1.0 / (n[1] + 1)))
-    best = c.filter((r1 >= MIN_LIFT * r0) & (z >= MIN_Z)).orderBy(z.desc(), "term").limit(limit)
+    best = c.join(F.broadcast(marking), ["n1", "n0"]).orderBy(z.desc(), "term").limit(limit)
     return [bytes(r["term"]) for r in best.select("term").collect()]
 
 
