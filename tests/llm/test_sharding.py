@@ -65,3 +65,14 @@ def test_write_shards(spark, tmp_path):
     df = S.assign_shards(spark.range(500).withColumnRenamed("id", "doc_id"), "doc_id", ["a", "b"])
     S.write_shards(df, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).groupBy("shard").count().count() == 2
+
+
+def test_query_spreads_rows_without_id(spark, tmp_path):
+    from textprofile.llm import queries
+
+    df = spark.range(900).selectExpr("if(id % 3 = 0, null, id) as doc_id", "concat('text ', id) as text")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.op1_sharding(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "slot", "shard"] and out.count() == 900
+    shares = Counter(r["shard"] for r in out.filter("doc_id is null").collect())
+    assert len(shares) == len(queries.SHARDS) and max(shares.values()) < 60

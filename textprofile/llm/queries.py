@@ -13,8 +13,9 @@ SIMHASH_SHINGLE, SIMHASH_RADIUS = 3, 2
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents").select("doc_id")
-    return sharding.assign_shards(docs, "doc_id", SHARDS, slot_col="slot")
+    # whole rows: one without doc_id is placed by the hash of its other columns
+    docs = load(spark, sf_dir, "documents")
+    return sharding.assign_shards(docs, "doc_id", SHARDS, slot_col="slot").select("doc_id", "slot", "shard")
 
 
 def _scored(out: DataFrame, mod: int, rest: int) -> DataFrame:
