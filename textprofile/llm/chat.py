@@ -15,9 +15,10 @@ as far as the history budget reaches.  Those are context: only the texts of
 assistant turns that are new in a window are under the loss mask, so each
 target counts once.
 
-A long conversation is not gathered anywhere: rows are dealt by ranges of
+The formatter gathers no long conversation: rows are dealt by ranges of
 (conversation, turn), running sums are made within a range and completed by the
 sums of the ranges before it, and windows are grouped by (conversation, window).
+``digest`` alone hashes whole conversations, each in one row of 2 GB at most.
 """
 
 from __future__ import annotations
