@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, exact_dedup, licenses, mixing, pii, quality, sharding, simhash, toxicity, whitening
+from . import chat, decontam, exact_dedup, licenses, mixing, pii, quality, sharding, simhash, suffix_dedup, toxicity, whitening
 from .common import in_fold, load
 
 SHARDS = [f"shard-{i:03d}" for i in range(16)]
@@ -66,6 +66,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_passages(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), similarity=0.8)
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.substring_dedup(load(spark, sf_dir, "documents"), threshold=100)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(whitening.fit(load(spark, sf_dir, "embeddings")), spark, components=8)
 
@@ -81,6 +86,7 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_simhash": op9_simhash,
     "op10_decontamination": op10_decontamination,
+    "op11_suffix_dedup": op11_suffix_dedup,
     "op13_whitening": op13_whitening,
 }
 
