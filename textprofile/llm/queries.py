@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, exact_dedup, licenses, mixing, pii, quality, sharding, simhash, suffix_dedup, toxicity, whitening
+from . import chat, decontam, exact_dedup, licenses, mixing, pii, quality, repair, sharding, simhash, suffix_dedup, toxicity, whitening
 from .common import in_fold, load
 
 SHARDS = [f"shard-{i:03d}" for i in range(16)]
@@ -71,6 +71,10 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.damaged_and_repaired(load(spark, sf_dir, "conversations"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(whitening.fit(load(spark, sf_dir, "embeddings")), spark, components=8)
 
@@ -87,6 +91,7 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_decontamination": op10_decontamination,
     "op11_suffix_dedup": op11_suffix_dedup,
+    "op12_repair": op12_repair,
     "op13_whitening": op13_whitening,
 }
 
