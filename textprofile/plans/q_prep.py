@@ -11,6 +11,9 @@ from ..operators import chunk as C
 from ..operators import posts as P
 from ..operators import readability as R
 from ..operators.rank import global_position
+from ..session import scratch_path
+from ..sources import writers as WR
+from ..streaming import posts as SP
 from . import derived as D
 from . import sqlfrag as S
 from .tables import load
@@ -45,6 +48,42 @@ def q_recent_posts(spark, sf):
     return P.recent_posts(ev, n=20, author="user_id", ts="ts", body="event_type", tiebreak="event_id")
 
 
+_SQL_RECENT = (
+    "WITH r AS (SELECT user_id, ts, event_id, event_type, row_number() OVER "
+    "(PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) "
+    "SELECT user_id::VARCHAR AS author, string_agg(event_type, ' ||| ' ORDER BY ts, event_id) AS text, "
+    "count(*)::BIGINT AS n_posts FROM r WHERE rn <= 20 GROUP BY user_id")
+
+
+def _post_log(spark, sf):
+    """``events`` as a post log: author, body, created_utc in microseconds, id."""
+    return load(spark, sf, "events").select(
+        F.col("user_id").cast("string").alias("author"), F.col("event_type").alias("body"),
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("created_utc"), F.col("event_id").alias("id"))
+
+
+@register("stream_recent_posts", _SQL_RECENT)
+def q_stream_recent_posts(spark, sf):
+    """The post log as a stream of CSV files whose posts are in no order of
+    time, three files a micro-batch; the state after the last one."""
+    path = scratch_path(spark, "post_files")
+    WR.write_csv(_post_log(spark, sf).repartition(8, F.xxhash64("id")), path)
+    state = SP.RecentPostsState(spark, scratch_path(spark, "recent_state"), n=20, tiebreak="id")
+    SP.stream_recent_posts(spark, path, state, scratch_path(spark, "recent_ckpt"), keep={"id": "bigint"}, files_per_trigger=3)
+    return state.texts()
+
+
+@register("recent_posts_cache", _SQL_RECENT)
+def q_recent_posts_cache(spark, sf):
+    """Half of the post log through the cache, then the rest appended: the
+    changed input is computed anew, and read from the cache after that."""
+    log, path, root = _post_log(spark, sf), scratch_path(spark, "post_log"), scratch_path(spark, "post_cache")
+    for part in (0, 1):
+        log.filter(F.pmod(F.xxhash64("id"), F.lit(2)) == part).write.mode("append").parquet(path)
+        P.recent_posts_versioned(spark, spark.read.parquet(path), root, n=20, tiebreak="id")
+    return P.recent_posts_versioned(spark, spark.read.parquet(path), root, n=20, tiebreak="id")
+
+
 @register("recent_posts_conv",
           "WITH r AS (SELECT conv_id, turn, text, row_number() OVER "
           "(PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) "

@@ -4,7 +4,7 @@ schema metadata (attribute lists, ARFF headers) is brought to the driver."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +57,18 @@ def read_posts(spark: SparkSession, path: str, ts_type: str = "decimal(38,9)", k
     return df.select("author", "body", F.col("created_utc").cast(ts_type).alias("created_utc"), *keep)
 
 
+def posts_stream(spark: SparkSession, path: str, columns: Sequence[str] | None = None, keep: Mapping[str, str] | None = None,
+                 ts_type: str = "decimal(38,9)", files_per_trigger: int = 64) -> DataFrame:
+    """The post log's CSV files as a stream: ``author, body, created_utc`` and
+    the ``keep`` columns (name -> type).  A stream needs its columns beforehand:
+    ``columns`` in the files' order, or those in the header of what is there."""
+    columns = list(columns or spark.read.csv(path, **_CSV).columns)
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    df = spark.readStream.schema(schema).options(**_CSV).option("maxFilesPerTrigger", files_per_trigger).csv(path)
+    return df.select("author", "body", F.col("created_utc").cast(ts_type).alias("created_utc"),
+                     *[F.col(f"`{c}`").cast(t).alias(c) for c, t in (keep or {}).items()])
+
+
 def read_lexicon(spark: SparkSession, path: str, fmt: str = "csv", key: str | None = None,
                  header: bool = True, key_out: str = "word") -> DataFrame:
     """Word lexicon: key column + numeric scores (strict cast under ANSI).
