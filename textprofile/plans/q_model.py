@@ -14,6 +14,7 @@ from ..operators import explain as X
 from ..operators import features as FE
 from ..operators import folds as FO
 from ..operators import models as M
+from ..operators import newton as NW
 from ..operators import vectors as V
 from ..session import scratch_path
 from ..sources import writers as WR
@@ -313,8 +314,68 @@ def _emb_folds(spark, sf):
 @register("cv_results")
 def q_cv_results(spark, sf):
     """10-fold cross-validation of the L2 logistic model for two traits:
-    ``(trait, fold, acc)``."""
-    return M.cross_validate(_emb_folds(spark, sf), ["odd", "low"], lambda n, t: M.lr_l2(n), k=10)
+    ``(trait, fold, acc)``; all traits and folds share every scan."""
+    return NW.fit_folds(_emb_folds(spark, sf), ["odd", "low"], k=10).accuracies()
+
+
+# Newton's method in SQL: mean valence and arousal of a document's words (and an
+# intercept), ten steps for every trait and fold, the 3 x 3 system by determinants.
+def _sql_newton(steps: int = 10) -> str:
+    sums = {"g0": "sum(p - y)", "g1": "sum((p - y) * x1) + any_value(b1)", "g2": "sum((p - y) * x2) + any_value(b2)",
+            "h00": "sum(p * (1 - p))", "h01": "sum(p * (1 - p) * x1)", "h02": "sum(p * (1 - p) * x2)",
+            "h11": "sum(p * (1 - p) * x1 * x1) + 1", "h12": "sum(p * (1 - p) * x1 * x2)", "h22": "sum(p * (1 - p) * x2 * x2) + 1"}
+
+    def det(*c):
+        return "({0} * ({4} * {8} - {5} * {7}) - {1} * ({3} * {8} - {5} * {6}) + {2} * ({3} * {7} - {4} * {6}))".format(*c)
+    h = ["h00", "h01", "h02", "h01", "h11", "h12", "h02", "h12", "h22"]
+    put = lambda j: [f"g{i // 3}" if i % 3 == j else v for i, v in enumerate(h)]
+    out = [f"vad AS MATERIALIZED ({q_text.ORACLE['lexicon_vad']})",
+           "d AS MATERIALIZED (SELECT f.trait, f.fold, f.y::DOUBLE AS y, coalesce(v.valence, 0) AS x1, coalesce(v.arousal, 0) AS x2 "
+           "FROM folds f JOIN vad v ON v.doc_id = f.doc_id)",
+           "w0 AS (SELECT trait, f, 0::DOUBLE AS b0, 0::DOUBLE AS b1, 0::DOUBLE AS b2 FROM (SELECT DISTINCT trait FROM d), "
+           "(SELECT unnest(range(0, 10)) AS f))"]
+    for i in range(steps):
+        out.append(f"s{i} AS MATERIALIZED (SELECT trait, f, any_value(b0) AS b0, any_value(b1) AS b1, any_value(b2) AS b2, "
+                   + ", ".join(f"{v} AS {k}" for k, v in sums.items())
+                   + f" FROM (SELECT w.*, d.y, d.x1, d.x2, 1 / (1 + exp(-(b0 + b1 * x1 + b2 * x2))) AS p FROM w{i} w "
+                     "JOIN d ON d.trait = w.trait AND d.fold <> w.f) GROUP BY trait, f)")
+        out.append(f"w{i + 1} AS MATERIALIZED (SELECT trait, f, " + ", ".join(
+            f"b{j} - {det(*put(j))} / {det(*h)} AS b{j}" for j in range(3)) + f" FROM s{i})")
+    return _SQL_STRAT + ", " + ",\n".join(out) + f", fit AS (SELECT * FROM w{steps}) "
+
+
+_SQL_NEWTON = _sql_newton()
+
+
+def _vad_folds(spark, sf):
+    """Labelled documents: valence and arousal (missing: 0) as features, nothing
+    else, and a stratified fold per trait."""
+    traits = ["quality", "toxic"]
+    lab = load(spark, sf, "labels")
+    vad = q_text.q_lexicon_vad(spark, sf).select("doc_id", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("valence", "arousal")])
+    folds = FO.stratified_folds(lab.unpivot(["doc_id"], traits, "trait", "y"), "y", "doc_id", k=10, by=["trait"])
+    wide = folds.groupBy("doc_id").agg(*[F.max(F.when(F.col("trait") == t, F.col("fold"))).alias(f"fold_{t}") for t in traits],
+                                       *[F.max(F.when(F.col("trait") == t, F.col("y"))).alias(t) for t in traits])
+    return vad.join(wide, "doc_id").withColumn("features", F.array("valence", "arousal")), traits
+
+
+@register("cv_psycho", _SQL_NEWTON + "SELECT d.trait, (d.fold + 1)::BIGINT AS fold, round(avg(CASE WHEN (fit.b0 + fit.b1 * d.x1 + fit.b2 * d.x2 > 0) "
+          "= (d.y > 0.5) THEN 1 ELSE 0 END), 6) AS acc FROM d JOIN fit ON fit.trait = d.trait AND fit.f = d.fold GROUP BY d.trait, d.fold")
+def q_cv_psycho(spark, sf):
+    """Cross-validated L2 logistic models on psycholinguistic scores alone."""
+    df, traits = _vad_folds(spark, sf)
+    out = NW.fit_folds(df, traits, k=10).accuracies()
+    return out.select("trait", F.col("fold").cast("bigint").alias("fold"), r6("acc").alias("acc"))
+
+
+@register("cv_psycho_weights", _SQL_NEWTON + "SELECT trait, (f + 1)::BIGINT AS fold, round(b0, 5) AS intercept, round(b1, 5) AS valence, "
+          "round(b2, 5) AS arousal FROM fit")
+def q_cv_psycho_weights(spark, sf):
+    """The weights of these models: the minimum of each fold's own loss."""
+    df, traits = _vad_folds(spark, sf)
+    w = NW.fit_folds(df, traits, k=10).coefficients()
+    return w.select("trait", F.col("fold").cast("bigint").alias("fold"), round_to("intercept", 5).alias("intercept"),
+                    *[round_to(F.col("weights")[i], 5).alias(c) for i, c in enumerate(("valence", "arousal"))])
 
 
 @register("cv_combined")
