@@ -8,13 +8,12 @@ AQE can split on hot words), and aggregate per document with partial
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import run_lengths
 from ..functions.text import tokenize
 from .joins import sized_lookup
 
@@ -92,14 +91,11 @@ def concept_bag(df: DataFrame, doc_key: str = "doc_id", text_col: str = "text",
     """``(doc_key, concept_count array<struct<concept, count>>)`` built from the
     document's token counts; documents without tokens get an empty bag.
 
-    A document is one row, so its tokens are counted inside that row (in Arrow
-    batches): no exchange of texts or tokens."""
-    @F.pandas_udf("array<struct<concept:string,count:bigint>>")
-    def bags(tokens: pd.Series) -> pd.Series:
-        return pd.Series([[{"concept": w, "count": n} for w, n in sorted(Counter(t).items())] if t is not None else []
-                          for t in tokens])
-
-    return df.select(doc_key, bags(_tokens(df, doc_key, text_col, tokens_col)).alias("concept_count"))
+    A document is one row, so its tokens are counted inside that row, as the run
+    lengths of its sorted tokens: no exchange of texts or tokens, no Python."""
+    bag = run_lengths(_tokens(df, doc_key, text_col, tokens_col), "concept", "count")
+    empty = F.array().cast("array<struct<concept:string,count:bigint>>")
+    return df.select(doc_key, F.coalesce(bag, empty).alias("concept_count"))
 
 
 def explode_concepts(bags: DataFrame, doc_key: str = "doc_id",
@@ -129,16 +125,18 @@ def concept_vector_features(bags: DataFrame, vectors: DataFrame, key: str = "con
     """Count-weighted mean concept vector per document, long form
     ``(doc_key, dim, value)``; a document without hits keeps one row with NULL
     ``dim``/``value``.  A NULL cell adds nothing to the sum but its count still
-    divides, as in ``lexicon_features``; a dimension without any value is NULL.  Vectors are exploded after the join so the per-document
-    aggregate is a plain (partial + final) hash aggregate over ``(doc, dim)``."""
+    divides, as in ``lexicon_features``; a dimension without any value is NULL.
+    One aggregate has one sum for each dimension (their number comes from the
+    lexicon), so rows are never multiplied by dimensions before it."""
     lex = sized_lookup(vectors.select(F.col(key).alias("concept"), F.col(vec_col).alias("_v")))
+    dims = lex.agg(F.max(F.size("_v"))).first()[0] or 0
     rows = bags.select(doc_key, F.explode(F.col(bag_col)).alias("_e")).select(
         doc_key, F.col("_e.concept").alias("concept"), F.col("_e.count").alias("count"))
-    long = rows.join(lex, "concept").select(doc_key, "count", F.posexplode("_v").alias("dim", "_x"))
-    agg = long.groupBy(doc_key, "dim").agg(
-        F.try_divide(F.sum(F.col("_x") * F.col("count")).cast("double"),
-                     F.sum("count")).alias("value"))
-    return bags.select(doc_key).join(agg, doc_key, "left")
+    cells = [F.try_divide(F.sum(F.get("_v", F.lit(i)) * F.col("count")).cast("double"), F.sum("count")) for i in range(dims)]
+    means = rows.join(lex, "concept").groupBy(F.col(doc_key).alias("_doc")).agg(
+        F.array(*cells).cast("array<double>").alias("_m"))
+    out = bags.select(doc_key).join(means, F.col(doc_key) == F.col("_doc"), "left")
+    return out.select(doc_key, F.posexplode_outer("_m").alias("dim", "value"))
 
 
 def lexicon_coverage(docs: DataFrame, lexicon: DataFrame, key: str = "word",

@@ -11,13 +11,13 @@ import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import counts_by_code, let, unit
 from .chunk import overlap_window_count
 from .joins import sized_lookup
 from .rank import global_position, prefix_sum
@@ -127,44 +127,13 @@ def layer_mix(store: DataFrame, key: Sequence[str], weights: Sequence[float] | s
     return weighted_sum_vectors(store.withColumn("_w", wmap), key, vec, "_w", out=vec)
 
 
-def dense_from_entries(idx: str, val: str, dim: int) -> Column:
-    """Dense ``array<double>`` of length ``dim`` from collected (idx, val)
-    entries (missing -> 0)."""
-    m = F.map_from_entries(F.collect_list(F.struct(F.col(idx), F.col(val).cast("double"))))
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at(m, i), F.lit(0.0)))
-
-
-# ---- hashing encoder (default, pure Spark SQL) --------------------------------------
+# ---- hashing encoder (default, array expressions) --------------------------------------
 
 def token_hash(token: Column) -> Column:
     """Portable 32-bit token hash from md5 (same value in any SQL engine)."""
     return F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("bigint")
 
 
-def hashing_embed(token_rows: DataFrame, doc: str | Sequence[str] = "doc_id", token: str = "word",
-                  dim: int = 64) -> DataFrame:
-    """Signed feature hashing, L2-normalised: ``(doc, bucket, value)`` for the
-    buckets a document hits.  ``sum`` per (doc, bucket) is partially
-    aggregated map-side; the norm is a window per document over at most ``dim``
-    rows."""
-    keys = [doc] if isinstance(doc, str) else list(doc)
-    hashed = token_rows.select(*keys, token_hash(F.col(token)).alias("_h"))  # one md5 per token
-    h = F.col("_h")
-    signed = hashed.select(*keys, (h % dim).cast("int").alias("bucket"),
-                           F.when(F.shiftright(h, 6) % 2 == 0, 1).otherwise(-1).alias("_s"))
-    sums = signed.groupBy(*keys, "bucket").agg(F.sum("_s").cast("double").alias("_v"))
-    norm = F.sqrt(F.sum(F.col("_v") * F.col("_v")).over(Window.partitionBy(*keys)))
-    return sums.select(*keys, "bucket", F.when(norm > 0, F.col("_v") / norm).otherwise(F.lit(0.0)).alias("value"))
-
-
-def hashing_embed_dense(token_rows: DataFrame, doc: str | Sequence[str] = "doc_id", token: str = "word",
-                        dim: int = 64) -> DataFrame:
-    """``(doc, vec array<double>[dim])`` form of ``hashing_embed``."""
-    keys = [doc] if isinstance(doc, str) else list(doc)
-    sparse = hashing_embed(token_rows, keys, token, dim)
-    return sparse.groupBy(*keys).agg(dense_from_entries("bucket", "value", dim).alias("vec"))
-
-
 def _token_codes(tokens: str, dim: int) -> Column:
     """``2 * bucket + (1 if the sign is minus)`` of every token (JVM-side)."""
     def code(t):
@@ -196,17 +165,23 @@ def hashing_window_mean(docs: DataFrame, key: str, tokens: str, size: int | None
                         dim: int = 64) -> DataFrame:
     """Mean over a document's overlapping windows (``size`` None: one window)
     of the windows' hashing vectors -> ``(key, vec)``, NULL without tokens.
-    Token hashes are computed JVM-side; the sums of a document's windows come
-    from its own row in an Arrow batch, without an exchange."""
+    Codes, counts and means are array expressions of the document's own row:
+    no exchange, no Python."""
     if size is not None and overlap >= size:
         raise ValueError("overlap must be smaller than the window size")
 
-    @F.pandas_udf("array<double>")
-    def vectors(codes: pd.Series) -> pd.Series:
-        return pd.Series([None if c is None or not len(c) else
-                          _hash_vectors(np.asarray(c), size or len(c), (size or 1) - overlap, dim) for c in codes])
-
-    return docs.select(key, vectors(_token_codes(tokens, dim)).alias("vec"))
+    def mean(codes: Column) -> Column:
+        n = F.size(codes)
+        if size is None:
+            return F.when(n > 0, unit(counts_by_code(codes, dim)))
+        step = size - overlap
+        many = F.when(n <= size, 1).otherwise(F.ceil((n - size) / F.lit(step)).cast("int") + 1)
+        zero = F.array_repeat(F.lit(0.0), dim)
+        total = F.aggregate(F.sequence(F.lit(0), many - 1), zero, lambda acc, w: F.zip_with(
+            acc, unit(counts_by_code(F.slice(codes, w * step + 1, F.lit(size)), dim)), lambda a, b: a + b))
+        return F.when(n > 0, F.transform(total, lambda x: x / many))
+
+    return docs.select(key, let(_token_codes(tokens, dim), mean).alias("vec"))
 
 
 # ---- plug-in encoders (Arrow batches through mapInPandas) ---------------------------------
