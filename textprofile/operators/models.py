@@ -73,13 +73,16 @@ class RandomFourierFeatures(Transformer, HasInputCol, HasOutputCol, DefaultParam
         self._set(inputCol=inputCol, outputCol=outputCol, gamma=gamma, n_components=n_components,
                   n_features=n_features, seed=seed)
 
-    def _transform(self, df: DataFrame) -> DataFrame:
+    def projection(self) -> tuple[np.ndarray, np.ndarray, float]:
+        """``(W, b, sqrt(2/D))``, the same whenever they are drawn."""
         g, d_out = self.getOrDefault(self.gamma), self.getOrDefault(self.n_components)
-        d_in, seed = self.getOrDefault(self.n_features), self.getOrDefault(self.seed)
-        rng = np.random.default_rng(seed)
-        w = rng.normal(0.0, math.sqrt(2.0 * g), size=(d_in, d_out))
-        b = rng.uniform(0.0, 2.0 * math.pi, size=d_out)
-        scale = math.sqrt(2.0 / d_out)
+        rng = np.random.default_rng(self.getOrDefault(self.seed))
+        w = rng.normal(0.0, math.sqrt(2.0 * g), size=(self.getOrDefault(self.n_features), d_out))
+        return w, rng.uniform(0.0, 2.0 * math.pi, size=d_out), math.sqrt(2.0 / d_out)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        d_in = self.getOrDefault(self.n_features)
+        w, b, scale = self.projection()
 
         @F.pandas_udf("array<double>")
         def project(x: pd.Series) -> pd.Series:

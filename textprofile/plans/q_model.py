@@ -564,6 +564,35 @@ def q_sampled_attribution(spark, sf):
     return phi.select("vec_id", F.col("feature").cast("bigint").alias("feature"), r6("phi").alias("phi"))
 
 
+@register("attribution_svm")
+def q_attribution_svm(spark, sf):
+    """The same for the approximate RBF SVM, with standard errors from antithetic
+    pairs of walks."""
+    split = FO.holdout_split(_emb_train(spark, sf).withColumnRenamed("odd", "label"), "vec_id", seed=0, val_frac=0.0).checkpoint()
+    train, test = split.filter(F.col("split") != "test"), split.filter(F.col("split") == "test")
+    gamma = M.gamma_scale(load(spark, sf, "embeddings"), "embedding").first()["gamma"]
+    model = M.rbf_svm(N_DIMS, gamma, n_components=128, seed=0, max_iter=20).fit(train)
+    phi = X.sampled_attribution(model, test, train, "vec_id", "features", N_DIMS, samples=8, seed=0, errors=True)
+    return phi.select("vec_id", F.col("feature").cast("bigint").alias("feature"), r6("phi").alias("phi"), r6("se").alias("se"))
+
+
+@register("cv_svm_psycho")
+def q_cv_svm_psycho(spark, sf):
+    """Cross-validated approximate RBF SVM on psycholinguistic scores alone."""
+    df, traits = _vad_folds(spark, sf)
+    gamma = M.gamma_scale(df, "features").first()["gamma"]
+    df = df.withColumn("features", array_to_vector("features")).checkpoint()
+    return M.cross_validate(df, traits, lambda n, t: M.rbf_svm(2, gamma, n_components=64, seed=0, max_iter=20), k=10)
+
+
+@register("cv_mlp_psycho")
+def q_cv_mlp_psycho(spark, sf):
+    """Cross-validated networks 2-50-2 on psycholinguistic scores alone."""
+    df, traits = _vad_folds(spark, sf)
+    df = df.withColumn("features", array_to_vector("features")).checkpoint()
+    return M.cross_validate(df, traits, lambda n, t: M.mlp(2, (50,), max_iter=20, seed=0), k=10)
+
+
 @register("importance_mlp")
 def q_importance_mlp(spark, sf):
     """Networks on the emotion and VAD scores of the labelled documents, one a
