@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -399,9 +400,12 @@ def _merged(spans: DataFrame) -> DataFrame:
 
 def _free(df: DataFrame) -> None:
     """Lets Spark's context cleaner remove the shuffle files of finished steps:
-    it does so once their plans are garbage on both sides."""
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
+    it does so once their plans are garbage on both sides.  The first round
+    releases what the second can find."""
+    for _ in range(2):
+        gc.collect()
+        df.sparkSession._jvm.System.gc()
+        time.sleep(1)
 
 
 def repeated_spans(rows: DataFrame, threshold: int = THRESHOLD, gram: int | None = None, start: int | None = None) -> DataFrame:
