@@ -106,12 +106,18 @@ def encode_ids(df: DataFrame, tokens: str, vocab: DataFrame, length: int,
                doc_key: str = "doc_id") -> DataFrame:
     """``(doc_key, ids)``: start marker, ids of the first ``length - 2`` tokens
     (unknown -> UNK), end marker, zero padding to ``length``."""
-    body = df.select(doc_key, F.posexplode_outer(truncate_head(tokens, length)).alias("pos", "word"))
+    lists = word_id_lists(df.select(doc_key, truncate_head(tokens, length).alias("_t")), "_t", vocab, doc_key)
+    return lists.select(doc_key, pad_ids("ids", length).alias("ids"))
+
+
+def word_id_lists(df: DataFrame, tokens: str, vocab: DataFrame, doc_key: str = "doc_id") -> DataFrame:
+    """``(doc_key, ids)``: start marker, the ids of all tokens (unknown -> UNK),
+    end marker; as long as the document."""
+    body = df.select(doc_key, F.posexplode_outer(tokens).alias("pos", "word"))
     looked = body.join(sized_lookup(vocab.select("word", "id")), "word", "left") \
         .withColumn("id", F.coalesce("id", F.lit(UNK_ID).cast("bigint")))
     # a document without tokens keeps one row with a NULL position: its list is empty
     entry = F.when(F.col("pos").isNotNull(), F.struct("pos", "id"))
     lists = looked.groupBy(doc_key).agg(F.array_sort(F.collect_list(entry)).alias("_p"))
-    ids = F.concat(F.array(F.lit(START_ID).cast("bigint")), F.transform("_p", lambda s: s["id"]),
-                   F.array(F.lit(END_ID).cast("bigint")))
-    return lists.select(doc_key, pad_ids(ids, length).alias("ids"))
+    return lists.select(doc_key, F.concat(F.array(F.lit(START_ID).cast("bigint")), F.transform("_p", lambda s: s["id"]),
+                                          F.array(F.lit(END_ID).cast("bigint"))).alias("ids"))

@@ -17,5 +17,11 @@ def sized_lookup(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFra
 
     Beyond that no hint is given: the planner knows the table's real size, and
     adaptive execution picks the join and splits hot keys."""
+    table, small = sized_table(df, max_bytes)
+    return F.broadcast(table) if small else table
+
+
+def sized_table(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+    """The table, written once, and whether its files hold at most ``max_bytes``."""
     table, size = materialize(df, "lookup")
-    return F.broadcast(table) if size <= max_bytes else table
+    return table, size <= max_bytes

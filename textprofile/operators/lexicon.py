@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import run_lengths
 from ..functions.text import tokenize
-from .joins import sized_lookup
+from .joins import MAX_BROADCAST_BYTES, sized_lookup, sized_table
+from .membership import filter_bits, may_hold, word_filter
 
 
 def _tokens(df: DataFrame, doc_key: str, text_col: str | None, tokens_col: str | None) -> Column:
@@ -41,7 +42,8 @@ def token_counts(df: DataFrame, doc_key: str = "doc_id", text_col: str = "text",
 
 def lexicon_features(docs: DataFrame, lexicon: DataFrame, scores: Sequence[str],
                      key: str = "word", doc_key: str = "doc_id", text_col: str = "text",
-                     tokens_col: str | None = None, presized: bool = False) -> DataFrame:
+                     tokens_col: str | None = None, presized: bool = False,
+                     max_broadcast: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Weighted lexicon mean per document.
 
     For each score ``s``: ``sum(count * s) / sum(count)`` over the document's
@@ -51,10 +53,20 @@ def lexicon_features(docs: DataFrame, lexicon: DataFrame, scores: Sequence[str],
     NULL.  Duplicate lexicon keys multiply, as an inner equi-join does.
     ``presized=True`` means the caller made the lookup table already (e.g.
     ``sized_lookup`` once before a stream starts); it is joined as it is.
+
+    A lexicon above ``max_broadcast`` bytes is joined by a shuffle, of which only
+    words that the lexicon may hold are part, once a document with their number
+    (see ``lexicon_words``).
     """
     lex = lexicon.select(F.col(key).alias("_k"), *scores).withColumn("_hit", F.lit(1))
     if not presized:
-        lex = sized_lookup(lex)
+        lex, small = sized_table(lex, max_broadcast)
+        if not small:
+            words = lexicon_words(docs.select(doc_key, _tokens(docs, doc_key, text_col, tokens_col).alias("_t")), lex, doc_key)
+            hits = words.join(lex, "_k").groupBy(F.col(doc_key).alias("_doc")).agg(
+                *[F.try_divide(F.sum(F.col(s) * F.col("_n")).cast("double"), F.sum("_n")).alias(s) for s in scores])
+            return docs.select(doc_key).distinct().join(hits, F.col(doc_key).eqNullSafe(F.col("_doc")), "left").select(doc_key, *scores)
+        lex = F.broadcast(lex)
     tok = token_rows(docs, doc_key, text_col, tokens_col, word_col="_k", keep_empty=True)
     joined = tok.join(lex, "_k", "left")
     hits = F.sum("_hit")
@@ -62,6 +74,18 @@ def lexicon_features(docs: DataFrame, lexicon: DataFrame, scores: Sequence[str],
         *[F.try_divide(F.sum(s).cast("double"), hits).alias(s) for s in scores])
 
 
+def lexicon_words(docs: DataFrame, lexicon: DataFrame, doc_key: str, tokens: str = "_t", key: str = "_k",
+                  bits_per_word: int = 12) -> DataFrame:
+    """``(doc_key, _k, _n)``: the words of each document that the lexicon may
+    hold, with their numbers.  Words are counted inside their document's row and
+    looked up in a Bloom filter of the lexicon: every lexicon word passes, of the
+    others about one in 200 at 12 cells a word."""
+    bits = filter_bits(lexicon.count(), bits_per_word)
+    pages = word_filter(lexicon.select(F.col(key).alias("word")), bits)
+    words = docs.select(doc_key, F.inline(run_lengths(F.col(tokens), "_k", "_n")))
+    return may_hold(words, "_k", pages, bits)
+
+
 def lexicon_features_multi(docs: DataFrame, lexicons: dict, doc_key: str = "doc_id",
                            text_col: str = "text", key: str = "word") -> DataFrame:
     """Several word lexicons in one pass: ``lexicons`` maps a name to

@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..functions.numeric import round_to
 from ..operators import features as FE
 from ..operators import lexicon as LX
+from ..operators import moments as MO
 from ..operators.rank import global_position
 from ..session import scratch_path
 from ..sources import readers as RD
@@ -436,8 +437,8 @@ def _sql_feature_join_all() -> str:
 @register("feature_join_all", _sql_feature_join_all())
 def q_feature_join_all(spark, sf):
     """All five groups (emotion, VAD, readability, concept affect, attributes),
-    each written to the feature store, read back from it, joined on the author
-    and with the labels."""
+    each written to the feature store bucketed by author, joined from there
+    without an exchange, and then with the labels."""
     root = scratch_path(spark, "groups")
     words = _lexicon_groups(spark, sf).checkpoint()
     lex = q_text.read_affect_lexicon(D.hourglass_lexicon(spark, sf))
@@ -449,8 +450,8 @@ def q_feature_join_all(spark, sf):
         "attributes": docs.select(F.col("doc_id").alias("author_id"), "n_chars", (F.col("doc_id") % 2).alias("odd"),
                                   (F.col("doc_id") % 3).alias("third"))}
     for name, g in groups.items():
-        WR.write_features(g, root, name)
-    joined = FE.feature_join(RD.load_feature_groups(spark, root, list(groups)))
+        WR.write_bucketed(g, root, name, buckets=8)
+    joined = FE.feature_join(RD.open_bucketed(spark, root, list(groups)))
     lab = FE.label_join(joined, _labels_keyed(spark, sf).withColumn("author_id", F.col("author_id").cast("string")))
     long = FE.to_long(lab, "author_id", [c for c in joined.columns if c != "author_id"])
     return long.select("author_id", "feature", r6("value").alias("value"))
@@ -513,17 +514,26 @@ def q_src_concept_vectors_csv(spark, sf):
 
 
 @register("author_order_join",
-          f"WITH dl AS ({q_prep._SQL_DL}) SELECT (row_number() OVER (ORDER BY n_tokens, doc_id) - 1)::BIGINT AS ord, "
-          "doc_id, quality, toxic FROM dl")
+          f"WITH dl AS ({q_prep._SQL_DL}), o AS (SELECT (row_number() OVER (ORDER BY n_tokens, doc_id) - 1)::BIGINT AS ord, doc_id, quality, "
+          "toxic FROM dl) SELECT o.ord, o.doc_id, o.quality, o.toxic, i::BIGINT AS dim, round(e.embedding[i + 1]::DOUBLE, 6) AS value FROM o "
+          "JOIN embeddings e ON e.vec_id = o.ord, (SELECT unnest(range(0, 64)) AS i) ii")
 def q_author_order_join(spark, sf):
     """Author order after the length sort written as a side file
-    (``order,user``), read back and joined to the labels by key."""
+    (``order,user``) and read back; the embedding store, whose rows are known by
+    their position only, gets its authors from it, then the labels."""
     order = global_position(q_prep.doc_lengths(spark, sf).select("doc_id", "n_tokens"), ["n_tokens", "doc_id"], name="ord")
-    path = scratch_path(spark, "author_order")
+    path, root = scratch_path(spark, "author_order"), scratch_path(spark, "ordered_store")
     WR.write_csv(order.select(F.col("ord").alias("order"), F.col("doc_id").alias("user")), path)
-    side = spark.read.csv(path, header=True, schema="order bigint, user bigint")
-    return side.join(load(spark, sf, "labels"), side["user"] == F.col("doc_id")) \
-        .select(F.col("order").alias("ord"), "doc_id", "quality", "toxic")
+    emb = load(spark, sf, "embeddings").select(F.col("vec_id").alias("author_id"), F.lit(0).alias("chunk_no"), F.lit(1).alias("layer"),
+                                               F.col("embedding").alias("vec"))
+    for c, v in zip(WR.STORE_PARTITIONS, ("emb", "given", "mean", "head")):
+        emb = emb.withColumn(c, F.lit(v))
+    WR.write_embedding_store(emb, root)
+    side = spark.read.csv(path, header=True, schema="order bigint, user bigint").withColumnRenamed("order", "author_id")
+    vecs = WR.read_embeddings(spark, root, "emb", "given", "mean", "head", layer=1, authors=side)
+    named = vecs.join(side, "author_id").join(load(spark, sf, "labels"), F.col("user") == F.col("doc_id"))
+    return named.select(F.col("author_id").alias("ord"), "doc_id", "quality", "toxic", F.posexplode("vec").alias("dim", "value")).select(
+        "ord", "doc_id", "quality", "toxic", F.col("dim").cast("bigint").alias("dim"), r6(F.col("value").cast("double")).alias("value"))
 
 
 @register("union_corpora",
@@ -537,6 +547,27 @@ def q_union_corpora(spark, sf):
     return tag("a:").unionByName(tag("b:"))
 
 
+_SQL_MOMENTS = ("WITH st AS (SELECT event_type, avg(value) AS m, stddev_pop(value) AS s FROM events WHERE event_id % 3 <> 0 GROUP BY event_type) "
+                "SELECT e.event_id, e.event_type, round(CASE WHEN st.s IS NULL OR st.s = 0 THEN 0 ELSE coalesce((e.value - st.m) / st.s, 0) END, 6) AS z "
+                "FROM events e LEFT JOIN st USING (event_type) WHERE e.event_id % 3 = 0")
+
+
+@register("zscore_stored", _SQL_MOMENTS)
+def q_zscore_stored(spark, sf):
+    """Moments of each event type's value stored in two parts, as the log grows;
+    events that are in neither are scored with the merged moments."""
+    ev = load(spark, sf, "events").select("event_id", "event_type", "value")
+    types = sorted(r[0] for r in ev.select("event_type").distinct().limit(1000).collect())
+    wide = ev.select("event_id", *[F.when(F.col("event_type") == t, F.col("value")).alias(t) for t in types])
+    path = scratch_path(spark, "moments")
+    for part in (1, 2):
+        MO.store_moments(wide.filter(F.col("event_id") % 3 == part), types, path, f"p{part}")
+    z = MO.zscore_with(wide.filter(F.col("event_id") % 3 == 0), types, "event_id", MO.stored_moments(spark, path))
+    own = ev.filter(F.col("event_id") % 3 == 0).join(z, "event_id")
+    value = F.coalesce(*[F.when(F.col("event_type") == t, F.col(f"`{t}`")) for t in types])
+    return own.select("event_id", "event_type", r6(value).alias("z"))
+
+
 # ---- z-score ---------------------------------------------------------------------------
 
 def _sql_zscore_readability() -> str:

@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..functions.numeric import round_to
 from ..functions import readability as RD
 from ..operators import chunk as C
+from ..operators import encoder as E
 from ..operators import posts as P
 from ..operators import readability as R
 from ..operators.rank import global_position
@@ -205,6 +206,22 @@ def q_word_ids(spark, sf):
         "doc_id", F.col("pos").cast("bigint").alias("pos"), F.col("id").cast("bigint").alias("id"))
 
 
+@register("embed_ids", D.with_ctes(
+    vocab=_SQL_VOCAB, t=f"SELECT doc_id, {S.tokens('lower(text)')} AS toks FROM documents",
+    body="SELECT doc_id, unnest(toks) AS word FROM t",
+    ids=f"SELECT body.doc_id, coalesce(vocab.id, {C.UNK_ID}) AS id FROM body LEFT JOIN vocab ON body.word = vocab.word "
+        f"UNION ALL SELECT doc_id, {C.START_ID} FROM t UNION ALL SELECT doc_id, {C.END_ID} FROM t")
+    + "SELECT doc_id, layer::BIGINT AS layer, (d - 1)::BIGINT AS dim, round(avg((id * 7 * d + 13 * layer) % 101), 6) AS value "
+      "FROM ids, (SELECT unnest([1, 2]) AS layer) l, (SELECT unnest(range(1, 9)) AS d) dd GROUP BY 1, 2, 3")
+def q_embed_ids(spark, sf):
+    """Ids of whole documents through an encoder that takes id matrices with a
+    mask: batches of like lengths under a token budget, mean over the mask."""
+    docs = load(spark, sf, "documents").select("doc_id", T.tokenize(F.lower(F.col("text"))).alias("toks"))
+    ids = C.word_id_lists(docs, "toks", _vocab(spark, sf))
+    long = E.embed_ids(ids, "ids", "demo_ids").select("doc_id", "layer", F.posexplode("vec").alias("dim", "value"))
+    return long.select("doc_id", F.col("layer").cast("bigint").alias("layer"), F.col("dim").cast("bigint").alias("dim"), r6("value").alias("value"))
+
+
 # ---- readability -------------------------------------------------------------------
 
 _SQL_EASY = (f"SELECT DISTINCT {S.rd_letters_lower('w')} AS word FROM "

@@ -4,6 +4,7 @@ schema metadata (attribute lists, ARFF headers) is brought to the driver."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import code_letter_flag, normalize_author_id, tokenize, yes_no_flag
+from .writers import bucketed_name
 
 # Trait columns of the two labelled corpora and the letters of
 # the four-letter type code (position -> letter scored 1).
@@ -86,7 +88,7 @@ def read_lexicon(spark: SparkSession, path: str, fmt: str = "csv", key: str | No
             key = "_key"
     key = key or df.columns[0]
     scores = [c for c in df.columns if c != key]
-    return df.select(F.col(key).alias(key_out), *[F.col(c).cast("double").alias(c) for c in scores])
+    return df.select(F.col(f"`{key}`").alias(key_out), *[F.col(f"`{c}`").cast("double").alias(c) for c in scores])
 
 
 def read_concept_vectors(spark: SparkSession, path: str) -> DataFrame:
@@ -120,8 +122,8 @@ def read_arff(spark: SparkSession, path: str, min_fields: int = 10, sort: bool =
     Attribute names come from the ``@attribute`` lines (the type word stripped;
     a quoted name may hold spaces).  A folder may hold several relations: files
     that name attributes must name the same ones, and only the distinct headers
-    reach the driver.  Data lines are every other line with at least
-    ``min_fields`` comma fields; the first field is an id such as
+    reach the driver.  Data lines are every other line, but
+    for ``%`` comments, with at least ``min_fields`` comma fields; the first field is an id such as
     ``'dir\\\\id_12'``; non-numeric cells become NULL."""
     lines = spark.read.option("recursiveFileLookup", "true").text(path)
     head = lines.select("value", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_no")) \
@@ -134,7 +136,7 @@ def read_arff(spark: SparkSession, path: str, min_fields: int = 10, sort: bool =
     if len(names) < 2:
         raise ValueError(f"no attributes found in {path}")
     fields = F.split("value", ",")
-    data = lines.filter(~F.ltrim("value").startswith("@")).filter(F.size(fields) >= min_fields) \
+    data = lines.filter(~F.ltrim("value").rlike("^[@%]")).filter(F.size(fields) >= min_fields) \
         .select(fields.alias("_f"))
     cols = [normalize_author_id(F.col("_f")[0]).alias("idx")]
     cols += [F.trim(F.try_element_at("_f", F.lit(i + 1))).try_cast("double").alias(n)
@@ -187,13 +189,14 @@ def read_with_attributes(spark: SparkSession, data_path: str, attrs_path: str,
 # ---- feature groups --------------------------------------------------------------
 
 def read_feature_group(spark: SparkSession, root: str, group: str, key: str = "author_id",
-                       fmt: str = "csv") -> DataFrame:
+                       fmt: str = "csv", multi_line: bool = False) -> DataFrame:
     """One feature group written by ``write_features``; every non-key column
-    is double."""
+    is double.  Ids and numbers hold no line breaks, so a CSV file is read by
+    many tasks unless ``multi_line`` is set."""
     path = f"{root.rstrip('/')}/{group}"
-    df = spark.read.parquet(path) if fmt == "parquet" else spark.read.csv(path, **_CSV)
-    return df.select(F.col(key).alias("author_id"),
-                     *[F.col(c).try_cast("double").alias(c) for c in df.columns if c != key])
+    df = spark.read.parquet(path) if fmt == "parquet" else spark.read.csv(path, **{**_CSV, "multiLine": multi_line})
+    return df.select(F.col(f"`{key}`").alias("author_id"),
+                     *[F.col(f"`{c}`").try_cast("double").alias(c) for c in df.columns if c != key])
 
 
 def load_feature_groups(spark: SparkSession, root: str, groups: Sequence[str], key: str = "author_id",
@@ -201,6 +204,22 @@ def load_feature_groups(spark: SparkSession, root: str, groups: Sequence[str], k
     return {g: read_feature_group(spark, root, g, key, fmt) for g in groups}
 
 
+def open_bucketed(spark: SparkSession, root: str, groups: Sequence[str]) -> dict[str, DataFrame]:
+    """Feature groups written by ``writers.write_bucketed``, by any session: the
+    catalog learns their buckets from the line beside the data."""
+    out = {}
+    for g in groups:
+        name = bucketed_name(root, g)
+        if not spark.catalog.tableExists(name):
+            said = spark.read.schema("buckets int, schema string").json(f"{root.rstrip('/')}/_{g}_buckets").first()
+            cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in T.StructType.fromJson(json.loads(said["schema"])))
+            place = f"{root.rstrip('/')}/{g}".replace("'", "\\'")
+            spark.sql(f"CREATE TABLE {name} ({cols}) USING parquet CLUSTERED BY (author_id) SORTED BY (author_id) "
+                      f"INTO {said['buckets']} BUCKETS LOCATION '{place}'")
+        out[g] = spark.table(name)
+    return out
+
+
 # ---- sub-document count lists ----------------------------------------------------
 
 def read_count_list(spark: SparkSession, path: str, fmt: str = "lines") -> DataFrame:
