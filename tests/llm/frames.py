@@ -16,7 +16,9 @@ SCHEMA = T.StructType([
     # names that operators use for their own columns
     *[T.StructField(n, T.StringType()) for n in (
         "score", "fp", "row_hash", "component_id", "_bin", "size", "target", "_u", "shard", "slot", "_slot", "_hash",
-        "possible", "text_sha256", "edits", "item_id", "bucket", "n", "y", "id", "root", "_mix_size", "kept")],
+        "possible", "text_sha256", "edits", "item_id", "bucket", "n", "y", "id", "root", "_mix_size", "kept",
+        "_id", "_row_hash", "_gone_id", "_gone_sha", "_marked", "_marked_id", "_marked_hash", "_sha", "_doc", "_h", "_root",
+        "_keep_id", "_keep_hash", "doc", "h", "conv", "_pid", "wins")],
 ])
 
 

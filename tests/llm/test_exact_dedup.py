@@ -46,3 +46,10 @@ def test_drop_keeps_all_columns(spark):
     out = E.drop_exact_duplicates(df)
     assert out.columns == df.columns
     assert {r["doc_id"] for r in out.collect()} == {2, 5, 7, None, 8, 9, 4}
+
+
+def test_filter_keeps_columns_of_any_name(spark):
+    rows = frames.awkward(spark)
+    out = E.drop_exact_duplicates(rows)
+    assert out.columns == rows.columns and out.filter("text like 'alpha%'").count() == 2
+    assert E.drop_exact_duplicates(frames.empty(spark)).count() == 0

@@ -110,3 +110,10 @@ def test_one_row_of_each_group_stays(spark):
     least = {r: min((ROWS[i][0] for i in range(len(ROWS)) if root[i] == r and ROWS[i][0] is not None), default=None)
              for r in root}
     assert got == Counter(least.values())
+
+
+def test_filter_keeps_columns_of_any_name(spark):
+    rows = frames.awkward(spark)
+    out = S.drop_near_duplicates(rows)
+    assert out.columns == rows.columns and out.count() < len(frames.ROWS)
+    assert S.drop_near_duplicates(frames.empty(spark)).count() == 0

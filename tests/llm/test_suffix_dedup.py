@@ -9,6 +9,11 @@ from textprofile.llm import suffix_dedup as sd
 from . import frames
 
 
+@pytest.fixture(autouse=True)
+def without_pauses(monkeypatch):
+    monkeypatch.setattr(sd, "_free", lambda df: None)
+
+
 def brute(rows, threshold):
     """rows in document order: for each the kept bytes and the number of removed runs."""
     seen, out = set(), []

@@ -235,7 +235,8 @@ def _holds(shared: Broadcast) -> Callable:
 def drop_contaminated(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id",
                       item_text: str = "text", similarity: float = 0.8, recall: float = 0.999) -> DataFrame:
     """The rows of ``docs`` that hold no item, unchanged; only the text visits
-    Python, and no row moves."""
+    Python, and no row moves.  Null and empty texts hold nothing; repeated rows
+    stay or go together; empty tables change nothing; columns may have any names."""
     for index in _blocks(bench, item_col, item_text, similarity=similarity, recall=recall):
         holds = F.pandas_udf(_holds(docs.sparkSession.sparkContext.broadcast(index)), "boolean")
         docs = bounded_batches(docs).filter(~holds(F.col(f"`{text_col}`").cast("string")))

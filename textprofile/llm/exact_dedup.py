@@ -79,13 +79,15 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, every column kept.  Only the verdicts of
-    dropped rows are joined back, by id and digest."""
-    sha = free_name(docs, "_sha")
+    """The rows of ``docs`` that stay, every column kept, whatever its name.  Only
+    the verdicts of dropped rows are joined back, by id and digest.  Null and
+    empty texts are equal; rows alike in id and text stay or go together; an
+    empty table stays empty."""
+    sha, gid, gsha = (free_name(docs, n) for n in ("_sha", "_gone_id", "_gone_sha"))
     gone = exact_duplicates(docs, id_col, text_col).filter(~F.col("kept")).select(
-        F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_sha")).distinct()
+        F.col("doc_id").alias(gid), F.col("text_sha256").alias(gsha)).distinct()
     out = docs.withColumn(sha, F.sha2(whole(f"`{text_col}`"), 256))
-    return out.join(gone, (F.col("_gone_sha") == F.col(sha)) & F.col("_gone_id").eqNullSafe(F.col(f"`{id_col}`")),
+    return out.join(gone, (F.col(gsha) == F.col(sha)) & F.col(gid).eqNullSafe(F.col(f"`{id_col}`")),
                     "left_anti").drop(sha)
 
 

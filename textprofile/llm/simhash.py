@@ -169,7 +169,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
                          radius: int = 2) -> DataFrame:
     """One row of every component, with the columns of ``docs``: the one with
     the smallest id (of rows with that id, or without any, the smallest text
-    hash).  Of rows alike in both, one."""
+    hash).  Of rows alike in both, one.  Null and empty texts are one component;
+    an empty table stays empty; columns may have any names."""
     rows = simhash_components(docs, id_col, text_col, shingle, radius)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash")).alias("k")
     keep = materialize(rows.groupBy("root").agg(first, F.count("*").alias("n")).filter("n > 1").select(
@@ -178,15 +179,16 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     j = rows.join(keep, F.col("root") == F.col("_root"))
     kept = F.col("doc_id").eqNullSafe(F.col("_keep_id")) & (F.col("row_hash") == F.col("_keep_hash"))
     marked = j.groupBy("doc_id", "row_hash").agg(F.max(kept).alias("kept"), F.count("*").alias("n")).filter("not kept or n > 1")
-    marked = materialize(marked.select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_row_hash"), "kept"), "marked")
-    h, hit = free_name(docs, "_hash"), free_name(docs, "_marked")
+    # names that no column of the documents has
+    h, hit, mid, mhash = (free_name(docs, n) for n in ("_hash", "_marked", "_marked_id", "_marked_hash"))
+    marked = materialize(marked.select(F.col("doc_id").alias(mid), F.col("row_hash").alias(mhash), "kept"), "marked")
     bits = filter_bits(marked.count())
     cell = lambda i, x: F.pmod(F.xxhash64(i, x), F.lit(bits)) + 1
-    bitmaps = materialize(bitmaps_of(marked.select(cell("_id", "_row_hash").alias("cell"))), "bitmaps")
+    bitmaps = materialize(bitmaps_of(marked.select(cell(F.col(mid), F.col(mhash)).alias("cell"))), "bitmaps")
     d = docs.withColumn(h, F.xxhash64(F.col(f"`{text_col}`")))
     d = with_bit(d, cell(F.col(f"`{id_col}`"), F.col(h)), bitmaps, hit)
     # rows that the filter doesn't know stay where they are; only the others move
-    on = F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.col(h) == F.col("_row_hash"))
+    on = F.col(f"`{id_col}`").eqNullSafe(F.col(mid)) & (F.col(h) == F.col(mhash))
     once = d.filter(hit).join(marked.filter("kept"), on, "left_semi").dropDuplicates([id_col, h])
     free = d.filter(hit).join(marked, on, "left_anti")
     return d.filter(~F.col(hit)).unionByName(free).unionByName(once).drop(h, hit)

@@ -333,7 +333,9 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
 
 def drop_toxic(docs: DataFrame, index: Index, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, unchanged; only the
-    text visits Python, and no row moves."""
+    text visits Python, and no row moves.  Null and empty texts score as in
+    ``score``; repeated rows stay or go together; an empty table stays empty;
+    columns may have any names."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
