@@ -49,7 +49,7 @@ def test_drop_keeps_all_columns(spark):
 
 
 def test_filter_keeps_columns_of_any_name(spark):
-    rows = frames.awkward(spark)
+    rows = awkward(spark)
     out = E.drop_exact_duplicates(rows)
     assert out.columns == rows.columns and out.filter("text like 'alpha%'").count() == 2
-    assert E.drop_exact_duplicates(frames.empty(spark)).count() == 0
+    assert E.drop_exact_duplicates(empty(spark)).count() == 0

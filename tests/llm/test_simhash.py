@@ -113,7 +113,7 @@ def test_one_row_of_each_group_stays(spark):
 
 
 def test_filter_keeps_columns_of_any_name(spark):
-    rows = frames.awkward(spark)
+    rows = awkward(spark)
     out = S.drop_near_duplicates(rows)
-    assert out.columns == rows.columns and out.count() < len(frames.ROWS)
-    assert S.drop_near_duplicates(frames.empty(spark)).count() == 0
+    assert out.columns == rows.columns and out.count() < len(ROWS)
+    assert S.drop_near_duplicates(empty(spark)).count() == 0

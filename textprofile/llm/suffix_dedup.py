@@ -21,7 +21,9 @@ that are settled from the outset are not sorted:
    this position.  A gram met once: its windows are unique.  An equal context
    met earlier: its windows all start earlier.
 2. What is left, windows of positions whose gram is shared but whose context is
-   not (the edges of repeats), is ranked by doubling from ``start`` bytes on.
+   not (the edges of repeats), is ranked by doubling from ``start`` bytes on
+   (half of the threshold unless given: smaller starts give more rounds, of
+   which the first ones hardly settle anything here).
 
 Nothing is capped; a hot gram only makes more windows of the second kind.
 Initial ranks are 64-bit fingerprints of their bytes, contexts have one more;
@@ -75,7 +77,7 @@ def names(data: np.ndarray, length: int) -> np.ndarray:
                 m = len(data) - done - c + 1
                 out, done = out[:m] * np.uint64(pow(_BASE, c, 1 << 64)) + h[done:done + m], done + c
         if 2 * c > length:
-            return _mix(out)
+            return out
         h = h[:-c] * np.uint64(pow(_BASE, c, 1 << 64)) + h[c:]
         c *= 2
 
@@ -98,7 +100,8 @@ def sampled(data: np.ndarray, threshold: int, gram: int) -> tuple[np.ndarray, ..
         lo, hi = max(0, at - threshold), min(n, at + SEGMENT + 2 * threshold)
         h = names(data[lo:hi], gram)
         own = h[at - lo:min(at + SEGMENT + width - 1, n - gram + 1) - lo]
-        keys = (_mix(own) & ~_LOW) | np.arange(len(own), dtype=np.uint64)
+        keys = own * np.uint64(_BASE) & ~_LOW
+        keys |= np.arange(len(own), dtype=np.uint64)
         chosen = (_sliding_min(keys, width) & _LOW).astype(np.int64) + at
         first = np.flatnonzero(np.append(True, chosen[1:] != chosen[:-1]))
         many, place = np.diff(np.append(first, len(chosen))), chosen[first]
@@ -413,7 +416,7 @@ def repeated_spans(rows: DataFrame, threshold: int = THRESHOLD, gram: int | None
     (doc, h, text) with unique (doc, h)."""
     if not 2 <= threshold < 1 << 15:
         raise ValueError("a threshold of 2 to 32,767 bytes")
-    gram, start = gram or max(1, threshold * 5 // 8), start or -(-threshold // 4)
+    gram, start = gram or max(1, threshold * 5 // 8), start or -(-threshold // 2)
     lengths = lengths_of(threshold, start)
     settled = materialize(_settle(_ranges(_sampled_rows(rows, threshold, gram), "g", "c")), "settled")
     _free(rows)
