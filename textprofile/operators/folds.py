@@ -12,7 +12,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import sized_lookup
 from .rank import global_position
 
 
@@ -54,7 +53,8 @@ def stratified_folds(df: DataFrame, label: str, order: str, k: int = 10, by: Seq
         F.min(order).alias("_first"), F.count(F.lit(1)).alias("_n"), F.min("_p").alias("_start"))
     w = Window.partitionBy(*names[:-1]).orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.withColumn("_o", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    stats = sized_lookup(stats.select(*names, "_start", _fold_ends(F.col("_n"), F.col("_o"), k).alias("_ends")))
+    # one row a (group, class): joined as it is, the planner sees its size at run time
+    stats = stats.select(*names, "_start", _fold_ends(F.col("_n"), F.col("_o"), k).alias("_ends"))
     on = None
     for c, s in zip([*by, label], names):
         same = ranked[c].eqNullSafe(stats[s])
@@ -101,7 +101,7 @@ def fold_counts(folded: DataFrame, label: str, k: int, by: Sequence[str] = (), f
                                             F.sum(F.col(label).cast("bigint")).alias("pos_test"))
     if by:
         tot = folded.groupBy(*by).agg(F.count(F.lit(1)).alias("_tot"))
-        joined = per.join(sized_lookup(tot), by)
+        joined = per.join(tot, by)  # one row a group
     else:
         joined = per.withColumn("_tot", F.lit(folded.count()))
     return joined.select(*by, fold_col, (F.col("_tot") - F.col("n_test")).alias("n_train"), "n_test", "pos_test")

@@ -221,15 +221,20 @@ def save_model(model, root: str, kind: str, trait: str) -> str:
     return path
 
 
+def _exists(path: str) -> bool:
+    sc = SparkSession.getActiveSession().sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(sc._jsc.hadoopConfiguration()).exists(p)
+
+
 def load_models(root: str, kind: str, traits: Sequence[str]) -> dict[str, PipelineModel]:
     """One model per trait; a missing model aborts with a clear message."""
     out = {}
     for t in traits:
         path = model_path(root, kind, t)
-        try:
-            out[t] = PipelineModel.load(path)
-        except Exception as e:  # noqa: BLE001
-            raise FileNotFoundError(f"no saved {kind} model for trait {t!r} at {path}") from e
+        if not _exists(path):
+            raise FileNotFoundError(f"no saved {kind} model for trait {t!r} at {path}")
+        out[t] = PipelineModel.load(path)  # a model that is there but can't be read says why
     return out
 
 

@@ -257,6 +257,28 @@ def q_src_arff(spark, sf):
     return RD.read_arff(spark, path).withColumnRenamed("n of chars", "n_chars")
 
 
+@register("src_arff_sorted", "SELECT (row_number() OVER (ORDER BY l.doc_id) - 1)::BIGINT AS pos, l.doc_id::BIGINT AS idx FROM labels l "
+          "JOIN documents d ON l.doc_id = d.doc_id WHERE l.doc_id % 11 <> 0")
+def q_src_arff_sorted(spark, sf):
+    """The relation sorted by id: where each id stands in the rows' own order."""
+    path = scratch_path(spark, "arff_sorted")
+    attrs = [("filename", "string"), ("quality", "numeric"), ("toxic", "numeric"), ("'n of chars'", "numeric")] + \
+        [(f"a{k}", "numeric") for k in range(_ARFF_EXTRA)]
+    WR.write_arff(spark, _arff_rows(spark, sf).repartition(5, "value"), path, "labels", attrs)
+    rows = RD.read_arff(spark, path, sort=True).select("idx", F.monotonically_increasing_id().alias("_row"))
+    return global_position(rows.checkpoint(), ["_row"], name="pos").select("pos", F.col("idx").cast("bigint").alias("idx"))
+
+
+@register("strict_cast", D.with_ctes(bench_words=D.SQL_BENCH_WORDS, lex=D.SQL_HOURGLASS) + " UNION ALL ".join(
+    f"SELECT concept, '{a}' AS affect, CAST({a} AS DOUBLE) AS value FROM lex" for a in D.AFFECT))
+def q_strict_cast(spark, sf):
+    """Affect values kept as text become numbers by a cast that would raise."""
+    path = scratch_path(spark, "affect_text")
+    D.hourglass_lexicon(spark, sf).write.parquet(path)
+    lex = RD.read_concept_affect(spark, path, fmt="parquet", key="concept", drop=D.AFFECT_DESCRIPTIVE)
+    return lex.unpivot(["concept"], list(D.AFFECT), "affect", "value")
+
+
 _ATTR_DROP = ("drop_a", "drop_b")
 
 

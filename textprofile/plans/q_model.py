@@ -123,6 +123,26 @@ def q_experiment_log(spark, sf):
                        F.col("batch_size").cast("bigint").alias("batch_size"))
 
 
+@register("best_saved_scored", _SQL_RULE_ACC +
+          ", b AS (SELECT trait, fold, row_number() OVER (PARTITION BY trait ORDER BY acc DESC, fold ASC) AS rn FROM acc) "
+          "SELECT l.doc_id, b.trait, b.fold::BIGINT AS fold, round(1 / (1 + exp(-(0.1 + (0.1 * b.fold - 0.4) * (l.doc_id % 7) + "
+          "(0.05 * b.fold - 0.2) * (l.doc_id % 5)))), 6) AS probability FROM labels l, b WHERE b.rn = 1")
+def q_best_saved_scored(spark, sf):
+    """Each trait's model of its best fold saved with its layer, loaded from the
+    registry and applied.  Every fold's model has weights of its own, so the
+    scores tell which one was saved."""
+    traits, root = ["quality", "toxic"], scratch_path(spark, "best_saved")
+    models = {(t, f): M.LinearScorer([0.1 * f - 0.4, 0.05 * f - 0.2], 0.1) for t in traits for f in range(1, 11)}
+    best = M.save_best(_accuracy(spark, sf), models, root, "given", layer=3)
+    for t in traits:
+        M.check_layer(spark, root, "given", t, 3)
+    x = load(spark, sf, "labels").select("doc_id", array_to_vector(F.array(
+        (F.col("doc_id") % 7).cast("double"), (F.col("doc_id") % 5).cast("double"))).alias("features"))
+    out = M.score(x, M.load_models(root, "given", traits))
+    fold = F.element_at(F.create_map(*[F.lit(v) for kv in sorted(best.items()) for v in kv]), F.col("trait"))
+    return out.select("doc_id", "trait", fold.cast("bigint").alias("fold"), r6("probability").alias("probability"))
+
+
 # ---- probabilities -------------------------------------------------------------------
 
 # two scores of the whole vector: the sums of its even and of its odd places

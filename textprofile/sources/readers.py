@@ -126,8 +126,10 @@ def read_arff(spark: SparkSession, path: str, min_fields: int = 10, sort: bool =
     for ``%`` comments, with at least ``min_fields`` comma fields; the first field is an id such as
     ``'dir\\\\id_12'``; non-numeric cells become NULL."""
     lines = spark.read.option("recursiveFileLookup", "true").text(path)
-    head = lines.select("value", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_no")) \
-        .filter(F.lower(F.ltrim("value")).startswith("@attribute"))
+    # headers stand at the files' starts: of later splits nothing is looked at
+    head = lines.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"),
+                        F.monotonically_increasing_id().alias("_no")) \
+        .filter((F.col("_at") == 0) & F.lower(F.ltrim("value")).startswith("@attribute"))
     headers = head.groupBy("_file").agg(F.transform(F.array_sort(F.collect_list(F.struct("_no", "value"))),
                                                     lambda x: x["value"]).alias("h")).select("h").distinct().limit(2).collect()
     if len(headers) > 1:
