@@ -42,7 +42,7 @@ def test_every_kind_of_model(spark, rows):
         total = {r.id: r.s for r in phi.groupBy("id").agg(F.sum("phi").alias("s")).collect()}
         assert all(total[i] == pytest.approx(score(x[i:i + 1])[0] - score(x[9:10])[0], abs=1e-9) for i in total) and len(total) == 4, kind
         phi = {(r.id, r.feature): r for r in X.sampled_attribution(model, head, rows, "id", "features", D, samples=40, errors=True).collect()}
-        far = {(r.id, r.feature): r for r in X.sampled_attribution(model, head, rows, "id", "features", D, samples=600, seed=5, errors=True).collect()}
+        far = {(r.id, r.feature): r for r in X.sampled_attribution(model, head, rows, "id", "features", D, samples=240, seed=5, errors=True).collect()}
         off = [abs(phi[k].phi - far[k].phi) / np.hypot(phi[k].se, far[k].se) for k in phi if phi[k].se > 1e-12]
         assert np.mean(np.array(off) < 2.5) > 0.85, kind
         assert np.mean([far[k].se for k in far]) < np.mean([phi[k].se for k in phi])

@@ -323,7 +323,7 @@ def _sql_lexicon_agg(lex_cte, scores, name="agg"):
 def q_feature_sink_roundtrip(spark, sf):
     root = scratch_path(spark, "features")
     WR.write_features(_vad_features(spark, sf), root, "vad")
-    back = RD.load_feature_groups(spark, root, ["vad"])["vad"]
+    back = RD.load_feature_groups(spark, root, ["vad"], multi_line=False)["vad"]  # ids are numbers
     return back.select("author_id", *[r6(x).alias(x) for x in D.VAD])
 
 

@@ -191,10 +191,10 @@ def read_with_attributes(spark: SparkSession, data_path: str, attrs_path: str,
 # ---- feature groups --------------------------------------------------------------
 
 def read_feature_group(spark: SparkSession, root: str, group: str, key: str = "author_id",
-                       fmt: str = "csv", multi_line: bool = False) -> DataFrame:
+                       fmt: str = "csv", multi_line: bool = True) -> DataFrame:
     """One feature group written by ``write_features``; every non-key column
-    is double.  Ids and numbers hold no line breaks, so a CSV file is read by
-    many tasks unless ``multi_line`` is set."""
+    is double.  Without ``multi_line`` a CSV file is read by many tasks; its ids
+    then must hold no line break."""
     path = f"{root.rstrip('/')}/{group}"
     df = spark.read.parquet(path) if fmt == "parquet" else spark.read.csv(path, **{**_CSV, "multiLine": multi_line})
     return df.select(F.col(f"`{key}`").alias("author_id"),
@@ -202,8 +202,8 @@ def read_feature_group(spark: SparkSession, root: str, group: str, key: str = "a
 
 
 def load_feature_groups(spark: SparkSession, root: str, groups: Sequence[str], key: str = "author_id",
-                        fmt: str = "csv") -> dict[str, DataFrame]:
-    return {g: read_feature_group(spark, root, g, key, fmt) for g in groups}
+                        fmt: str = "csv", multi_line: bool = True) -> dict[str, DataFrame]:
+    return {g: read_feature_group(spark, root, g, key, fmt, multi_line) for g in groups}
 
 
 def open_bucketed(spark: SparkSession, root: str, groups: Sequence[str]) -> dict[str, DataFrame]:
