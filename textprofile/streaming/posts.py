@@ -1,10 +1,10 @@
 """The most recent posts of every author, kept up to date from a stream.
 
 The state is a table of at most ``n`` posts an author, in versions numbered by
-micro-batch.  A batch is first cut to its own ``n`` newest posts an author (a
-partial limit before the shuffle, so a prolific author floods no task), joined
-with the last version before it, cut again and written as the version of its
-number.  Posts may come late and in any order: only their times count.
+micro-batch.  A batch and the last version before it are cut to the ``n`` newest
+posts an author (first in each task, before the shuffle, so a prolific author
+floods none) and written as the version of the batch's number.  Posts may come
+late and in any order: only their times count.
 
 A replayed batch starts from the same earlier version and replaces its own, so
 it changes nothing; a version counts once its write was committed.  Two versions
@@ -49,9 +49,11 @@ class RecentPostsState:
         and of the batch."""
         cols = list(dict.fromkeys([self.author, self.ts, self.tiebreak, self.body]))
         before = [v for v in self.versions() if v < batch_id]
-        posts = self._latest(batch.select(*cols))
+        posts = batch.select(*cols)
         if before:
-            posts = self._latest(posts.unionByName(self._at(before[-1])))
+            posts = posts.unionByName(self._at(before[-1]))
+        # one shuffle: each task cuts what it has read to n posts an author before it
+        posts = self._latest(posts)
         posts.write.mode("overwrite").parquet(f"{self.root}/v{batch_id}")
         fs, _ = self._files()
         for v in before[:-1]:
