@@ -602,7 +602,8 @@ def q_cv_svm_psycho(spark, sf):
     df, traits = _vad_folds(spark, sf)
     gamma = M.gamma_scale(df, "features").first()["gamma"]
     df = df.withColumn("features", array_to_vector("features")).checkpoint()
-    return M.cross_validate(df, traits, lambda n, t: M.rbf_svm(2, gamma, n_components=64, seed=0, max_iter=20), k=10)
+    # reg = 1 / (n C) with C = 1, as for the logistic model
+    return M.cross_validate(df, traits, lambda n, t: M.rbf_svm(2, gamma, n_components=64, seed=0, reg=1.0 / n, max_iter=20), k=10)
 
 
 @register("cv_mlp_psycho")
