@@ -3,7 +3,9 @@
 Blocks: an accepted notice holds all key words of its template, so the places
 of one of them, its anchor, lead to every notice.  Neighbouring anchors share a
 block; a block reaches as many words to both sides as the longest notice may
-have, and its anchors span as many at most, so its size is bounded.
+have, and its anchors span as many at most, so its size is bounded.  A block
+without the key words, or without as many words as the allowed edits must leave,
+of any template of its anchors is no candidate.
 
 Compression: a block's words (lower case, single spaces) are compressed alone and
 with every template as zstandard raw-content dictionary, under the same
@@ -184,6 +186,12 @@ class Matcher:
             seen += [self.saved(block, [i])[i] for text in beside for block in (f"{text} {own}", f"{own} {text}")]
         return MARGIN * min(seen) if min(seen) >= NOISE else float("-inf")
 
+    def _may_hold(self, i: int, words: set[str]) -> bool:
+        """A block of these words can hold an accepted notice of template i: its
+        key words, and as many of its words as the edits must leave."""
+        p = self.patterns[i]
+        return words.issuperset(self.templates[i].keys) and sum(w in words for w in p.words) >= p.n - self.limits[i]
+
     def saved(self, block: str, among: Sequence[int] | None = None) -> dict[int, int]:
         """Bytes that knowing each template saves on a block of words.  The same
         words go before every block: the compressor codes few literals otherwise
@@ -232,7 +240,12 @@ class Matcher:
         plain = [w for w, _, _ in words]
         best: dict[tuple[int, int, int], tuple[int, float]] = {}
         for places in self._blocks(plain):
-            got = self.saved(" ".join(plain[max(0, places[0] - self.most):places[-1] + self.most]))
+            block = plain[max(0, places[0] - self.most):places[-1] + self.most]
+            if self.ranked:
+                here = set(block)
+                if not any(self._may_hold(i, here) for i in {i for p in places for i in self.anchors[plain[p]]}):
+                    continue  # an ordinary word that happens to be an anchor
+            got = self.saved(" ".join(block))
             chosen = {i for i, n in got.items() if n >= self.least[i]} if self.ranked else set(got)
             for p in places:
                 for i in self.anchors[plain[p]]:
