@@ -1,7 +1,8 @@
 """Column -> Column text functions: cleaners, tokenizer, sentence split, parsers.
 
-Every function returns a built-in Spark expression (JVM side, no Python on the
-data path).  The regular expressions avoid ``\\s``/``\\w``/``\\b`` where Java and
+Cleaners and ``tokenize_batches`` run Arrow's kernels over batches of rows (RE2,
+each replacement one compiled scan); every other function returns a built-in
+Spark expression.  The regular expressions avoid ``\\s``/``\\w``/``\\b`` where Java and
 RE2 disagree, so the same patterns can be replayed by a SQL oracle.
 """
 
@@ -10,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import batches as B
+
 # ---------------------------------------------------------------------------
 # Fixed values.
 # Whitespace: every code point Python's str.split() treats as whitespace.
@@ -37,6 +40,11 @@ def _complement_class(ranges, top=0x10FFFF) -> str:
 # written as the negated complement because that is the fast form in Java.
 NON_WS = "[" + _complement_class(WHITESPACE_RANGES) + "]"
 WS = "[^" + _complement_class(WHITESPACE_RANGES) + "]"
+# Whitespace other than the blank, and the runs that a collapse changes: a single
+# blank is by far the commonest separator and stays as it is.
+_NOT_BLANK = tuple((a, min(b, 0x1F)) if b == 0x20 else (a, b) for a, b in WHITESPACE_RANGES)
+OTHER_SPACE = "[^" + _complement_class(_NOT_BLANK) + "]"
+SPACE_RUN = "(?: |" + OTHER_SPACE + ")" + WS + "+|" + OTHER_SPACE
 
 # Social-text patterns (links, mentions, hashtags, reserved words, emoji,
 # smileys, numbers), applied in this order by clean_social.
@@ -54,7 +62,7 @@ SOCIAL_ORDER = ("urls", "mentions", "hashtags", "reserved", "emoji", "smileys",
 LINK = "http" + NON_WS + "+"
 POST_SEPARATOR = r"\|\|\|"
 STRICT_KEEP = r"[^a-zA-Z.?!,]"
-STRICT_ALLOWED = r"[a-zA-Z.?!,]"
+STRICT_OTHER = r"[^a-zA-Z.?!, ]+"
 ISOLATED_LETTER = WS + "+[a-zA-HJ-Z]" + WS + "+"
 SENTENCE_END = r"([.?!])"
 TRUE_WORDS = ("true", "t", "1", "yes", "y")
@@ -66,8 +74,19 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+_COLLAPSE = (SPACE_RUN, " ")
+
+
 def collapse_ws(col) -> Column:
-    return F.regexp_replace(_c(col), WS + "+", " ")
+    return B.replace_all(_c(col), [_COLLAPSE])
+
+
+def _social_steps(names=SOCIAL_ORDER) -> list[tuple[str, str]]:
+    out = []
+    for name in names:
+        # adjacent hits of these two share a separator
+        out += [(SOCIAL_PATTERNS[name], " ")] * (2 if name in ("reserved", "numbers") else 1)
+    return [*out, _COLLAPSE, ("", " ")]
 
 
 def clean_social(col, urls=True, mentions=True, hashtags=True, reserved=True,
@@ -76,47 +95,40 @@ def clean_social(col, urls=True, mentions=True, hashtags=True, reserved=True,
     ``SOCIAL_ORDER``; result is whitespace-collapsed and trimmed."""
     flags = dict(urls=urls, mentions=mentions, hashtags=hashtags, reserved=reserved,
                  emoji=emoji, smileys=smileys, numbers=numbers)
-    out = _c(col)
-    for name in SOCIAL_ORDER:
-        if flags[name]:
-            out = F.regexp_replace(out, SOCIAL_PATTERNS[name], " ")
-            if name in ("reserved", "numbers"):  # adjacent hits share a separator
-                out = F.regexp_replace(out, SOCIAL_PATTERNS[name], " ")
-    return F.trim(collapse_ws(out))
+    return B.replace_all(_c(col), _social_steps([n for n in SOCIAL_ORDER if flags[n]]))
 
 
 def clean_text(col, social: bool = True) -> Column:
     """Corpus cleaner: social clean, links -> space, collapse whitespace, then
     the post separator ``|||`` -> one space (after the collapse, so
     ``a ||| b`` keeps three spaces)."""
-    out = clean_social(col) if social else _c(col)
-    out = F.regexp_replace(out, LINK, " ")
-    out = collapse_ws(out)
-    return F.regexp_replace(out, POST_SEPARATOR, " ")
+    steps = [(LINK, " "), _COLLAPSE, (POST_SEPARATOR, " ")]
+    return B.replace_all(_c(col), (_social_steps() if social else []) + steps)
+
+
+# Letters and ``.?!,`` kept, every run of other characters -> one space (blanks
+# among them are left in place, so that only the odd ones cost a replacement).
+_STRICT_CHARS = [(STRICT_OTHER, " "), (" {2,}", " ")]
 
 
 def clean_strict(col, social: bool = True) -> Column:
     """Feature cleaner: keep letters and ``.?!,``, drop isolated letters except
     ``I`` (non-overlapping, left to right), collapse whitespace."""
-    out = clean_social(col) if social else _c(col)
-    out = F.regexp_replace(out, LINK, " ")
-    out = keep_strict_chars(out)
-    out = F.regexp_replace(out, ISOLATED_LETTER, " ")
-    return collapse_ws(out)
+    steps = [(LINK, " "), *_STRICT_CHARS, (ISOLATED_LETTER, " "), _COLLAPSE]
+    return B.replace_all(_c(col), (_social_steps() if social else []) + steps)
 
 
 def keep_strict_chars(col) -> Column:
     """Letters and ``.?!,`` kept, every other run of characters -> one space.
 
     Same tokens and separators as replacing each other character by a space
-    (only whitespace run lengths differ, which the following steps ignore);
-    extracting the allowed runs is several times faster than replacing the
-    many disallowed ones.  Sentinel letters around the input keep a leading /
-    trailing separator and let the input be referenced once (an input
-    referenced several times would be recomputed for each reference)."""
-    framed = F.concat(F.lit("a"), _c(col), F.lit("a"))
-    runs = F.array_join(F.regexp_extract_all(framed, F.lit(STRICT_ALLOWED + "+"), 0), " ")
-    return F.regexp_replace(runs, "^a|a$", "")
+    (only whitespace run lengths differ, which the following steps ignore)."""
+    return B.replace_all(_c(col), _STRICT_CHARS)
+
+
+def tokenize_batches(col) -> Column:
+    """``tokenize`` over Arrow batches, for kernels that take the tokens on."""
+    return B.tokens(_c(col), OTHER_SPACE)
 
 
 def tokenize(col) -> Column:
