@@ -39,3 +39,11 @@ def test_clean_text_is_one_pass_over_batches(spark):
         return F.regexp_replace(collapsed(F.regexp_replace(c, T.LINK, " ")), T.POST_SEPARATOR, " ")
     for social in (True, False):
         same(spark, T.clean_text("s", social=social), by_expressions(social, rest))
+
+
+def test_clean_strict_is_one_pass_over_batches(spark):
+    def rest(c, collapsed):
+        c = F.regexp_replace(F.regexp_replace(c, T.LINK, " "), T.STRICT_KEEP, " ")
+        return collapsed(F.regexp_replace(c, T.ISOLATED_LETTER, " "))
+    for social in (True, False):
+        same(spark, T.clean_strict("s", social=social), by_expressions(social, rest))
