@@ -2,9 +2,14 @@
 
 import random
 
+import numpy as np
+import pytest
+
 from pyspark.sql import functions as F
 
+from textprofile.functions import batches as B
 from textprofile.functions import text as T
+from textprofile.operators import vectors as V
 
 PIECES = ["RT", "FAV:", "12", "-3.5", "@bob:", "#x", ":)", "<3", "http://a.b/c", "www.x.y", "|||", "é", "I", "a", "b", "Hi,", "\U0001F600", "word"]
 SPACES = [" ", " ", "  ", "\t", "\n", "　", "\x1c ", "  "]
@@ -47,3 +52,21 @@ def test_clean_strict_is_one_pass_over_batches(spark):
         return collapsed(F.regexp_replace(c, T.ISOLATED_LETTER, " "))
     for social in (True, False):
         same(spark, T.clean_strict("s", social=social), by_expressions(social, rest))
+
+
+def test_hashing_over_batches_equals_array_expressions(spark):
+    rng = random.Random(3)
+    rows = [(i, [rng.choice(["a", "b", "é", "zz", None] + [f"w{j}" for j in range(40)]) for _ in range(n)])
+            for i, n in enumerate([0, 1, 4, 5, 6, 8, 9, 50, 131, 0])] + [(98, None), (99, [None, None])]
+    df = spark.createDataFrame(rows, "doc_id long, toks array<string>").repartition(2)
+    for size, overlap, dim in ((None, 0, 64), (5, 2, 64), (8, 7, 16), (64, 16, 10)):
+        fast = dict(V.hashing_window_mean(df, "doc_id", "toks", size, overlap, dim, batches=True).collect())
+        slow = dict(V.hashing_window_mean(df, "doc_id", "toks", size, overlap, dim).collect())
+        assert fast.keys() == slow.keys()
+        for k, v in slow.items():
+            assert fast[k] is None if v is None else fast[k] == pytest.approx(v, abs=1e-12), (k, size)
+
+
+def test_row_slices_keep_to_the_budget():
+    assert list(B.row_slices(np.array([3, 3, 9, 1, 0, 2]), 6)) == [(0, 2), (2, 3), (3, 6)]
+    assert list(B.row_slices(np.array([], np.int64))) == []

@@ -190,13 +190,13 @@ _SQL_HASH = D.with_ctes(
 
 def _lower_token_docs(spark, sf):
     docs = load(spark, sf, "documents")
-    return docs.select("doc_id", T.tokenize(F.lower(F.col("text"))).alias("toks"))
+    return docs.select("doc_id", T.tokenize_batches(F.lower(F.col("text"))).alias("toks"))
 
 
 @register("embed_hashing", _SQL_HASH + "SELECT doc_id, bucket::BIGINT AS bucket, round(value, 6) AS value FROM dense")
 def q_embed_hashing(spark, sf):
     """Default encoder: signed 64-bucket feature hashing, L2-normalised."""
-    dense = V.hashing_embed_docs(_lower_token_docs(spark, sf), "doc_id", "toks", dim=DIM)
+    dense = V.hashing_embed_docs(_lower_token_docs(spark, sf), "doc_id", "toks", dim=DIM, batches=True)
     return long_vec(dense, "doc_id", pos="bucket")
 
 
@@ -221,7 +221,7 @@ def q_embed_plugin(spark, sf):
 def q_combined_features(spark, sf):
     """Embedding vector joined with psycholinguistic scores by author and
     assembled into one feature vector (missing scores -> 0)."""
-    dense = V.hashing_embed_docs(_lower_token_docs(spark, sf), "doc_id", "toks", dim=DIM) \
+    dense = V.hashing_embed_docs(_lower_token_docs(spark, sf), "doc_id", "toks", dim=DIM, batches=True) \
         .withColumn("emb", array_to_vector(F.coalesce("vec", F.array(*[F.lit(0.0)] * DIM))))
     vad = LX.lexicon_features(load(spark, sf, "documents"), D.vad_lexicon(spark, sf), D.VAD)
     joined = FE.fill_missing(dense.join(vad, "doc_id"), list(D.VAD))
