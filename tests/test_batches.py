@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textprofile.functions import batches as B
 from textprofile.functions import text as T
+from textprofile.operators import lexicon as L
 from textprofile.operators import vectors as V
 
 PIECES = ["RT", "FAV:", "12", "-3.5", "@bob:", "#x", ":)", "<3", "http://a.b/c", "www.x.y", "|||", "é", "I", "a", "b", "Hi,", "\U0001F600", "word"]
@@ -70,3 +71,16 @@ def test_hashing_over_batches_equals_array_expressions(spark):
 def test_row_slices_keep_to_the_budget():
     assert list(B.row_slices(np.array([3, 3, 9, 1, 0, 2]), 6)) == [(0, 2), (2, 3), (3, 6)]
     assert list(B.row_slices(np.array([], np.int64))) == []
+
+
+def test_lexicon_words_are_counted_before_the_join(spark):
+    docs = spark.createDataFrame([(1, "a a b c"), (2, "z z"), (3, ""), (4, None), (1, "a")], "doc_id long, text string")
+    lex = spark.createDataFrame([("a", 2, None), ("b", 5, 1), ("a", 4, None)], "word string, s long, t long")
+    rows = L.word_rows(docs.filter("doc_id <> 1 or text <> 'a'")).collect()
+    assert sorted((r.doc_id, r["_k"], r["_n"]) for r in rows if r["_k"]) == [(1, "a", 2), (1, "b", 1), (1, "c", 1), (2, "z", 2)]
+    assert sorted(r.doc_id for r in rows if r["_k"] is None) == [3, 4]
+    got = {r.doc_id: (r.s, r.t) for r in L.lexicon_features(docs, lex, ["s", "t"]).collect()}
+    # three a, each twice in the lexicon, and one b
+    assert got == {1: (23 / 7, 1 / 7), 2: (None, None), 3: (None, None), 4: (None, None)}
+    multi = L.lexicon_features_multi(docs, {"x": (lex.select("word", "s"), ["s"])}).collect()
+    assert {r.doc_id: r.s for r in multi} == {k: v[0] for k, v in got.items()}

@@ -1,7 +1,7 @@
 """Lexicon features: token counts, weighted lexicon means, concept bags, coverage.
 
-Plan shape for every lexicon feature: explode the document's tokens, join the
-lexicon (broadcast when its size is proven small, otherwise a shuffled join that
+Plan shape for every lexicon feature: count the document's words inside its row,
+join the distinct ones with the lexicon (broadcast when its size is proven small, otherwise a shuffled join that
 AQE can split on hot words), and aggregate per document with partial
 (map-side) aggregation.  Documents without any hit survive with NULL scores.
 """
@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import run_lengths
-from ..functions.text import tokenize
+from ..functions.batches import word_counts
+from ..functions.text import tokenize, tokenize_batches
 from .joins import MAX_BROADCAST_BYTES, sized_lookup, sized_table
 from .membership import filter_bits, may_hold, word_filter
 
@@ -33,6 +34,13 @@ def token_rows(df: DataFrame, doc_key: str = "doc_id", text_col: str = "text",
     return df.select(doc_key, explode(_tokens(df, doc_key, text_col, tokens_col)).alias(word_col))
 
 
+def word_rows(df: DataFrame, doc_key: str = "doc_id", text_col: str = "text", tokens_col: str | None = None) -> DataFrame:
+    """``(doc_key, _k, _n)``: each row's distinct words with their numbers, counted
+    over Arrow batches; a row without words keeps one row with NULL word."""
+    toks = F.col(tokens_col) if tokens_col else tokenize_batches(F.col(text_col))
+    return df.select(doc_key, F.inline_outer(word_counts(toks))).toDF(doc_key, "_k", "_n")
+
+
 def token_counts(df: DataFrame, doc_key: str = "doc_id", text_col: str = "text",
                  tokens_col: str | None = None) -> DataFrame:
     """``(doc_key, word, cnt)``: occurrences of each whitespace token per document."""
@@ -67,11 +75,10 @@ def lexicon_features(docs: DataFrame, lexicon: DataFrame, scores: Sequence[str],
                 *[F.try_divide(F.sum(F.col(s) * F.col("_n")).cast("double"), F.sum("_n")).alias(s) for s in scores])
             return docs.select(doc_key).distinct().join(hits, F.col(doc_key).eqNullSafe(F.col("_doc")), "left").select(doc_key, *scores)
         lex = F.broadcast(lex)
-    tok = token_rows(docs, doc_key, text_col, tokens_col, word_col="_k", keep_empty=True)
-    joined = tok.join(lex, "_k", "left")
-    hits = F.sum("_hit")
+    joined = word_rows(docs, doc_key, text_col, tokens_col).join(lex, "_k", "left")
+    hits = F.sum(F.col("_hit") * F.col("_n"))
     return joined.groupBy(doc_key).agg(
-        *[F.try_divide(F.sum(s).cast("double"), hits).alias(s) for s in scores])
+        *[F.try_divide(F.sum(F.col(s) * F.col("_n")).cast("double"), hits).alias(s) for s in scores])
 
 
 def lexicon_words(docs: DataFrame, lexicon: DataFrame, doc_key: str, tokens: str = "_t", key: str = "_k",
@@ -101,12 +108,11 @@ def lexicon_features_multi(docs: DataFrame, lexicons: dict, doc_key: str = "doc_
             merged = part
         else:
             merged = merged.join(part, "_k", "full_outer")
-    tok = token_rows(docs, doc_key, text_col, word_col="_k", keep_empty=True)
-    joined = tok.join(sized_lookup(merged), "_k", "left")
+    joined = word_rows(docs, doc_key, text_col).join(sized_lookup(merged), "_k", "left")
     aggs = []
     for name, (_, scores) in lexicons.items():
-        hits = F.sum(f"_hit_{name}")
-        aggs += [F.try_divide(F.sum(s).cast("double"), hits).alias(s) for s in scores]
+        hits = F.sum(F.col(f"_hit_{name}") * F.col("_n"))
+        aggs += [F.try_divide(F.sum(F.col(s) * F.col("_n")).cast("double"), hits).alias(s) for s in scores]
     return joined.groupBy(doc_key).agg(*aggs)
 
 
