@@ -84,3 +84,11 @@ def test_lexicon_words_are_counted_before_the_join(spark):
     assert got == {1: (23 / 7, 1 / 7), 2: (None, None), 3: (None, None), 4: (None, None)}
     multi = L.lexicon_features_multi(docs, {"x": (lex.select("word", "s"), ["s"])}).collect()
     assert {r.doc_id: r.s for r in multi} == {k: v[0] for k, v in got.items()}
+
+
+def test_vad_rows_are_counted_once(spark):
+    from tests.conftest import SF_SMALL
+    from textprofile.plans.q_model import _vad_folds
+    df, _ = _vad_folds(spark, SF_SMALL)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Scan ExistingRDD" in plan and "Arrow" not in plan

@@ -376,7 +376,8 @@ def _vad_folds(spark, sf):
     folds = FO.stratified_folds(lab.unpivot(["doc_id"], traits, "trait", "y"), "y", "doc_id", k=10, by=["trait"])
     wide = folds.groupBy("doc_id").agg(*[F.max(F.when(F.col("trait") == t, F.col("fold"))).alias(f"fold_{t}") for t in traits],
                                        *[F.max(F.when(F.col("trait") == t, F.col("y"))).alias(t) for t in traits])
-    return vad.join(wide, "doc_id").withColumn("features", F.array("valence", "arousal")), traits
+    # read by the kernel width and by every fit: the texts are counted once
+    return vad.join(wide, "doc_id").withColumn("features", F.array("valence", "arousal")).checkpoint(), traits
 
 
 @register("cv_psycho", _SQL_NEWTON + "SELECT d.trait, (d.fold + 1)::BIGINT AS fold, round(avg(CASE WHEN (fit.b0 + fit.b1 * d.x1 + fit.b2 * d.x2 > 0) "
