@@ -92,3 +92,18 @@ def test_vad_rows_are_counted_once(spark):
     df, _ = _vad_folds(spark, SF_SMALL)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Scan ExistingRDD" in plan and "Arrow" not in plan
+
+
+def test_combined_rows_are_made_once_before_the_folds(spark, monkeypatch):
+    from tests.conftest import SF_SMALL
+    from textprofile.plans import q_model as Q
+    plans = []
+    folds = Q.FO.stratified_folds
+
+    def seen(df, *args, **kw):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return folds(df, *args, **kw)
+    monkeypatch.setattr(Q.FO, "stratified_folds", seen)
+    monkeypatch.setattr(Q.M, "cross_validate", lambda df, *args, **kw: df)
+    assert Q.q_cv_combined(spark, SF_SMALL).count() > 0
+    assert len(plans) == 2 and all("Scan ExistingRDD" in p and "Scan parquet" not in p for p in plans)

@@ -407,15 +407,16 @@ def q_cv_combined(spark, sf):
     from ..operators import features as FE
     from ..operators import lexicon as LX
     docs = load(spark, sf, "documents").select("doc_id", "text")
-    toks = docs.select("doc_id", T.tokenize(F.lower(F.col("text"))).alias("toks"))
-    emb = V.hashing_embed_docs(toks, "doc_id", "toks", dim=DIM).withColumnRenamed("doc_id", "author_id") \
+    toks = docs.select("doc_id", T.tokenize_batches(F.lower(F.col("text"))).alias("toks"))
+    emb = V.hashing_embed_docs(toks, "doc_id", "toks", dim=DIM, batches=True).withColumnRenamed("doc_id", "author_id") \
         .withColumn("vec", F.coalesce("vec", F.array(*[F.lit(0.0)] * DIM)))
     psycho = LX.lexicon_features_multi(docs, {"emotion": (D.emotion_lexicon(spark, sf), D.EMOTIONS),
                                               "vad": (D.vad_lexicon(spark, sf), D.VAD)}) \
         .withColumnRenamed("doc_id", "author_id")
     x = FE.assemble_inputs("combined", emb, psycho)
     lab = load(spark, sf, "labels").withColumnRenamed("doc_id", "author_id")
-    df = x.join(lab, "author_id")
+    # the folds of both traits read these rows too: the texts are featurised once
+    df = x.join(lab, "author_id").checkpoint()
     for t in ("quality", "toxic"):
         f = FO.stratified_folds(df.select("author_id", t), t, "author_id", k=10) \
             .select("author_id", F.col("fold").alias(f"fold_{t}"))
