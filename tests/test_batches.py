@@ -107,3 +107,15 @@ def test_combined_rows_are_made_once_before_the_folds(spark, monkeypatch):
     monkeypatch.setattr(Q.M, "cross_validate", lambda df, *args, **kw: df)
     assert Q.q_cv_combined(spark, SF_SMALL).count() > 0
     assert len(plans) == 2 and all("Scan ExistingRDD" in p and "Scan parquet" not in p for p in plans)
+
+
+def test_window_features_run_over_batches(spark):
+    from textprofile.plans.q_model import window_features
+    rows = [(i, s) for i, s in enumerate([None, "", " ".join(f"w{j % 37}" for j in range(200)), "Ab http://x.y a"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = window_features(df)
+    assert "transform(" not in out._jdf.queryExecution().executedPlan().toString()
+    toks = df.select("doc_id", T.tokenize(F.lower(T.clean_text("text"))).alias("toks"))
+    want = dict(V.hashing_window_mean(toks, "doc_id", "toks", 64, 16).collect())
+    for r in out.collect():
+        assert r.features is None if want[r.doc_id] is None else r.features.toArray().tolist() == pytest.approx(want[r.doc_id])

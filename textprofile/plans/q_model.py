@@ -497,8 +497,8 @@ def _fixed_models(spark):
 
 
 def _hash_features(docs):
-    toks = docs.select("doc_id", T.tokenize(F.lower(F.col("text"))).alias("toks"))
-    vec = V.hashing_embed_docs(toks, "doc_id", "toks", dim=64)
+    toks = docs.select("doc_id", T.tokenize_batches(F.lower(F.col("text"))).alias("toks"))
+    vec = V.hashing_embed_docs(toks, "doc_id", "toks", dim=64, batches=True)
     return vec.select("doc_id", F.when(F.col("vec").isNotNull(), array_to_vector("vec")).alias("features"))
 
 
@@ -536,8 +536,8 @@ def window_features(docs, key: str = "doc_id", text: str = "text"):
     window -> mean over the document's windows: ``(key, features)``; a
     document without tokens gets NULL features.  All of it happens inside the
     document's row."""
-    toks = docs.select(key, T.tokenize(F.lower(T.clean_text(F.col(text)))).alias("toks"))
-    pooled = V.hashing_window_mean(toks, key, "toks", WIN, OVERLAP, dim=DIM)
+    toks = docs.select(key, T.tokenize_batches(F.lower(T.clean_text(F.col(text)))).alias("toks"))
+    pooled = V.hashing_window_mean(toks, key, "toks", WIN, OVERLAP, dim=DIM, batches=True)
     return pooled.select(key, F.when(F.col("vec").isNotNull(), array_to_vector("vec")).alias("features"))
 
 
