@@ -1,6 +1,7 @@
 """Kernels over Arrow batches against their direct definitions."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 
 from textprofile.functions import batches as B
 from textprofile.functions import text as T
+from textprofile.functions import readability as RF
 from textprofile.operators import lexicon as L
+from textprofile.operators import readability as RO
 from textprofile.operators import vectors as V
 
 PIECES = ["RT", "FAV:", "12", "-3.5", "@bob:", "#x", ":)", "<3", "http://a.b/c", "www.x.y", "|||", "é", "I", "a", "b", "Hi,", "\U0001F600", "word"]
@@ -119,3 +122,27 @@ def test_window_features_run_over_batches(spark):
     want = dict(V.hashing_window_mean(toks, "doc_id", "toks", 64, 16).collect())
     for r in out.collect():
         assert r.features is None if want[r.doc_id] is None else r.features.toArray().tolist() == pytest.approx(want[r.doc_id])
+
+
+def test_readability_counts_equal_column_expressions(spark):
+    rng = random.Random(9)
+    bits = ["The ", "table", "Beautiful", "a.b", "?!", " ", "\n", "\n \t\n", "é", "ÜBER ", "naïve", "12 ", "x_1 ", "--", "'s", "　", "idea ", "E ", "\x1c", ". "]
+    rows = [(0, None), (1, ""), (2, " \n\n "), (3, "...")] + [(i, "".join(rng.choice(bits) for _ in range(rng.randrange(60)))) for i in range(4, 120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = df.select("doc_id", "text", RO.count_batches(F.col("text")).alias("c"))
+    want = RF.counts(F.col("text"))
+    wrong = got.select("text", *[F.col(f"c.{k}").alias(k) for k in want], *[v.alias(f"_{k}") for k, v in want.items()])
+    wrong = wrong.filter(" or ".join(f"not ({k} <=> _{k})" for k in want))
+    assert wrong.collect() == []
+    lw = F.transform(RF.words("text"), RF.letters_lower)
+    for r in got.select("c._words", lw.alias("lw")).collect():
+        assert (r["_words"] is None) == (r.lw is None)
+        assert r.lw is None or {w.word: w.n for w in r["_words"]} == Counter(r.lw)
+
+
+def test_feature_join_counts_over_batches(spark):
+    df = spark.createDataFrame([(1, "The cat sat. The end")], "doc_id long, text string")
+    easy = spark.createDataFrame([("the",)], "word string")
+    out = RO.readability(df, easy).select("doc_id", "words", "complex_words_dc")
+    assert "transform(" not in out._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in out.collect()] == [(1, 5, 3)]
