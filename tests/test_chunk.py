@@ -71,3 +71,35 @@ def test_vocab_and_ids(spark):
     enc = {r.doc_id: r.ids for r in C.encode_ids(docs, "toks", C.build_vocab(rows), 6).collect()}
     assert enc[1] == [1, 5, 3, 4, 2, 0]
     assert enc[2] == [1, 2, 0, 0, 0, 0]
+
+
+def test_id_lists_look_up_the_distinct_words_of_blocks(spark):
+    words = ["the", "cat", "é", "mat", "zz", None]
+    vocab = spark.createDataFrame([("the", 4), ("cat", 5), ("é", 9), ("mat", 1 << 40)], "word string, id long")
+    ids = {"the": 4, "cat": 5, "é": 9, "mat": 1 << 40}
+    rows = [(i, [words[(i * 7 + j * j) % 6] for j in range(n)]) for i, n in enumerate([0, 1, 3, 40, 2, 5, 0, 7])]
+    rows += [(None, ["cat"]), (90, None), (91, []), (1, ["mat", "mat"])]
+    df = spark.createDataFrame(rows, "k long, toks array<string>").repartition(5)
+    want = sorted(((k is None, k or 0), [1, *[ids.get(w, 3) for w in t or []], 2]) for k, t in rows)
+    for budget in (1, 6, 1000):
+        blocks = C.word_blocks(df, "toks", "k", budget)
+        got = C.block_id_lists(blocks, vocab, "k").collect()
+        assert sorted(((r.k is None, r.k or 0), r.ids) for r in got) == want, budget
+        counted = C.block_words(blocks).groupBy("word").agg(F.sum("n").alias("n"), F.count("n").alias("rows")).collect()
+        flat = [w for _, t in rows for w in t or [] if w]
+        assert {r.word: r.n for r in counted} == {w: flat.count(w) for w in flat}
+        assert budget < 1000 or all(r.rows <= 5 for r in counted)  # a word once a block, not once a token
+    assert sorted(((r.k is None, r.k or 0), r.ids) for r in C.word_id_lists(df, "toks", vocab, "k").collect()) == want
+
+
+def test_blocks_of_texts_equal_blocks_of_tokens(spark):
+    from textprofile.functions import text as T
+    texts = ["a b  a", None, "", " \t ", "é　b\x1cA", "b " * 50]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string").repartition(2)
+    vocab = spark.createDataFrame([("a", 4), ("b", 5), ("é", 6)], "word string, id long")
+    by_text = C.word_id_lists(df, "t", vocab, "k")
+    by_tokens = C.word_id_lists(df.select("k", T.tokenize("t").alias("t")), "t", vocab, "k")
+    assert sorted(map(tuple, by_text.collect())) == sorted(map(tuple, by_tokens.collect()))
+    assert dict(by_text.collect())[4] == [1, 6, 5, 3, 2] and dict(by_text.collect())[1] == [1, 2]
+    assert C.word_blocks(df.filter("k in (1, 2)"), "t", "k").count() == 2
+    assert sorted(map(tuple, C.word_id_lists(df.filter("k in (1, 2)"), "t", vocab, "k").collect())) == [(1, [1, 2]), (2, [1, 2])]

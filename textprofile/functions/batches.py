@@ -79,6 +79,14 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(shift, lengths)
 
 
+def word_codes(a: pa.ListArray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(codes, words, numbers) of the rows at these places: each token's place in
+    the distinct words (-1: null), in order of first tokens, and their numbers."""
+    d = a.values.take(pa.array(ragged(starts, lengths))).dictionary_encode()
+    code = d.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int32)
+    return code, d.dictionary, np.bincount(code[code >= 0], minlength=len(d.dictionary))
+
+
 def count_lists(a: pa.ListArray) -> pa.ListArray:
     """Distinct words of each list with their numbers, in order of first codes:
     ``list<struct<word, n>>``; null lists are null, null words don't count."""

@@ -2,20 +2,30 @@
 
 All per-document work is array arithmetic inside the row (``slice``,
 ``sequence``, ``posexplode``); nothing is grouped except the vocabulary count
-and the bounded (``<= L``) id lists.
+and blocks of neighbouring documents with a bounded number of tokens, whose
+distinct words are looked up once a block.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import batches as B
+from ..functions.text import OTHER_SPACE
+from ..session import materialize
 from .joins import sized_lookup
 from .rank import global_position
 
 # Reserved ids of the word-level encoder.
 PAD_ID, START_ID, END_ID, UNK_ID = 0, 1, 2, 3
 FIRST_WORD_ID = 4
+#: Tokens of a block of documents; a longer document is a block of its own.
+BLOCK_TOKENS = 1_000_000
 
 
 def _c(col) -> Column:
@@ -91,11 +101,14 @@ def chunk_overlap(df: DataFrame, tokens: str, size: int = 512, overlap: int = 25
         .select(*keep, "chunk_no", F.slice(tokens, F.col("_s") + 1, size).alias("chunk"))
 
 
-def build_vocab(token_rows: DataFrame, word: str = "word", top_n: int | None = None) -> DataFrame:
+def build_vocab(token_rows: DataFrame, word: str = "word", top_n: int | None = None,
+                count: str | None = None) -> DataFrame:
     """``(word, id, cnt)``: corpus counts ranked by (count desc, word asc); ids
     start after the reserved ones.  The rank is a distributed global position,
-    not a single-partition window; ``top_n`` keeps the most frequent words."""
-    counts = token_rows.groupBy(F.col(word).alias("word")).agg(F.count(F.lit(1)).alias("cnt"))
+    not a single-partition window; ``top_n`` keeps the most frequent words.
+    ``count`` names a column that says for how many tokens a row stands."""
+    n = F.sum(count) if count else F.count(F.lit(1))
+    counts = token_rows.groupBy(F.col(word).alias("word")).agg(n.alias("cnt"))
     ranked = global_position(counts, [F.col("cnt").desc(), F.col("word").asc()], name="_r")
     if top_n is not None:
         ranked = ranked.filter(F.col("_r") < top_n)
@@ -112,12 +125,69 @@ def encode_ids(df: DataFrame, tokens: str, vocab: DataFrame, length: int,
 
 def word_id_lists(df: DataFrame, tokens: str, vocab: DataFrame, doc_key: str = "doc_id") -> DataFrame:
     """``(doc_key, ids)``: start marker, the ids of all tokens (unknown -> UNK),
-    end marker; as long as the document."""
-    body = df.select(doc_key, F.posexplode_outer(tokens).alias("pos", "word"))
-    looked = body.join(sized_lookup(vocab.select("word", "id")), "word", "left") \
-        .withColumn("id", F.coalesce("id", F.lit(UNK_ID).cast("bigint")))
-    # a document without tokens keeps one row with a NULL position: its list is empty
-    entry = F.when(F.col("pos").isNotNull(), F.struct("pos", "id"))
-    lists = looked.groupBy(doc_key).agg(F.array_sort(F.collect_list(entry)).alias("_p"))
-    return lists.select(doc_key, F.concat(F.array(F.lit(START_ID).cast("bigint")), F.transform("_p", lambda s: s["id"]),
-                                          F.array(F.lit(END_ID).cast("bigint"))).alias("ids"))
+    end marker; as long as the document.  Repeated rows stay; the vocabulary holds
+    a word once."""
+    return block_id_lists(word_blocks(df, tokens, doc_key), vocab, doc_key)
+
+
+def word_blocks(df: DataFrame, words: str, doc_key: str = "doc_id", budget: int = BLOCK_TOKENS) -> DataFrame:
+    """``(doc_key, _block, _codes, _words)``, one row a document, written once.
+
+    Neighbouring rows of at most ``budget`` tokens, or one longer row, are a block.
+    ``_codes`` are a row's tokens as places in its block's distinct words (-1: a
+    null token); ``_words``, these words with their numbers, is on the block's
+    first row and null on the others.  ``words`` is a token array or a text, which
+    is split at whitespace."""
+    types = dict(df.dtypes)
+    is_text = types[words] == "string"
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            lists = B.split_words(b.column(1), OTHER_SPACE) if is_text else b.column(1)
+            at, n = B.offsets_of(lists)
+            for lo, hi in B.row_slices(n, budget):
+                codes, found, number = B.word_codes(lists, at[lo:hi], n[lo:hi])
+                ends = np.concatenate([[0], np.cumsum(n[lo:hi])]).astype(np.int32)
+                pairs = pa.StructArray.from_arrays([found, pa.array(number)], names=["word", "n"])
+                places = np.append(0, np.full(hi - lo, len(pairs))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(lo, hi - lo), pa.array(np.full(hi - lo, b.column(2)[lo].as_py())),
+                     pa.ListArray.from_arrays(pa.array(ends), pa.array(codes)),
+                     pa.ListArray.from_arrays(pa.array(places), pairs, mask=pa.array(np.arange(hi - lo) > 0))],
+                    names=[doc_key, "_block", "_codes", "_words"])
+
+    col = F.make_valid_utf8(words) if is_text else F.col(words)
+    coded = df.select(doc_key, col.alias("_w"), F.monotonically_increasing_id().alias("_block")).mapInArrow(
+        run, f"`{doc_key}` {types[doc_key]}, _block long, _codes array<int>, _words array<struct<word:string,n:bigint>>")
+    return materialize(coded, "blocks")[0]
+
+
+def block_words(blocks: DataFrame) -> DataFrame:
+    """``(_block, _code, word, n)``: the distinct words of each block."""
+    first = blocks.filter(F.col("_words").isNotNull())
+    return first.select("_block", F.posexplode("_words").alias("_code", "_w")).select("_block", "_code", "_w.word", "_w.n")
+
+
+def block_id_lists(blocks: DataFrame, vocab: DataFrame, doc_key: str = "doc_id") -> DataFrame:
+    """``word_id_lists`` of ``word_blocks``: the distinct words of a block are
+    joined with the vocabulary, then a block's documents meet its ids."""
+    looked = block_words(blocks).join(sized_lookup(vocab.select("word", "id")), "word", "left").select(
+        "_block", "_code", F.coalesce("id", F.lit(UNK_ID).cast("bigint")).alias("_id"))
+
+    def run(docs: pa.Table, ids: pa.Table) -> pa.Table:
+        docs = docs.combine_chunks()
+        code = ids.column("_code").to_numpy()
+        known = np.full(len(code) + 1, UNK_ID, dtype=np.int64)  # the last one is for code -1
+        known[code] = ids.column("_id").to_numpy()
+        lists = pa.concat_arrays(docs.column("_codes").chunks)
+        at, n = B.offsets_of(lists)
+        starts = np.concatenate([[0], np.cumsum(n + 2)])
+        out = np.full(starts[-1], END_ID, dtype=np.int64)
+        out[starts[:-1]] = START_ID
+        out[B.ragged(starts[:-1] + 1, n)] = known[lists.values.to_numpy()[B.ragged(at, n)]]
+        return pa.table([docs.column(doc_key), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(out))],
+                        names=[doc_key, "ids"])
+
+    docs = blocks.select(doc_key, F.col("_block").alias("_of"), "_codes")
+    return docs.groupBy("_of").cogroup(looked.groupBy("_block")).applyInArrow(
+        run, f"`{doc_key}` {dict(blocks.dtypes)[doc_key]}, ids array<bigint>")

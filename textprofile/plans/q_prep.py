@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import batches as B
 from ..functions import text as T
 from ..functions.numeric import round_to
 from ..functions import readability as RD
@@ -181,8 +182,8 @@ _SQL_VOCAB = (f"SELECT word, (row_number() OVER (ORDER BY cnt DESC, word ASC) +
 
 def _vocab(spark, sf):
     docs = load(spark, sf, "documents")
-    rows = docs.select(F.explode(T.tokenize(F.lower(F.col("text")))).alias("word"))
-    return C.build_vocab(rows)
+    rows = docs.select(F.inline(B.word_counts(T.tokenize_batches(F.lower("text")))))
+    return C.build_vocab(rows, count="n")
 
 
 @register("vocab_build", _SQL_VOCAB)
@@ -216,8 +217,9 @@ def q_word_ids(spark, sf):
 def q_embed_ids(spark, sf):
     """Ids of whole documents through an encoder that takes id matrices with a
     mask: batches of like lengths under a token budget, mean over the mask."""
-    docs = load(spark, sf, "documents").select("doc_id", T.tokenize(F.lower(F.col("text"))).alias("toks"))
-    ids = C.word_id_lists(docs, "toks", _vocab(spark, sf))
+    docs = load(spark, sf, "documents").select("doc_id", F.lower("text").alias("text"))
+    blocks = C.word_blocks(docs, "text")
+    ids = C.block_id_lists(blocks, C.build_vocab(C.block_words(blocks), count="n"))
     long = E.embed_ids(ids, "ids", "demo_ids").select("doc_id", "layer", F.posexplode("vec").alias("dim", "value"))
     return long.select("doc_id", F.col("layer").cast("bigint").alias("layer"), F.col("dim").cast("bigint").alias("dim"), r6("value").alias("value"))
 
