@@ -66,3 +66,19 @@ def test_mix_keeps_columns(spark):
     out = M.mix(df)
     assert out.columns == df.columns and out.count() > 0
     assert M.mix(empty(spark)).count() == 0
+
+
+def test_plan_reads_the_texts_once_and_holds_no_words(spark, tmp_path):
+    docs = str(tmp_path / "docs")
+    awkward(spark).write.parquet(docs)
+    out = M.plan_mix(spark.read.parquet(docs))
+    assert out.inputFiles() and not [f for f in out.inputFiles() if f"{docs}/" in f]
+    sizes = spark.read.parquet(docs).select(M.n_words(F.col("text")))
+    assert "regexp_extract_all" not in sizes._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_n_words(spark):
+    texts = ["", " ", "\t\n\x0b\x0c\r ", " a", "a ", "\n a\tb\x0b\x0cc\r\r", "\x1c\x1d \x85 z", "  q", "$1 \\ .", None,
+             "\U0001F600 x\U0001F600"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", M.n_words(F.col("t")).alias("n")).collect()
+    assert [r.n for r in got] == [t if t is None else len(re.findall(r"[^\x20\x09-\x0D]+", t)) for t in (r.t for r in got)]

@@ -26,9 +26,15 @@ from .common import WORD, free_name, hash60, materialize, whole
 #: Bins of the hash order: 2**BIN_BITS for each source.
 BIN_BITS = 12
 
+#: What separates words (``WORD``).
+BLANKS = " \t\n\x0b\x0c\r"
+
 
 def n_words(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(WORD)).cast("bigint")
+    """Number of words: each, with the blanks after it, becomes one character.
+    ``regexp_count`` would hold all words of a text as an array to take its size."""
+    marks = F.regexp_replace(F.ltrim(text, F.lit(BLANKS)), f"{WORD}+[{BLANKS}]*+", ".")
+    return F.length(marks).cast("bigint")
 
 
 def hash_order(id_: Column, text: Column, seed: int) -> Column:
@@ -58,14 +64,21 @@ def water_fill(sources: DataFrame, total: float, max_epochs: int) -> DataFrame:
 
 
 def _planned(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[int], share: float,
-             max_epochs: int, seed: int) -> tuple[DataFrame, dict[str, str]]:
-    """``docs`` plus size, source_size, target and reps, under free names."""
+             max_epochs: int, seed: int, texts: bool) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` plus size, source_size, target and reps, under free names.
+
+    Without ``texts`` only id and source are kept, and the texts are read once:
+    their sizes and hash order are written, a few numbers a row, and the bins
+    and both parts of the result start from there."""
     n = {k: free_name(docs, f"_mix_{k}") for k in
          ("u", "bin", "size", "source_size", "target", "whole", "need", "edge", "before", "src", "more", "at", "reps")}
     c = {k: F.col(v) for k, v in n.items()}
     src, text = F.col(f"`{source_col}`"), whole(f"`{text_col}`")
     d = docs.withColumn(n["size"], n_words(text)).withColumn(n["u"], hash_order(F.col(f"`{id_col}`"), text, seed)) \
         .withColumn(n["bin"], F.shiftright(c["u"], 60 - BIN_BITS))
+    if not texts:
+        kept = [f"`{k}`" for k in dict.fromkeys((id_col, source_col))]
+        d = materialize(d.select(*kept, n["size"], n["u"], n["bin"]), "sizes")
     bins = materialize(d.groupBy(src.alias("source"), c["bin"].alias("bin")).agg(F.sum(c["size"]).alias("words")), "bins")
     sizes = bins.groupBy("source").agg(F.sum("words").alias("source_size")).withColumn("_null", F.col("source").isNull())
     sources = global_position(sizes, ["_null", "source"], "_rank").drop("_null").withColumn(
@@ -106,7 +119,7 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     a null id: the text) and sizes alone, so reruns agree; rows that tie in all
     of them are alike, and how many of them are taken is fixed.  Empty tables
     give empty results; other columns are ignored, whatever their names."""
-    out, n = _planned(docs, id_col, text_col, source_col, weights, share, max_epochs, seed)
+    out, n = _planned(docs, id_col, text_col, source_col, weights, share, max_epochs, seed, texts=False)
     size, reps = F.col(n["size"]), F.col(n["reps"])
     return out.select(F.col(f"`{id_col}`").alias("doc_id"), size.alias("size"),
                       F.col(n["source_size"]).alias("source_size"), F.col(n["target"]).alias("target"),
@@ -117,7 +130,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         weights: Sequence[int] = (5, 2, 1), share: float = 1.5, max_epochs: int = 2, seed: int = 7) -> DataFrame:
     """The mixed rows: every row as often as ``plan_mix`` takes it, with the
     columns of ``docs``.  No row moves but those of each source's edge bin."""
-    out, n = _planned(docs, id_col, text_col, source_col, weights, share, max_epochs, seed)
+    out, n = _planned(docs, id_col, text_col, source_col, weights, share, max_epochs, seed, texts=True)
     times = F.when(F.col(n["reps"]) > 0, F.sequence(F.lit(1), F.col(n["reps"]).cast("int")))
     return out.withColumn(n["at"], F.explode(times)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
